@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import sharding, url_filter
+from millrace.llm import language_id, sharding, url_filter
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_url_filters": url_filter.op2_url_filters,
     "op5_sharding": sharding.op5_sharding,
 }

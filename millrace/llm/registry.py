@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import language_id, sharding, url_filter
+from millrace.llm import language_id, sharding, simhash, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_url_filters": url_filter.op2_url_filters,
     "op5_sharding": sharding.op5_sharding,
+    "op6_warc": warc.op6_warc,
+    "op8_simhash": simhash.op8_simhash,
 }
 ORACLES = {
     "op2_url_filters": url_filter.ORACLE,
+    "op6_warc": warc.ORACLE,
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import language_id, sharding, simhash, url_filter, warc
+from millrace.llm import language_id, pieces, sharding, simhash, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_url_filters": url_filter.op2_url_filters,
     "op5_sharding": sharding.op5_sharding,
     "op6_warc": warc.op6_warc,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import language_id, pieces, sharding, simhash, url_filter, warc
+from millrace.llm import language_id, pieces, separators, sharding, simhash, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_simhash": simhash.op8_simhash,
+    "op9_token_counts": separators.op9_token_counts,
 }
 ORACLES = {
     "op2_url_filters": url_filter.ORACLE,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import language_id, pieces, separators, sharding, simhash, url_filter, warc
+from millrace.llm import decontamination, language_id, pieces, separators, sharding, simhash, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_url_filters": url_filter.op2_url_filters,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op5_sharding": sharding.op5_sharding,
     "op6_warc": warc.op6_warc,
     "op7_sentencepiece": pieces.op7_sentencepiece,

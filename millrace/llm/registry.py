@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, language_id, pieces, separators, sharding, simhash, url_filter, warc
+from millrace.llm import decontamination, hamming, language_id, pieces, separators, sharding, simhash, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_url_filters": url_filter.op2_url_filters,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op4_topk_search": hamming.op4_topk_search,
     "op5_sharding": sharding.op5_sharding,
     "op6_warc": warc.op6_warc,
     "op7_sentencepiece": pieces.op7_sentencepiece,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_token_counts": separators.op9_token_counts,
 }
 ORACLES = {
+    "op4_topk_search": hamming.ORACLE,
     "op2_url_filters": url_filter.ORACLE,
     "op6_warc": warc.ORACLE,
 }

@@ -34,11 +34,17 @@ RECORDS = "record_id string, record_type string, page_id long, url string, paylo
 
 
 def base32_sha1(data: Column) -> Column:
-    """SHA-1 in upper-case base32: each character is five of the 160 bits, taken from two hex digits."""
-    digest = F.sha1(data)
-    two = lambda i: F.conv(F.substring(digest, F.floor(i * 5 / 4).cast("int") + 1, F.lit(2)), 16, 10).cast("int")
-    five = lambda i: F.call_function("shiftright", two(i), 3 - i * 5 % 4).bitwiseAND(F.lit(31))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(BASE32), five(i) + 1, F.lit(1))), "")
+    """SHA-1 in upper-case base32: each character is five of the 160 bits, taken from two hex digits.
+
+    The digest is bound to a variable of its own, else each character would compute it anew.
+    """
+
+    def spelt(digest: Column) -> Column:
+        two = lambda i: F.conv(F.substring(digest, F.floor(i * 5 / 4).cast("int") + 1, F.lit(2)), 16, 10).cast("int")
+        five = lambda i: F.call_function("shiftright", two(i), 3 - i * 5 % 4).bitwiseAND(F.lit(31))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(BASE32), five(i) + 1, F.lit(1))), "")
+
+    return F.element_at(F.transform(F.array(F.sha1(data)), spelt), 1)
 
 
 def _record_id(page: Column, digest: Column) -> Column:

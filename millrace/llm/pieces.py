@@ -27,6 +27,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -228,7 +229,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*columns, lists, sizes, pa.array(same, pa.bool_())], names=[*names, "ids", "n_tokens", "round_trip"])
 
     rows = docs.select(F.col(id_col), *(F.col(c) for c in keep or ()), F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(encode, rows.drop("__text").schema.add("ids", "array<int>").add("n_tokens", "long").add("round_trip", "boolean"))
+    return rows.mapInArrow(encode, rows.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language_id
+from millrace.llm import decontamination, language_id, pieces, simhash, substrings
 from millrace.llm.shared import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id.stage),
+    ("simhash_dedup", simhash.stage),
+    ("substring_dedup", substrings.stage),
+    ("decontamination", decontamination.stage),
+    ("sentencepiece", pieces.stage),
 ]
 ORACLE_SQL = None
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, hamming, language_id, pieces, separators, sharding, simhash, url_filter, warc
+from millrace.llm import decontamination, hamming, language_id, pieces, separators, sharding, simhash, substrings, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,9 +14,11 @@ QUERIES = {
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_simhash": simhash.op8_simhash,
     "op9_token_counts": separators.op9_token_counts,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 ORACLES = {
     "op4_topk_search": hamming.ORACLE,
     "op2_url_filters": url_filter.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op10_substring_dedup": substrings.ORACLE,
 }

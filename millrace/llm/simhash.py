@@ -35,8 +35,11 @@ from millrace.llm.components import components
 from millrace.llm.shared import Scratch
 
 BITS = 64
+#: What a comparison of two fingerprints costs, in rows of keys.
+PAIR_COST = 0.002
 FULL = (1 << BITS) - 1
 SEED = 42
+STAGE_BITS = 6
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -103,23 +106,28 @@ def correlated_groups(both: np.ndarray, rows: int, parts: int) -> list[list[int]
     return groups
 
 
-def allocate(widths: list[int], rows: int, pairs: list[int], max_bits: int) -> list[int]:
-    """Thresholds of least cost with the sum that the principle asks for, by dynamic programming.
+def allocate(widths: list[int], rows: int, pairs: list[int], crowded: list[list[int]], max_bits: int) -> tuple[float, list[int]]:
+    """The least cost and the thresholds that have it, with the sum that the principle asks for, by dynamic programming.
 
     ``pairs`` counts, for each partition, the pairs of different fingerprints with one value. A threshold t makes
     C(width, t) keys a row, and dropping t bits makes as many as 2**t times the pairs under each.
+    ``crowded[i][t]`` is how many fingerprints are in buckets too large to be verified whole then: they go to centres.
     """
-    goal = max_bits - len(widths) + 1
+    goal, centres = max_bits - len(widths) + 1, _ball(-(-max_bits // 2))
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for width, found in zip(widths, pairs, strict=True):
+    for width, found, over in zip(widths, pairs, crowded, strict=True):
         step: dict[int, tuple[float, list[int]]] = {}
         for total, (cost, chosen) in best.items():
             for t in range(-1, max_bits + 1):
-                more = 0 if t < 0 else comb(width, t) * (rows + found * 2**t)
+                more = 0 if t < 0 else comb(width, t) * (rows + PAIR_COST * found * 2**t) + centres * over[t]
                 if total + t not in step or cost + more < step[total + t][0]:
                     step[total + t] = (cost + more, [*chosen, t])
         best = step
-    return best[goal][1]
+    return best[goal]
+
+
+def _ball(radius: int) -> int:
+    return sum(comb(BITS, r) for r in range(radius + 1))
 
 
 def signed(x: int) -> int:
@@ -139,11 +147,15 @@ def keys_of(rows: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def _forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links of a small bucket reduced to (member, smallest member that it reaches)."""
-    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= max_bits
+    """Links of a bucket reduced to (member, smallest member that it reaches), a few rows of the comparison at a time."""
     label = np.arange(len(values))
+    step = max(1, (1 << 20) // len(values))
     while True:
-        low = np.where(near, label[None, :], len(values)).min(axis=1)
+        low = label.copy()
+        for a in range(0, len(values), step):
+            near = np.bitwise_count(values[a : a + step, None] ^ values[None, :]) <= max_bits
+            low[a : a + step] = np.where(near, low[None, :], len(values)).min(axis=1)
+        low = low[low]
         if (low == label).all():
             return [(int(values[i]), int(values[k])) for i, k in enumerate(label) if i != k]
         label = low
@@ -161,29 +173,37 @@ def verified(buckets: DataFrame, max_bits: int) -> DataFrame:
     return buckets.select("fps").mapInArrow(verify, "a long, b long")
 
 
-def links(distinct: DataFrame, scratch: Scratch, max_bits: int = 2, bucket_rows: int = 256) -> DataFrame:
+def choose_keys(distinct: DataFrame, max_bits: int, bucket_rows: int) -> list[int]:
+    """Masks of the keys of the cheapest choice of partitions and thresholds, from counts over all fingerprints."""
+    rows, both = distinct.count(), co_occurrence(distinct)
+    layouts = {m: correlated_groups(both, rows, m) for m in range(2, min(max_bits + 1, 6) + 1)} or {1: [list(range(BITS))]}
+    whole = {(m, i): sum(1 << b for b in g) for m, groups in layouts.items() for i, g in enumerate(groups)}
+    counted = keys_of(distinct, sorted(set(whole.values()))).groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
+    over = [F.sum(F.when(F.col("n") * 2**t > bucket_rows, F.col("n")).otherwise(0)) for t in range(max_bits + 1)]
+    sums = {r[0]: r for r in counted.groupBy("mask").agg(F.sum(F.expr("cast(n as decimal(38,0)) * (n - 1)")), F.array(*over)).collect()}
+    found = []
+    for m, groups in layouts.items():
+        known = [sums.get(signed(whole[m, i]), (0, 0, [0] * (max_bits + 1))) for i in range(len(groups))]
+        found.append((*allocate([len(g) for g in groups], rows, [int(k[1]) for k in known], [k[2] for k in known], max_bits), groups))
+    _, thresholds, groups = min(found, key=lambda x: x[0])
+    return masks_of(groups, thresholds)
+
+
+def links(distinct: DataFrame, scratch: Scratch, max_bits: int = 2, bucket_rows: int = 2048) -> DataFrame:
     """Edges whose components are those of all links between the distinct fingerprints in column ``fp``."""
-    rows = distinct.count()
-    parts = max(2, min(max_bits + 2, int(BITS // max(1.0, log2(max(rows, 2))))))
-    groups = correlated_groups(co_occurrence(distinct), rows, parts)
-    whole = [sum(1 << b for b in g) for g in groups]
-    counted = keys_of(distinct, whole).groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
-    pairs = {m: int(s) for m, s in counted.groupBy("mask").agg(F.sum(F.expr("cast(n as decimal(38,0)) * (n - 1)"))).collect()}
-    thresholds = allocate([len(g) for g in groups], rows, [pairs.get(signed(m), 0) for m in whole], max_bits)
-    keys = keys_of(distinct, masks_of(groups, thresholds))
+    keys = keys_of(distinct, choose_keys(distinct, max_bits, bucket_rows))
     shared = scratch.write(keys.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared_keys")
-    members = scratch.write(keys.join(shared, ["mask", "value"]), "members")
+    members = keys.join(shared, ["mask", "value"])
     small = members.where(F.col("n") <= bucket_rows).groupBy("mask", "value").agg(F.collect_list("fp").alias("fps"))
     # Too many under one key: meet at centres. Each centre has at most the fingerprints of the ball round it.
-    radius = -(-max_bits // 2)
-    flips = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(BITS), r)]
+    flips = [sum(1 << b for b in c) for r in range(-(-max_bits // 2) + 1) for c in combinations(range(BITS), r)]
     centres = members.where(F.col("n") > bucket_rows).select("fp").distinct().select("fp", F.explode(F.array(*(F.lit(signed(x)) for x in flips))).alias("flip"))
     large = centres.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre")).groupBy("centre").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return verified(small, max_bits).unionAll(verified(large, max_bits))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, bucket_rows: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, bucket_rows: int = 2048
 ) -> DataFrame:
     """One row a document: its id, ``fingerprint`` in hex and ``component_id``, the smallest id that it reaches."""
     scratch = Scratch(docs.sparkSession, "simhash")
@@ -205,6 +225,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, the document with the smallest id (with its repeated rows, if it has any)."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    """Of each component, the document with the smallest id (with its repeated rows, if it has any).
+
+    STAGE_BITS is wider than the query's threshold: near copies with four fifths of their five-word shingles in common
+    differ by up to so many bits, while unrelated texts of this many documents don't come that near.
+    """
+    kept = near_duplicates(docs, max_bits=STAGE_BITS).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")

@@ -28,6 +28,8 @@ from pyspark.sql import window as W
 from millrace.llm.shared import Scratch
 
 BITS = 64
+#: What a probe costs, in candidates: it is made, shuffled and looked up.
+PROBE_COST = 20
 
 
 def code_of(vector: Column, bits: int = BITS) -> Column:
@@ -42,7 +44,7 @@ def widths(segments: int, bits: int = BITS) -> list[int]:
 
 
 def choose_segments(codes: int, k: int, bits: int = BITS) -> int:
-    """The m of least probes and candidates a query, if codes were uniform."""
+    """The m of least cost a query, if codes were uniform: a probe is a row of a join, a candidate a comparison in it."""
     ball, reach = 0, -1
     while reach < bits and codes * ball < k << bits:
         reach += 1
@@ -50,7 +52,7 @@ def choose_segments(codes: int, k: int, bits: int = BITS) -> int:
 
     def cost(m: int) -> float:
         probes = [sum(comb(w, r) for r in range(min(w, reach // m) + 1)) for w in widths(m, bits)]
-        return sum(p + codes * p / 2**w for p, w in zip(probes, widths(m, bits), strict=True))
+        return sum(PROBE_COST * p + codes * p / 2**w for p, w in zip(probes, widths(m, bits), strict=True))
 
     return min(range(1, 17), key=cost)
 

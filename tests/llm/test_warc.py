@@ -1,0 +1,72 @@
+import base64
+import gzip
+import hashlib
+import random
+
+import pytest
+from differential import connect, differences
+from pyspark.sql import functions as F
+
+from millrace.llm import warc
+from millrace.llm.shared import Scratch
+
+SMALL = "/root/testdata/sf0.001"
+PAGES = [
+    (3, "http://a/", "<p>x</p>"), (1, "http://b/", "<p>x</p>"), (2, None, "<p>x</p>"), (4, "http://c/\r\nX: y z", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n\r\n"),
+    (5, "http://d/", None), (6, "http://d/", ""), (7, "http://ü/", "é" * 100_000), (8, "u", "same"), (8, "u", "same"), (9, "u", "same"), (None, "n", "lone"), (None, "n", "<p>x</p>"), (10, "u", "\r\n\r\n"),
+]
+
+
+def written(spark, pages, **settings):
+    scratch = Scratch(spark, "test_warc")
+    warc.write_archives(pages, scratch.path("warc"), "page_id", "url", "html", **settings)
+    return warc.read_archives(spark, scratch.path("warc")), scratch
+
+
+def frame(spark, rows=PAGES):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("page", F.lit("clash"))
+
+
+def test_round_trip(spark):
+    records, scratch = written(spark, frame(spark), records_per_file=3)
+    got = sorted(map(tuple, warc.resolve(records, scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr)
+    digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    want = []
+    for i, _, t in PAGES:
+        known = [j for j, _, u in PAGES if digest(u) == digest(t) and j is not None]
+        first = min(known) if known else None
+        revisit = first is not None and i != first
+        want.append((i, len((t or "").encode()), digest(t), "revisit" if revisit else "response", first if revisit else None))
+    assert got == sorted(want, key=repr)
+    urls = {r["page_id"]: r["url"] for r in records.collect()}
+    assert urls[2] is None and urls[4] == "http://c/%0D%0AX:%20y%20z" and urls[7] == "http://ü/"
+    # A shared payload is in the archives once.
+    assert records.where("record_type = 'response' and page_id = 1").count() == 1
+
+
+def test_small_payloads_stay(spark):
+    records, scratch = written(spark, frame(spark), min_bytes=9)
+    assert records.where("record_type = 'revisit'").count() == 0
+    assert warc.resolve(records, scratch).count() == len(PAGES)
+
+
+def test_empty(spark):
+    records, scratch = written(spark, frame(spark, []))
+    assert warc.resolve(records, scratch).count() == 0
+
+
+def test_parse_streams():
+    rng = random.Random(1)
+    blocks = [bytes(rng.randrange(256) for _ in range(rng.randint(0, 300))) for _ in range(50)]
+    data = b"".join(b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    for size in (1, 7, 1000):
+        assert [b for _, b in warc.parse(data[i : i + size] for i in range(0, len(data), size))] == blocks
+    members = b"".join(gzip.compress(data[i : i + 900]) for i in range(0, len(data), 900))
+    assert [b for _, b in warc.parse(warc._pieces(members))] == blocks
+    for cut in (5, 40, len(data) - 1):
+        with pytest.raises(ValueError):
+            list(warc.parse(iter([data[:cut]])))
+
+
+def test_like_sql(spark):
+    assert not differences(warc.op6_warc(spark, SMALL), connect(SMALL), warc.ORACLE)

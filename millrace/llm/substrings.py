@@ -7,10 +7,11 @@ A window is ``WINDOW`` consecutive words. The steps:
    through but never too few.
 2. Confirmation. Windows whose anchor is in the bitmap are grouped by hash. A window of two or
    more documents recurs; its first place (smallest document, then position) is its source.
-3. Automata. Sources are dealt to shards of about ``windows_per_shard`` windows. Each task compiles a shard's windows
-   into an Aho-Corasick automaton over words and streams through it every document that was
-   found to share windows with the shard, whole; shards with many documents are salted. It compares words, so no
-   hash decides a removal. Each match of a source from a smaller document covers its words.
+3. Automata. Sources are dealt to shards of about ``windows_per_shard`` windows. Each task compiles a shard's passages
+   (sources that follow one another) into an Aho-Corasick automaton over words and streams through it every document
+   that was found to share windows with the shard, whole; shards with many documents are salted. The automaton
+   looks for seeds, phrases so placed that each window of a passage has one, and matches are extended word by word, so
+   no hash decides a removal. Each match of a window or more from a smaller document covers its words.
 4. Covered runs are joined with their texts once more to cut them out.
 
 Texts with the same words are known by a digest: those after the first lose all their words if they have a
@@ -39,6 +40,8 @@ from pyspark.sql import window as W
 from millrace.llm.shared import Scratch, partitions
 
 WINDOW, ANCHOR = 13, 4
+#: Words of a phrase that the automata look for: every window has a whole one if they stand this far apart.
+SEED = (WINDOW + 1) // 2
 #: Bytes of text that a task hashes at a time, and words of a long text taken together.
 BLOCK, SEGMENT = 1 << 20, 100_000
 #: Positions of one document that stay in one shard.
@@ -210,38 +213,70 @@ def _runs(covered: list[tuple[int, int]]) -> list[int]:
 
 
 class Automaton:
-    """Windows of the shard's sources, over an alphabet with one character a word."""
+    """Passages of the shard's sources, over an alphabet with one character a word.
 
-    #: Characters for words from here on, without the surrogates; 0 is for words that no window has.
+    A passage is the words of windows of one source that follow one another. Its seeds are the SEED-word
+    phrases at every SEED-th word of it, so each of its windows has one whole. The automaton finds the seeds; a seed is
+    extended both ways as far as passage and text agree, and what comes to a window or more is covered.
+    """
+
+    #: Characters for words from here on, without the surrogates; 0 is for words that no passage has.
     FIRST, GAP, GAP_SIZE = 1, 0xD800, 0x800
 
     def __init__(self) -> None:
         self.letters: dict[bytes, str] = {}
+        self.passages: list[tuple[object, str]] = []
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         self.ready = False
 
     def add(self, source: object, words: list[bytes], at: list[int]) -> None:
+        """``at`` has the windows' first words in order."""
         letters = self.letters
-        for start in at:
-            window = words[start : start + WINDOW]
-            for w in window:
+        bounds = _runs([(a, a + 1) for a in at])
+        for start, after in zip(bounds[::2], bounds[1::2], strict=True):
+            held = words[start : after + WINDOW - 1]
+            for w in held:
                 if w not in letters:
                     code = self.FIRST + len(letters)
                     letters[w] = chr(code + self.GAP_SIZE * (code >= self.GAP))
-            key = "".join([letters[w] for w in window])
-            old = self.machine.get(key, None)
-            self.machine.add_word(key, source if old is None else min(old, source))
+            passage = "".join([letters[w] for w in held])
+            for offset in range(0, len(passage) - SEED + 1, SEED):
+                seed, here = passage[offset : offset + SEED], (len(self.passages), offset)
+                if (known := self.machine.get(seed, None)) is None:
+                    self.machine.add_word(seed, [here])
+                else:
+                    known.append(here)
+            self.passages.append((source, passage))
 
     def covered(self, target: object, words: list[bytes]) -> list[int]:
         """Runs of words in windows that a source smaller than the target holds."""
+        if not self.letters:
+            return []
         if not self.ready:
             self.machine.make_automaton()
             self.ready = True
-        if not self.letters:
-            return []
         get = self.letters.get
         text = "".join([get(w, "\0") for w in words])
-        return _runs([(end - WINDOW + 1, end + 1) for end, source in self.machine.iter(text) if source < target])
+        found: list[tuple[int, int]] = []
+        # Where the last extension ended, by passage and place of its first word: seeds before that were part of it.
+        done: dict[tuple[int, int], int] = {}
+        for end, seeds in self.machine.iter(text):
+            at = end + 1 - SEED
+            for number, offset in seeds:
+                source, passage = self.passages[number]
+                first = at - offset
+                if not source < target or done.get((number, first), -1) > at:
+                    continue
+                a, b = at, end + 1
+                low, high = max(0, first), min(len(text), first + len(passage))
+                while a > low and text[a - 1] == passage[a - 1 - first]:
+                    a -= 1
+                while b < high and text[b] == passage[b - first]:
+                    b += 1
+                done[number, first] = b
+                if b - a >= WINDOW:
+                    found.append((a, b))
+        return _runs(found)
 
 
 def matched(routed: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ A window is ``WINDOW`` consecutive words. The steps:
    phrases. Phrases named in two different texts are kept, as a bitmap of bounded size: it may let too many
    through but never too few.
 2. Confirmation. Windows whose anchor is in the bitmap are grouped by hash. A window of two or
-   more documents recurs; its first place (smallest document, then position) is its source.
+   more documents recurs; its first place (smallest document, then position) is its source. Windows of very common
+   anchors, known from the counts of step 1, get their first place by a combined minimum and a join, so none fills a task.
 3. Automata. Sources are dealt to shards of about ``windows_per_shard`` windows. Each task compiles a shard's passages
    (sources that follow one another) into an Aho-Corasick automaton over words and streams through it every document
    that was found to share windows with the shard, whole; shards with many documents are salted. The automaton
@@ -47,6 +48,8 @@ BLOCK, SEGMENT = 1 << 20, 100_000
 #: Positions of one document that stay in one shard.
 CHUNK = 16_384
 MAX_BITMAP_BITS = 26
+#: An anchor in more places than the larger of COMMON and a MOST_COMMON-th of all is common: fewer than MOST_COMMON are.
+COMMON, MOST_COMMON = 4096, 65_536
 
 _rng = np.random.default_rng(20)
 BASE = int(_rng.integers(1 << 62)) * 2 + 1
@@ -181,17 +184,26 @@ def bitmap(hashes: DataFrame, column: str, count: int) -> tuple[DataFrame, int]:
     return hashes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), bits
 
 
-def occurrences(rows: DataFrame, recurring: np.ndarray, bits: int) -> DataFrame:
-    """(window, id, at): windows whose anchor is in the bitmap."""
-    shared = rows.sparkSession.sparkContext.broadcast(recurring)
+def common_anchors(recurring: DataFrame) -> np.ndarray:
+    """The anchors, in order, whose windows are too many for one task; fewer than MOST_COMMON whatever the corpus."""
+    total = recurring.agg(F.sum("n")).first()[0] or 0
+    common = recurring.where(F.col("n") > max(COMMON, total // MOST_COMMON)).select("phrase").toArrow()
+    return np.sort(common.column("phrase").to_numpy().view(np.uint64))
+
+
+def occurrences(rows: DataFrame, recurring: np.ndarray, bits: int, common: np.ndarray, wanted: bool) -> DataFrame:
+    """(window, id, at): windows whose anchor is in the bitmap and common, or not, as wanted."""
+    shared = rows.sparkSession.sparkContext.broadcast((recurring, common))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, shift = shared.value, np.uint64(64 - bits)
+        (marks, common), shift = shared.value, np.uint64(64 - bits)
         for batch in batches:
             for start, texts in _batches(batch.column("text")):
                 for found in windows(texts):
                     at = found.anchor >> shift
                     kept = np.flatnonzero((marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+                    if len(common):
+                        kept = kept[np.isin(found.anchor[kept], common) == wanted]
                     ids = batch.column("id").take(pa.array(start + found.row[kept]))
                     hashes = found.hash(WINDOW)[found.whole[kept]].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(hashes), ids, pa.array(found.at[kept].astype(np.int32))], names=["window", "id", "at"])
@@ -315,16 +327,23 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
         found.join(firsts, F.col("digest") == F.col("of"), "left").select("id", "key", "n_words", "digest", F.coalesce(copy, F.lit(False)).alias("copy")), "known"
     )
 
-    spread = anchors(rows).groupBy("phrase").agg(F.min("text").alias("a"), F.max("text").alias("b"))
-    recurring = scratch.write(spread.where("a <> b").select("phrase"), "recurring")
+    spread = anchors(rows).groupBy("phrase").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.count(F.lit(1)).alias("n"))
+    recurring = scratch.write(spread.where("a <> b").select("phrase", "n"), "recurring")
     marks, bits = bitmap(recurring, "phrase", recurring.count())
     table = marks.toArrow()
     array = np.zeros(1 << max(0, bits - 6), np.uint64)
     array[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
 
-    place = F.min(F.struct("id", "at")).over(W.Window.partitionBy("window"))
-    last = F.max("id").over(W.Window.partitionBy("window"))
-    spots = occurrences(rows, array, bits).withColumn("place", place).withColumn("last", last).where("place.id < last")
+    place, last = F.min(F.struct("id", "at")), F.max("id")
+    by, common = W.Window.partitionBy("window"), common_anchors(recurring)
+    spots = occurrences(rows, array, bits, common, False).withColumn("place", place.over(by)).withColumn("last", last.over(by))
+    if len(common):
+        # One window may have a third of all places: its first is found by a combined minimum and joined back, and
+        # Spark splits what a join reads where it is skewed.
+        many = scratch.write(occurrences(rows, array, bits, common, True), "many")
+        first = many.groupBy("window").agg(place.alias("place"), last.alias("last"))
+        spots = spots.unionByName(many.join(first, "window"))
+    spots = spots.where("place.id < last")
     is_source = (F.col("id") == F.col("place.id")) & (F.col("at") == F.col("place.at"))
     chunk = F.floor(F.col("place.at") / CHUNK).cast("int").alias("chunk")
     shared = scratch.write(

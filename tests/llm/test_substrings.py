@@ -63,6 +63,23 @@ def test_bitmap_that_lets_everything_through(spark, monkeypatch):
     assert run(spark, spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+@pytest.mark.parametrize("common", [0, 4])
+def test_common_anchors(spark, monkeypatch, common):
+    monkeypatch.setattr(substrings, "COMMON", common)
+    monkeypatch.setattr(substrings, "MOST_COMMON", 1 << 30)
+    rows = shared_passages()
+    assert run(spark, spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_common_anchors_are_few(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "COMMON", 1)
+    monkeypatch.setattr(substrings, "MOST_COMMON", 10)
+    got = substrings.common_anchors(spark.createDataFrame([(-1, 2), (5, 3), (7, 30), (8, 1)], "phrase long, n long"))
+    assert got.tolist() == [7]
+    monkeypatch.setattr(substrings, "MOST_COMMON", 100)
+    assert substrings.common_anchors(spark.createDataFrame([(-1, 2), (5, 3), (7, 30), (8, 1)], "phrase long, n long")).tolist() == [5, 7, (1 << 64) - 1]
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = [(r["doc_id"], r["text"]) for r in odd_documents.collect()]
     assert run(spark, odd_documents) == brute(rows)

@@ -6,8 +6,9 @@ A window is ``WINDOW`` consecutive words. The steps:
    phrases. Phrases named in two different texts are kept, as a bitmap of bounded size: it may let too many
    through but never too few.
 2. Confirmation. Windows whose anchor is in the bitmap are grouped by hash. A window of two or
-   more documents recurs; its first place (smallest document, then position) is its source. Windows of very common
-   anchors, known from the counts of step 1, get their first place by a combined minimum and a join, so none fills a task.
+   more documents recurs; its first place (smallest document, then position) is its source. The most common
+   windows, found among those of anchors that step 1 counted most, get it before by a combined minimum; they are so few
+   that their places are broadcast, and a document is routed once to each place's chunk, so no window fills a task.
 3. Automata. Sources are dealt to shards of about ``windows_per_shard`` windows. Each task compiles a shard's passages
    (sources that follow one another) into an Aho-Corasick automaton over words and streams through it every document
    that was found to share windows with the shard, whole; shards with many documents are salted. The automaton
@@ -48,8 +49,8 @@ BLOCK, SEGMENT = 1 << 20, 100_000
 #: Positions of one document that stay in one shard.
 CHUNK = 16_384
 MAX_BITMAP_BITS = 26
-#: An anchor in more places than the larger of COMMON and a MOST_COMMON-th of all is common: fewer than MOST_COMMON are.
-COMMON, MOST_COMMON = 4096, 65_536
+#: What is in more places than the larger of COMMON and a MOST_COMMON-th of all is common: fewer than MOST_COMMON are.
+COMMON, MOST_COMMON = 4096, 1 << 20
 
 _rng = np.random.default_rng(20)
 BASE = int(_rng.integers(1 << 62)) * 2 + 1
@@ -184,33 +185,81 @@ def bitmap(hashes: DataFrame, column: str, count: int) -> tuple[DataFrame, int]:
     return hashes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), bits
 
 
+def _is_common(counted: DataFrame) -> Column:
+    return F.col("n") > max(COMMON, (counted.agg(F.sum("n")).first()[0] or 0) // MOST_COMMON)
+
+
 def common_anchors(recurring: DataFrame) -> np.ndarray:
-    """The anchors, in order, whose windows are too many for one task; fewer than MOST_COMMON whatever the corpus."""
-    total = recurring.agg(F.sum("n")).first()[0] or 0
-    common = recurring.where(F.col("n") > max(COMMON, total // MOST_COMMON)).select("phrase").toArrow()
+    """The anchors in most places, in order; fewer than MOST_COMMON whatever the corpus."""
+    common = recurring.where(_is_common(recurring)).select("phrase").toArrow()
     return np.sort(common.column("phrase").to_numpy().view(np.uint64))
 
 
-def occurrences(rows: DataFrame, recurring: np.ndarray, bits: int, common: np.ndarray, wanted: bool) -> DataFrame:
-    """(window, id, at): windows whose anchor is in the bitmap and common, or not, as wanted."""
-    shared = rows.sparkSession.sparkContext.broadcast((recurring, common))
+class Places:
+    """First places of the windows in most places (fewer than MOST_COMMON): by hash, and what they have in common."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        hashes = table.column("window").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        numbers: dict[tuple[object, int], int] = {}
+        spots = zip(table.column("id").to_pylist(), table.column("at").to_pylist(), strict=True)
+        group = [numbers.setdefault((i, at // CHUNK), len(numbers)) for i, at in spots]
+        self.group = np.array(group, np.int64)[order]
+        self.sources = pa.array([i for i, _ in numbers], table.schema.field("id").type)
+        self.chunks = pa.array([c for _, c in numbers], pa.int32())
+
+
+def _marked(rows: DataFrame, recurring: np.ndarray, bits: int, only: np.ndarray | None, schema: str, made, places: Places | None = None) -> DataFrame:
+    """What ``made(ids, rows, hashes, places of the windows, common ones)`` gives for windows whose anchor is in the bitmap."""
+    shared = rows.sparkSession.sparkContext.broadcast((recurring, only, places))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (marks, common), shift = shared.value, np.uint64(64 - bits)
+        (marks, only, places), shift = shared.value, np.uint64(64 - bits)
         for batch in batches:
             for start, texts in _batches(batch.column("text")):
                 for found in windows(texts):
                     at = found.anchor >> shift
                     kept = np.flatnonzero((marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
-                    if len(common):
-                        kept = kept[np.isin(found.anchor[kept], common) == wanted]
-                    ids = batch.column("id").take(pa.array(start + found.row[kept]))
-                    hashes = found.hash(WINDOW)[found.whole[kept]].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), ids, pa.array(found.at[kept].astype(np.int32))], names=["window", "id", "at"])
+                    if only is not None:
+                        kept = kept[np.isin(found.anchor[kept], only)]
+                    yield from made(batch.column("id"), start + found.row[kept], found.hash(WINDOW)[found.whole[kept]], found.at[kept].astype(np.int32), places)
 
     kept = rows.where("id is not null").select("id", "text")
-    schema = f"window long, id {kept.schema['id'].dataType.simpleString()}, at int"
-    return kept.mapInArrow(make, schema)
+    return kept.mapInArrow(make, schema.format(kept.schema["id"].dataType.simpleString()))
+
+
+def _spots(ids: pa.Array, row: np.ndarray, hashes: np.ndarray, at: np.ndarray, places: Places | None) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids.take(pa.array(row)), pa.array(at)], names=["window", "id", "at"])
+
+
+def _spots_and_routes(ids: pa.Array, row: np.ndarray, hashes: np.ndarray, at: np.ndarray, places: Places) -> Iterator[pa.RecordBatch]:
+    names, here = ["window", "id", "at", "source", "chunk"], np.zeros(len(hashes), bool)
+    if len(places.hashes):
+        found = np.minimum(np.searchsorted(places.hashes, hashes), len(places.hashes) - 1)
+        here = places.hashes[found] == hashes
+        groups = len(places.sources)
+        pairs = np.unique(row[here] * groups + places.group[found[here]])
+        doc, group = ids.take(pa.array(pairs // groups)), pa.array(pairs % groups)
+        nothing = [pa.nulls(len(pairs), pa.int64()), doc, pa.nulls(len(pairs), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*nothing, places.sources.take(group), places.chunks.take(group)], names=names)
+    row, hashes, at = row[~here], hashes[~here], at[~here]
+    known = [pa.array(hashes.view(np.int64)), ids.take(pa.array(row)), pa.array(at)]
+    yield pa.RecordBatch.from_arrays([*known, pa.nulls(len(row), ids.type), pa.nulls(len(row), pa.int32())], names=names)
+
+
+def occurrences(rows: DataFrame, recurring: np.ndarray, bits: int, places: Places) -> DataFrame:
+    """Windows whose anchor is in the bitmap: (window, id, at) of each, or, of common ones, (id, source, chunk) once a document."""
+    return _marked(rows, recurring, bits, None, "window long, id {0}, at int, source {0}, chunk int", _spots_and_routes, places)
+
+
+def common_windows(rows: DataFrame, recurring: DataFrame, marks: np.ndarray, bits: int, scratch: Scratch) -> pa.Table:
+    """(window, id, at): the first places of the windows that are in most places and in two documents."""
+    spots = _marked(rows, marks, bits, common_anchors(recurring), "window long, id {0}, at int", _spots)
+    first = spots.groupBy("window").agg(F.min(F.struct("id", "at")).alias("place"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    counted = scratch.write(first, "counted")
+    return counted.where(_is_common(counted) & (F.col("place.id") < F.col("last"))).select("window", "place.id", "place.at").toArrow()
 
 
 def _runs(covered: list[tuple[int, int]]) -> list[int]:
@@ -334,22 +383,19 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
     array = np.zeros(1 << max(0, bits - 6), np.uint64)
     array[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
 
-    place, last = F.min(F.struct("id", "at")), F.max("id")
-    by, common = W.Window.partitionBy("window"), common_anchors(recurring)
-    spots = occurrences(rows, array, bits, common, False).withColumn("place", place.over(by)).withColumn("last", last.over(by))
-    if len(common):
-        # One window may have a third of all places: its first is found by a combined minimum and joined back, and
-        # Spark splits what a join reads where it is skewed.
-        many = scratch.write(occurrences(rows, array, bits, common, True), "many")
-        first = many.groupBy("window").agg(place.alias("place"), last.alias("last"))
-        spots = spots.unionByName(many.join(first, "window"))
-    spots = spots.where("place.id < last")
+    common = common_windows(rows, recurring, array, bits, scratch)
+    table = docs.sparkSession.createDataFrame(common.select(["id", "at"]), T.StructType([rows.schema["id"], T.StructField("at", T.IntegerType())]))
+    # Common windows are routed already: their rows are dealt by document.
+    spots = occurrences(rows, array, bits, Places(common)).withColumn("window", F.coalesce("window", F.xxhash64("id")))
+    by, chunk = W.Window.partitionBy("window"), F.floor(F.col("at") / CHUNK).cast("int")
+    spots = spots.withColumn("place", F.min(F.when(F.col("source").isNull(), F.struct("id", "at"))).over(by)).withColumn("last", F.max("id").over(by))
+    routed = F.col("source").isNotNull()
     is_source = (F.col("id") == F.col("place.id")) & (F.col("at") == F.col("place.at"))
-    chunk = F.floor(F.col("place.at") / CHUNK).cast("int").alias("chunk")
-    shared = scratch.write(
-        spots.where(is_source | (F.col("id") > F.col("place.id"))).select("id", F.col("place.id").alias("source"), chunk, F.when(is_source, F.col("at")).alias("place")).distinct(),
-        "shared",
-    )
+    first = F.coalesce("source", "place.id")
+    wanted = F.when(routed, F.col("id") > F.col("source")).otherwise((F.col("place.id") < F.col("last")) & (is_source | (F.col("id") > F.col("place.id"))))
+    at_first = F.coalesce("chunk", F.floor(F.col("place.at") / CHUNK).cast("int"))
+    found = spots.where(wanted).select("id", first.alias("source"), at_first.alias("chunk"), F.when(~routed & is_source, F.col("at")).alias("place"))
+    shared = scratch.write(found.unionAll(table.select("id", F.col("id").alias("source"), chunk.alias("chunk"), F.col("at").alias("place"))).distinct(), "shared")
     sources = shared.where("place is not null")
     shards = max(1, ceil(sources.count() / windows_per_shard))
     shard = F.pmod(F.xxhash64("source", "chunk"), F.lit(shards)).cast("int").alias("shard")

@@ -3,7 +3,7 @@
 A text gets the leading mark and marks for its spaces, and is cut into marked words: marks, then characters of
 the vocabulary; a character that the vocabulary lacks is a word of its own. No piece
 reaches over such a cut, so words are encoded alone. Per block of documents the distinct words are sorted, which
-lines them up as a depth-first walk of their trie; the forward states of a word are kept as far as the next word
+lines them up as a depth-first walk of their trie (those of earlier blocks are known already); the forward states of a word are kept as far as the next word
 shares its prefix and computed only for what is new.
 
 The forward state of a prefix is its best segmentation's last piece. With a unigram model it is Viterbi's best
@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text that a task encodes at a time.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 6_000_000
+#: Words whose ids, and pairs of pieces whose verdicts, a task keeps from block to block; then it starts anew.
+KEPT_WORDS, KEPT_PAIRS = 200_000, 500_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -104,6 +106,7 @@ class Codec:
             node[""] = True
         self.worst = min((s for _, s in pieces.values()), default=0.0) - 10
         self.allowed: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, list[int]] = {}
         self.out = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()}
         self.out |= {i: bytes([b]) for b, i in byte_ids.items()} | {unknown: " ⁇ ".encode()}
 
@@ -124,7 +127,7 @@ class Codec:
         """Whether merging keeps a and b apart and whole; a is empty at a word's start."""
         found = self.allowed.get((a, b))
         if found is None:
-            if len(self.allowed) > 2_000_000:
+            if len(self.allowed) > KEPT_PAIRS:
                 self.allowed.clear()
             found = self.allowed[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return found
@@ -180,7 +183,10 @@ class Codec:
         for text in texts:
             codes += [index.setdefault(w, len(index)) for w in self.split(text or "")]
             ends.append(len(codes))
-        ids = self.encode_words(index)
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+        ids = self.known
+        ids |= self.encode_words(w for w in index if w not in ids)
         sizes = np.fromiter((len(ids[w]) for w in index), np.int64, len(index))
         flat = np.fromiter((i for w in index for i in ids[w]), np.int32, int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes

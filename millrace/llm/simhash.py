@@ -28,7 +28,7 @@ from math import comb, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
@@ -40,16 +40,21 @@ PAIR_COST = 0.002
 FULL = (1 << BITS) - 1
 SEED = 42
 STAGE_BITS = 6
+#: The pipeline's stage: fingerprints a text, and the least Jaccard similarity of near copies' shingles of so many words.
+STAGE_SEEDS = 8
+STAGE_SIMILARITY = 0.8
+STAGE_SHINGLE = 5
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     """bytes.lower and bytes.split know exactly the letters A-Z and the white space meant here."""
     words = text.lower().split() if text else []
-    if not words:
-        return 0
     k = min(shingle, len(words))
     value = xxhash.xxh64_intdigest
-    hashes = np.fromiter((value(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(k)), strict=False)), np.uint64)
+    return np.fromiter((value(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(k)), strict=False)), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
@@ -57,6 +62,20 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def reseeded(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes that a k-th seed might have given: SplitMix64's finisher over a shifted state; 0 leaves them as they are."""
+    if k == 0:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & FULL)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
     """(id, fp), the fingerprint as a signed long."""
 
@@ -224,11 +243,114 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _fingerprints_of_texts(texts: DataFrame, seeds: int) -> DataFrame:
+    """(digest, fps): a fingerprint for each seed."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("text"):
+                hashes = shingle_hashes(text.as_py(), 3)
+                found.append([signed(majority(reseeded(hashes, k))) for k in range(seeds)])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(found, pa.list_(pa.int64()))], names=["digest", "fps"])
+
+    return texts.mapInArrow(make, "digest string, fps array<long>")
+
+
+def candidates(prints: DataFrame, scratch: Scratch, max_bits: int) -> DataFrame:
+    """(digest, cluster): texts that links of one seed or another connect.
+
+    The fingerprints of all seeds are linked at once. Those of different seeds come near each other no more
+    often than those of unrelated texts, and candidates are compared anyway.
+    """
+    named = prints.select("digest", F.explode("fps").alias("fp"))
+    first = scratch.write(named.groupBy("fp").agg(F.min("digest").alias("name")), "distinct")
+    found = scratch.write(links(first.select("fp"), scratch, max_bits).distinct(), "links")
+    ends = found.join(first.select(F.col("fp").alias("a"), F.col("name").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("name").alias("v")), "b")
+    same = named.join(first, "fp").where("digest <> name").select(F.col("digest").alias("u"), F.col("name").alias("v"))
+    return components(ends.select("u", "v").unionAll(same), scratch, "cluster_components").select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``least``; two empty ones are alike."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= least * (len(a) + len(b) - shared)
+
+
+def _connected(names: list[str], blocks: list[int], sets: list[np.ndarray], least: float) -> list[tuple[str, str]]:
+    """A forest of the similar pairs: of one block, or between two. Pairs that are connected already aren't compared."""
+    label, members, out = list(range(len(names))), {i: [i] for i in range(len(names))}, []
+    two = len(set(blocks)) > 1
+    for i in range(len(names)):
+        for j in range(i):
+            if label[i] == label[j] or (two and blocks[i] == blocks[j]) or not similar(sets[i], sets[j], least):
+                continue
+            out.append((names[i], names[j]))
+            gone, kept = sorted((label[i], label[j]), key=lambda x: len(members[x]))
+            for x in members[gone]:
+                label[x] = kept
+            members[kept] += members.pop(gone)
+    return out
+
+
+def similar_texts(clusters: DataFrame, texts: DataFrame, scratch: Scratch, least: float, block_rows: int = 1024, block_bytes: int = 1 << 26) -> DataFrame:
+    """Edges (a, b) whose components are those of all similar pairs of one cluster, told from their whole shingle sets.
+
+    A cluster is dealt into blocks of bounded size, and each two blocks (or one) are compared in a group of their own.
+    """
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(x.as_py(), STAGE_SHINGLE)).tobytes() for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("cluster"), pa.array(sets, pa.binary())], names=["digest", "cluster", "shingles"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("block", "ascending"), ("digest", "ascending")])
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
+        edges = _connected(group.column("digest").to_pylist(), group.column("block").to_pylist(), sets, least)
+        return pa.table([pa.array([e[0] for e in edges], pa.string()), pa.array([e[1] for e in edges], pa.string())], names=["a", "b"])
+
+    sets = scratch.write(texts.join(clusters, "digest").mapInArrow(shingled, "digest string, cluster string, shingles binary"), "shingles")
+    sums = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum(F.length("shingles")) / block_bytes), F.lit(1)).cast("int").alias("blocks"))
+    dealt = sets.join(sums, "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "digest", "shingles"
+    )
+    return cells.groupBy("cluster", "low", "high").applyInArrow(compare, "a string, b string")
+
+
+def near_copies(docs: DataFrame, scratch: Scratch, seeds: int, max_bits: int, least: float) -> DataFrame:
+    """(digest, id, name) of each text and id: ``name`` is the smallest id of the texts that similar pairs connect it with."""
+    texts = docs.select(digest_of("text").alias("digest"), F.col("text").cast("binary").alias("text"))
+    ids = scratch.write(docs.select(digest_of("text").alias("digest"), F.col("doc_id").alias("id")).distinct(), "ids")
+    firsts = scratch.write(ids.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
+    # One row a text; which of its copies is read doesn't matter.
+    prints = scratch.write(_fingerprints_of_texts(texts, seeds).dropDuplicates(["digest"]), "prints")
+    clusters = scratch.write(candidates(prints, scratch, max_bits), "clusters")
+    wanted = docs.join(firsts, (digest_of("text") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("digest", F.col("text").cast("binary").alias("text"))
+    wanted = wanted.join(clusters.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    edges = scratch.write(similar_texts(clusters, wanted, scratch, least), "similar")
+    roots = scratch.write(components(edges, scratch, "similar_components").join(firsts, F.col("node") == F.col("digest")).select("node", "root", "first"), "similar_roots")
+    names = roots.groupBy("root").agg(F.min("first").alias("name"))
+    named = roots.join(names, "root").select(F.col("node").alias("digest"), "name")
+    return ids.join(firsts, "digest").join(named, "digest", "left").select("digest", "id", F.coalesce("name", "first").alias("name"))
+
+
+def digest_of(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, the document with the smallest id (with its repeated rows, if it has any).
+    """Of each group of near copies, the document with the smallest id (with its repeated rows, if it has any).
 
-    STAGE_BITS is wider than the query's threshold: near copies with four fifths of their five-word shingles in common
-    differ by up to so many bits, while unrelated texts of this many documents don't come that near.
+    Near copies have at least STAGE_SIMILARITY of their five-word shingles in common (Jaccard), or are
+    connected by such pairs. Texts within STAGE_BITS bits by any of STAGE_SEEDS fingerprints are candidates, which
+    misses some pairs near the threshold; each link between them is told from both whole shingle sets.
     """
-    kept = near_duplicates(docs, max_bits=STAGE_BITS).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    found = near_copies(docs, Scratch(spark, "simhash-stage"), STAGE_SEEDS, STAGE_BITS, STAGE_SIMILARITY)
+    kept = found.where("id <=> name").select(F.col("digest").alias("__digest"), F.col("id").alias("__kept"))
+    return docs.join(kept, (digest_of("text") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")

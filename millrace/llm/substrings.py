@@ -366,7 +366,7 @@ def matched(routed: DataFrame) -> DataFrame:
 def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, windows_per_shard: int = 32_768, targets_per_task: int = 4_096) -> tuple[DataFrame, DataFrame]:
     """What to remove: (id, key, n_words, digest, copy) of every row, and (id, key, runs) of rows with covered words.
 
-    ``copy`` rows have the words of a smaller document and lose them all; they have no runs.
+    ``copy`` rows have the words of a smaller document and lose them all; runs that they may have (if their id is repeated) don't count.
     """
     rows = _rows(docs, id_col, text_col)
     found = scratch.write(profiles(rows), "profiles")
@@ -400,8 +400,8 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
     shards = max(1, ceil(sources.count() / windows_per_shard))
     shard = F.pmod(F.xxhash64("source", "chunk"), F.lit(shards)).cast("int").alias("shard")
     patterns = sources.select("id", shard, "place").groupBy("id", "shard").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    # Copies of an earlier text are cut whole anyway.
-    whole = known.where("copy").select(F.col("id").alias("gone")).distinct()
+    # Copies of an earlier text are cut whole anyway; an id's other rows, if it is repeated, are not.
+    whole = known.groupBy(F.col("id").alias("gone")).agg(F.every("copy").alias("copies")).where("copies").select("gone")
     targets = shared.where("place is null").select("id", shard).distinct().join(whole, F.col("id") == F.col("gone"), "left_anti")
     targets = scratch.write(targets, "targets")
     salts = targets.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / targets_per_task).cast("int").alias("salts"))

@@ -119,3 +119,11 @@ def test_cut_documents(spark, odd_documents):
 
 def test_like_sql(spark):
     assert not differences(substrings.op10_substring_dedup(spark, SMALL), connect(SMALL), substrings.ORACLE)
+
+
+def test_an_id_with_a_copy_and_another_text(spark):
+    """Id 2 has a copy of id 1's text and a text that holds a passage of id 0."""
+    rng = random.Random(17)
+    a, b, c = (prose(rng, n=60) for _ in range(3))
+    rows = [(0, a), (1, b), (2, b), (2, f"{c} {' '.join(a.split()[10:40])}")]
+    assert run(spark, spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)

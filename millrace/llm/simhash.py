@@ -23,27 +23,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb, log2
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.components import components
-from millrace.llm.shared import Scratch
+from millrace.llm.linking import group_links, hamming_forest, jaccard_forest
+from millrace.llm.shared import Scratch, longs, maybe_among, slices
 
 BITS = 64
 #: What a comparison of two fingerprints costs, in rows of keys.
 PAIR_COST = 0.002
 FULL = (1 << BITS) - 1
 SEED = 42
-STAGE_BITS = 6
-#: The pipeline's stage: fingerprints a text, and the least Jaccard similarity of near copies' shingles of so many words.
-STAGE_SEEDS = 8
+#: The pipeline's stage: fingerprints a text, the bits that any of them may differ in to be found for certain, the share of all
+#: their bits that may differ in a candidate, and the least Jaccard similarity of near copies' shingles of so many words.
+STAGE_SEEDS, STAGE_BITS, FAR = 6, 4, 3 / 16
 STAGE_SIMILARITY = 0.8
 STAGE_SHINGLE = 5
+#: Candidates that are compared as one block.
+BLOCK_ROWS = 1024
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -54,12 +58,21 @@ def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     return np.fromiter((value(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(k)), strict=False)), np.uint64)
 
 
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """For each column of hashes, the bits that are set in over half of its rows.
+
+    Bits become bytes, eight of which are added at once as one number: 255 rows can't overflow a byte.
+    """
+    rows, columns = hashes.shape
+    ones = np.zeros(columns * BITS, np.int64)
+    for at in range(0, rows, 255):
+        part = np.unpackbits(np.ascontiguousarray(hashes[at : at + 255]).view(np.uint8), bitorder="little").reshape(-1, columns * BITS)
+        ones += part.view(np.uint64).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(ones * 2 > rows, bitorder="little").view(np.uint64)
+
+
 def majority(hashes: np.ndarray) -> int:
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 8192):
-        part = hashes[at : at + 8192]
-        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(majorities(hashes[:, None])[0])
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -160,7 +173,7 @@ def masks_of(groups: list[list[int]], thresholds: list[int]) -> list[int]:
 
 def keys_of(rows: DataFrame, masks: list[int]) -> DataFrame:
     """(mask, value, fp): one row for each fingerprint and mask."""
-    return rows.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask")).select(
+    return rows.select("fp", F.explode(longs([signed(m) for m in masks])).alias("mask")).select(
         "mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp"
     )
 
@@ -216,7 +229,7 @@ def links(distinct: DataFrame, scratch: Scratch, max_bits: int = 2, bucket_rows:
     small = members.where(F.col("n") <= bucket_rows).groupBy("mask", "value").agg(F.collect_list("fp").alias("fps"))
     # Too many under one key: meet at centres. Each centre has at most the fingerprints of the ball round it.
     flips = [sum(1 << b for b in c) for r in range(-(-max_bits // 2) + 1) for c in combinations(range(BITS), r)]
-    centres = members.where(F.col("n") > bucket_rows).select("fp").distinct().select("fp", F.explode(F.array(*(F.lit(signed(x)) for x in flips))).alias("flip"))
+    centres = members.where(F.col("n") > bucket_rows).select("fp").distinct().select("fp", F.explode(longs([signed(x) for x in flips])).alias("flip"))
     large = centres.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre")).groupBy("centre").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return verified(small, max_bits).unionAll(verified(large, max_bits))
 
@@ -243,101 +256,74 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _fingerprints_of_texts(texts: DataFrame, seeds: int) -> DataFrame:
-    """(digest, fps): a fingerprint for each seed."""
+def prints_of(docs: DataFrame, seeds: int) -> DataFrame:
+    """(id, digest, fps): a fingerprint for each seed, and a hash of the text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for text in batch.column("text"):
                 hashes = shingle_hashes(text.as_py(), 3)
-                found.append([signed(majority(reseeded(hashes, k))) for k in range(seeds)])
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(found, pa.list_(pa.int64()))], names=["digest", "fps"])
+                found.append(majorities(np.stack([reseeded(hashes, k) for k in range(seeds)], axis=1)))
+            flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * seeds), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), fps], names=["id", "digest", "fps"])
 
-    return texts.mapInArrow(make, "digest string, fps array<long>")
+    rows = docs.select(F.col("doc_id").alias("id"), digest_of("text").alias("digest"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(make, rows.select("id", "digest").schema.add("fps", T.ArrayType(T.LongType())))
 
 
-def candidates(prints: DataFrame, scratch: Scratch, max_bits: int) -> DataFrame:
-    """(digest, cluster): texts that links of one seed or another connect.
+def candidates(codes: DataFrame, scratch: Scratch, max_bits: int) -> DataFrame:
+    """Edges (a, b) between nodes whose fingerprints share a probe key by one seed and agree over all seeds.
 
-    The fingerprints of all seeds are linked at once. Those of different seeds come near each other no more
-    often than those of unrelated texts, and candidates are compared anyway.
+    ``codes`` has ``node`` and ``fps``. Keys are those that find all pairs within ``max_bits`` bits by any one seed; what
+    shares a key is compared over the fingerprints of all seeds, of which at most FAR of the bits may differ.
     """
-    named = prints.select("digest", F.explode("fps").alias("fp"))
-    first = scratch.write(named.groupBy("fp").agg(F.min("digest").alias("name")), "distinct")
-    found = scratch.write(links(first.select("fp"), scratch, max_bits).distinct(), "links")
-    ends = found.join(first.select(F.col("fp").alias("a"), F.col("name").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("name").alias("v")), "b")
-    same = named.join(first, "fp").where("digest <> name").select(F.col("digest").alias("u"), F.col("name").alias("v"))
-    return components(ends.select("u", "v").unionAll(same), scratch, "cluster_components").select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether the Jaccard similarity of two sorted sets is at least ``least``; two empty ones are alike."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared >= least * (len(a) + len(b) - shared)
-
-
-def _connected(names: list[str], blocks: list[int], sets: list[np.ndarray], least: float) -> list[tuple[str, str]]:
-    """A forest of the similar pairs: of one block, or between two. Pairs that are connected already aren't compared."""
-    label, members, out = list(range(len(names))), {i: [i] for i in range(len(names))}, []
-    two = len(set(blocks)) > 1
-    for i in range(len(names)):
-        for j in range(i):
-            if label[i] == label[j] or (two and blocks[i] == blocks[j]) or not similar(sets[i], sets[j], least):
-                continue
-            out.append((names[i], names[j]))
-            gone, kept = sorted((label[i], label[j]), key=lambda x: len(members[x]))
-            for x in members[gone]:
-                label[x] = kept
-            members[kept] += members.pop(gone)
-    return out
-
+    masks = choose_keys(codes.select(F.col("fps")[0].alias("fp")).distinct(), max_bits, BLOCK_ROWS)
+    data = F.unhex(F.array_join(F.transform("fps", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    probes = codes.select("node", data.alias("data"), F.posexplode("fps").alias("seed", "fp")).select(
+        "node", "data", "seed", "fp", F.posexplode(longs([signed(m) for m in masks])).alias("at", "mask")
+    )
+    keyed = probes.select(F.xxhash64("seed", "at", F.col("fp").bitwiseAND(F.col("mask"))).alias("grp"), "node", "data")
+    return group_links(keyed, scratch, "codes", hamming_forest(int(STAGE_SEEDS * BITS * FAR)), BLOCK_ROWS)
 
-def similar_texts(clusters: DataFrame, texts: DataFrame, scratch: Scratch, least: float, block_rows: int = 1024, block_bytes: int = 1 << 26) -> DataFrame:
-    """Edges (a, b) whose components are those of all similar pairs of one cluster, told from their whole shingle sets.
 
-    A cluster is dealt into blocks of bounded size, and each two blocks (or one) are compared in a group of their own.
-    """
+def similar_texts(clusters: DataFrame, texts: DataFrame, scratch: Scratch, least: float, block_rows: int = 1024, block_bytes: int = 1 << 23) -> DataFrame:
+    """Edges (a, b) whose components are those of all similar pairs of one cluster, told from their whole shingle sets."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [np.unique(shingle_hashes(x.as_py(), STAGE_SHINGLE)).tobytes() for x in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("cluster"), pa.array(sets, pa.binary())], names=["digest", "cluster", "shingles"])
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("block", "ascending"), ("digest", "ascending")])
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
-        edges = _connected(group.column("digest").to_pylist(), group.column("block").to_pylist(), sets, least)
-        return pa.table([pa.array([e[0] for e in edges], pa.string()), pa.array([e[1] for e in edges], pa.string())], names=["a", "b"])
-
-    sets = scratch.write(texts.join(clusters, "digest").mapInArrow(shingled, "digest string, cluster string, shingles binary"), "shingles")
-    sums = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum(F.length("shingles")) / block_bytes), F.lit(1)).cast("int").alias("blocks"))
-    dealt = sets.join(sums, "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "digest", "shingles"
-    )
-    return cells.groupBy("cluster", "low", "high").applyInArrow(compare, "a string, b string")
+        for part in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(x.as_py(), STAGE_SHINGLE)).tobytes() for x in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("grp"), part.column("node"), pa.array(sets, pa.binary())], names=["grp", "node", "data"])
+
+    rows = texts.join(clusters, "digest").select(F.xxhash64("cluster").alias("grp"), F.col("digest").alias("node"), "text")
+    sets = scratch.write(rows.mapInArrow(shingled, "grp long, node string, data binary"), "shingles")
+    return group_links(sets, scratch, "texts", jaccard_forest(least), block_rows, block_bytes)
 
 
 def near_copies(docs: DataFrame, scratch: Scratch, seeds: int, max_bits: int, least: float) -> DataFrame:
     """(digest, id, name) of each text and id: ``name`` is the smallest id of the texts that similar pairs connect it with."""
-    texts = docs.select(digest_of("text").alias("digest"), F.col("text").cast("binary").alias("text"))
-    ids = scratch.write(docs.select(digest_of("text").alias("digest"), F.col("doc_id").alias("id")).distinct(), "ids")
-    firsts = scratch.write(ids.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
-    # One row a text; which of its copies is read doesn't matter.
-    prints = scratch.write(_fingerprints_of_texts(texts, seeds).dropDuplicates(["digest"]), "prints")
-    clusters = scratch.write(candidates(prints, scratch, max_bits), "clusters")
-    wanted = docs.join(firsts, (digest_of("text") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("digest", F.col("text").cast("binary").alias("text"))
-    wanted = wanted.join(clusters.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    edges = scratch.write(similar_texts(clusters, wanted, scratch, least), "similar")
-    roots = scratch.write(components(edges, scratch, "similar_components").join(firsts, F.col("node") == F.col("digest")).select("node", "root", "first"), "similar_roots")
+    prints = scratch.write(prints_of(docs, seeds), "prints")
+    firsts = scratch.write(prints.groupBy("digest").agg(F.min("id").alias("first"), F.first("fps").alias("fps")).withColumn("node", F.xxhash64("fps")), "firsts")
+    codes = scratch.write(firsts.groupBy("node").agg(F.first("fps").alias("fps"), F.count(F.lit(1)).alias("texts")), "codes")
+    edges = candidates(codes.select("node", "fps"), scratch, max_bits)
+    roots = components(edges, scratch, "code_components")
+    # Texts of a cluster: those that links connect, and those that have all fingerprints in common.
+    joined = codes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    clustered = joined.where("root is not null or texts > 1").select("node", F.coalesce("root", "node").alias("cluster"))
+    clusters = scratch.write(firsts.join(clustered, "node").select("digest", "first", "cluster"), "clusters")
+    marked = maybe_among(docs.withColumn("__digest", digest_of("text")), "__digest", clusters.select(F.col("digest").alias("id")), scratch, "clustered").where("__maybe")
+    named = marked.select(F.col("doc_id").alias("__id"), F.col("__digest").alias("digest"), F.col("text").cast("binary").alias("text"))
+    # One row a text, that of its smallest id.
+    wanted = named.join(clusters.select(F.col("digest").alias("of"), "first"), (F.col("digest") == F.col("of")) & F.col("__id").eqNullSafe(F.col("first")), "left_semi")
+    wanted = wanted.select("digest", "text").dropDuplicates(["digest"])
+    similar_edges = similar_texts(clusters.select("digest", "cluster"), wanted, scratch, least)
+    found = components(similar_edges, scratch, "text_components").withColumnRenamed("node", "digest")
+    roots = scratch.write(found.join(firsts.select("digest", "first"), "digest"), "roots")
     names = roots.groupBy("root").agg(F.min("first").alias("name"))
-    named = roots.join(names, "root").select(F.col("node").alias("digest"), "name")
-    return ids.join(firsts, "digest").join(named, "digest", "left").select("digest", "id", F.coalesce("name", "first").alias("name"))
+    named = scratch.write(roots.join(names, "root").select("digest", "name"), "names")
+    classes = firsts.select("digest", "first").join(named, "digest", "left").select("digest", F.coalesce("name", "first").alias("name"))
+    return prints.select("digest", "id").distinct().join(classes, "digest")
 
 
 def digest_of(text_col: str) -> Column:
@@ -348,9 +334,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id (with its repeated rows, if it has any).
 
     Near copies have at least STAGE_SIMILARITY of their five-word shingles in common (Jaccard), or are
-    connected by such pairs. Texts within STAGE_BITS bits by any of STAGE_SEEDS fingerprints are candidates, which
-    misses some pairs near the threshold; each link between them is told from both whole shingle sets.
+    connected by such pairs. Candidates share a probe key of one of STAGE_SEEDS fingerprints (every pair within STAGE_BITS
+    bits by any of them does, and many others), which misses some pairs near the threshold; each link between them
+    is told from both whole shingle sets. Documents that stay are not shuffled, but for those that a bitmap can't tell from others.
     """
-    found = near_copies(docs, Scratch(spark, "simhash-stage"), STAGE_SEEDS, STAGE_BITS, STAGE_SIMILARITY)
-    kept = found.where("id <=> name").select(F.col("digest").alias("__digest"), F.col("id").alias("__kept"))
-    return docs.join(kept, (digest_of("text") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    scratch = Scratch(spark, "simhash-stage")
+    found = near_copies(docs, scratch, STAGE_SEEDS, STAGE_BITS, STAGE_SIMILARITY)
+    gone = scratch.write(found.where("not (id <=> name)").select(F.col("digest").alias("__gone"), F.col("id").alias("__id")), "gone")
+    key = F.xxhash64(F.col("doc_id"), F.col("__digest"))
+    marked = maybe_among(docs.withColumn("__digest", digest_of("text")).withColumn("__key", key), "__key", gone.select(F.xxhash64("__id", "__gone").alias("id")), scratch, "gone_ids")
+    checked = marked.where("__maybe").join(gone, (F.col("__digest") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return marked.where("not __maybe").select(*docs.columns).unionAll(checked.select(*docs.columns))

@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from math import ceil, log2
+from math import ceil
 
 import ahocorasick
 import numpy as np
@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from millrace.llm.shared import Scratch, partitions
+from millrace.llm.shared import Scratch, bitmap, maybe_among, partitions
 
 WINDOW, ANCHOR = 13, 4
 #: Words of a phrase that the automata look for: every window has a whole one if they stand this far apart.
 SEED = (WINDOW + 1) // 2
 #: Bytes of text that a task hashes at a time, and words of a long text taken together.
-BLOCK, SEGMENT = 1 << 20, 100_000
+BLOCK, SEGMENT = 1 << 18, 50_000
 #: Positions of one document that stay in one shard.
 CHUNK = 16_384
 MAX_BITMAP_BITS = 26
@@ -130,7 +130,7 @@ def _batches(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
     for n, words in enumerate(_words(column)):
         held.append(words)
         size += len(words)
-        if size >= 4 * SEGMENT:
+        if size >= SEGMENT:
             yield start, held
             start, held, size = n + 1, [], 0
     if held:
@@ -172,19 +172,6 @@ def anchors(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(make, "phrase long, text long")
 
 
-def _bit(h: Column, bits: int) -> tuple[Column, Column]:
-    """The word of a bitmap that a hash falls into, and its bit there."""
-    at = F.shiftrightunsigned(h, 64 - bits)
-    return F.shiftrightunsigned(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-
-
-def bitmap(hashes: DataFrame, column: str, count: int) -> tuple[DataFrame, int]:
-    """((word, bits) rows, log2 of its length): at most 2**MAX_BITMAP_BITS bits, whatever the count."""
-    bits = min(MAX_BITMAP_BITS, max(10, ceil(log2(max(count, 1))) + 4))
-    word, bit = _bit(F.col(column), bits)
-    return hashes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), bits
-
-
 def _is_common(counted: DataFrame) -> Column:
     return F.col("n") > max(COMMON, (counted.agg(F.sum("n")).first()[0] or 0) // MOST_COMMON)
 
@@ -378,7 +365,7 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
 
     spread = anchors(rows).groupBy("phrase").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.count(F.lit(1)).alias("n"))
     recurring = scratch.write(spread.where("a <> b").select("phrase", "n"), "recurring")
-    marks, bits = bitmap(recurring, "phrase", recurring.count())
+    marks, bits = bitmap(recurring, "phrase", recurring.count(), MAX_BITMAP_BITS)
     table = marks.toArrow()
     array = np.zeros(1 << max(0, bits - 6), np.uint64)
     array[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
@@ -417,23 +404,6 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
     return known, scratch.write(merged, "merged")
 
 
-def maybe_among(rows: DataFrame, id_col: str, ids: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """``rows`` with ``__maybe``: whether the id may be among ``ids``, by a broadcast bitmap of bounded size.
-
-    Rows that can't be are spared a shuffle; a join has to tell the rest apart.
-    """
-    hashed = scratch.write(ids.select(F.xxhash64("id").alias("h")), label)
-    marks, bits = bitmap(hashed, "h", hashed.count())
-    word, bit = _bit(F.xxhash64(id_col), bits)
-    marks = marks.select(F.col("word").alias("__of"), F.col("bits").alias("__bits"))
-    return (
-        rows.withColumn("__word", word)
-        .join(F.broadcast(marks), F.col("__word") == F.col("__of"), "left")
-        .withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False)))
-        .drop("__word", "__of", "__bits")
-    )
-
-
 def removed(known: DataFrame, runs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every row; only texts with covered words are read again."""
     cut_rows = runs.join(known.where("copy").select(F.col("id").alias("i"), F.col("key").alias("k")).distinct(), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), "left_anti")

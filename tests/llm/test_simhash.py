@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from millrace.llm import simhash
+from millrace.llm import linking, simhash
 from millrace.llm.components import components
 from millrace.llm.shared import Scratch
 
@@ -93,12 +93,46 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0
 
 
-def test_query_and_stage(spark):
+def test_query(spark):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
     prints = [plainly(t) for _, t in docs]
     label = groups(prints, 2)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op8_simhash(spark, SMALL).collect()}
     assert got == {i: (f"{p:016x}", docs[k][0]) for (i, _), p, k in zip(docs, prints, label, strict=True)}
-    kept = simhash.stage(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
-    label = groups(prints, simhash.STAGE_BITS)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({docs[k][0] for k in label})
+
+
+def brute_links(data, near):
+    label = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if near(data[i], data[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("block_rows", [1024, 16, 5])
+def test_group_links_of_crowded_groups(spark, block_rows):
+    """A large group of near copies with a second family, stragglers and chains beside it, in one block and in many."""
+    rng = random.Random(block_rows)
+    centres = [rng.getrandbits(128) for _ in range(3)]
+    flipped = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(128), n))
+    codes = [flipped(centres[0], rng.randint(0, 9)) for _ in range(70)] + [flipped(centres[1], rng.randint(0, 9)) for _ in range(25)] + [rng.getrandbits(128) for _ in range(10)]
+    for _ in range(15):
+        codes.append(flipped(codes[-1], 11))
+    rows = [(g, n, v.to_bytes(16, "little")) for g in (1, 2) for n, v in enumerate(codes)] + [(3, 7, codes[0].to_bytes(16, "little"))]
+    table = spark.createDataFrame(rows, "grp long, node long, data binary")
+    edges = linking.group_links(table, Scratch(spark, "test_linking"), "t", linking.hamming_forest(12), block_rows).collect()
+    label = list(range(len(codes)))
+    for a, b in ((r["a"], r["b"]) for r in edges):
+        x, y = sorted((label[a], label[b]))
+        label = [x if z == y else z for z in label]
+    want = brute_links(codes, lambda a, b: (a ^ b).bit_count() <= 12)
+    assert label == want and len(edges) < 12 * len(codes)
+
+
+def test_majorities_of_many_rows():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 63, (1000, 3), dtype=np.uint64)
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes[:, c]) > 1000) for c in range(3)]
+    assert simhash.majorities(hashes).tolist() == want

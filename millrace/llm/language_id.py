@@ -1,18 +1,22 @@
 """Operator 1, language ID: the language whose dictionary compresses a text best.
 
-Learning: a bounded sample of labelled rows (``sample_rows`` slices of ``slice_chars`` characters a
-language) gives each language a raw-content zstandard dictionary of at most ``dictionary_bytes``.
-Predicting: a text is lower-cased, runs of other than letters become one space, and its UTF-8
+Learning: a bounded sample of labelled rows (at most ``sample_rows`` slices of ``slice_chars`` characters a
+language, and about ``all_rows`` slices of all languages, but one of each at least) gives each language a raw-content zstandard
+dictionary of at most ``dictionary_bytes``. Rows are drawn by a hash of id and text, the least hashes of each language.
+Predicting: a text is lower-cased, runs of other than letters and their marks become one space, and its UTF-8
 bytes are compressed in blocks of ``block_bytes`` against each dictionary; the sums of the compressed
 sizes over all blocks are compared. Blocks keep a dictionary's effect the same from the
-first to the last word of a long text. ``score`` is the share by which the best sum is below the
-second best; a prediction is ``accepted`` if that margin is at least ``min_margin``.
+first to the last word of a long text. Compressed sizes are whole bytes, so where the best two sums differ by CLOSE bytes or fewer,
+a text is measured more finely: CUTS leading parts of its first block are compressed as well, and sums of all sizes are compared.
+``score`` is the share by which the best sum is below the second best; a prediction is ``accepted`` if that
+margin is at least ``min_margin``.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and not accepted. Equal
 sums go to the language with more labelled rows, then to the lower name, with score 0. Null languages teach
-nothing. With one language only, every text with a letter is of it, with score 1. With no labelled row at
-all, every text is ``und``. Null ids are predicted like others but teach nothing.
-Repeated rows are predicted one by one, and other columns are ignored.
+nothing. A language whose sample has no letter has an empty dictionary (spaces) and still takes part. With one language
+only, every text with a letter is of it, with score 1. With no labelled row at
+all, every text is ``und``. Null ids are predicted like others but teach nothing. Repeated rows are
+predicted one by one, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,22 +30,26 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 LETTER = regex.compile(r"\p{L}")
-OTHER = re.compile(r"[\W\d_]+")
+#: What is neither letter nor mark: in ASCII, and in general.
+OTHER_ASCII, OTHER = re.compile(r"[^a-z]+"), regex.compile(r"[^\p{L}\p{M}]+")
+#: Bytes of difference from which sums tell languages apart without a finer look, and parts of a text in such a look.
+CLOSE, CUTS = 2, 8
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the sample and sizes of the encoder; ``max_languages`` keeps the most frequent labels."""
+    """Bounds of the sample and sizes of the encoder."""
 
     sample_rows: int = 256
+    all_rows: int = 51_200
     slice_chars: int = 1024
     dictionary_bytes: int = 131_072
     block_bytes: int = 4096
     level: int = 3
-    max_languages: int = 200
     min_margin: float = 0.01
 
 
@@ -51,35 +59,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 def normal(text: str) -> bytes:
-    return OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    low = text.lower()
+    return (OTHER_ASCII if low.isascii() else OTHER).sub(" ", low).strip().encode("utf-8", "replace")
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, settings: Settings) -> list[tuple[str, bytes]]:
     """(language, dictionary) pairs, the language with most labelled rows first."""
     key, text, lang = F.col(id_col), F.col(text_col), F.col(lang_col)
     usable = docs.where(~held_out(key) & key.isNotNull() & lang.isNotNull() & text.isNotNull())
-    counts = sorted(usable.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect(), key=lambda r: (-r["count"], r["lang"]))
+    counts = sorted(usable.groupBy(lang.alias("lang")).count().collect(), key=lambda r: (-r["count"], r["lang"]))
     if not counts:
         return []
-    # A row is drawn if its hash falls below its language's rate, twice the rows needed over the rows there are.
-    spread = 1 << 30
-    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(spread, 2 * settings.sample_rows * spread // r["count"] + 1))))
-    drawn = F.pmod(F.xxhash64(key), F.lit(spread))
+    rows = max(1, min(settings.sample_rows, settings.all_rows // len(counts)))
     at = F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(F.lit(1), F.length(text) - settings.slice_chars + 1)).cast("int") + 1
-    picked = (
-        usable.where(drawn < F.coalesce(rate[lang], F.lit(0)))
-        .select(lang.alias("lang"), drawn.alias("order"), key.alias("id"), F.substring(text, at, F.lit(settings.slice_chars)).alias("part"))
-        .collect()
-    )
+    parts = usable.select(lang.alias("lang"), F.xxhash64(key, text).alias("order"), F.substring(text, at, F.lit(settings.slice_chars)).alias("part"))
+    # The rank's filter is applied before the shuffle too, so a language's rows are cut down to the sample in the tasks.
+    rank = F.row_number().over(W.Window.partitionBy("lang").orderBy("order", "part"))
     found: dict[str, list] = {}
-    for row in sorted(picked, key=lambda r: (r["order"], r["id"])):
+    for row in parts.withColumn("n", rank).where(F.col("n") <= rows).orderBy("lang", "n").collect():
         found.setdefault(row["lang"], []).append(normal(row["part"]))
-    out = []
-    for lang in (r["lang"] for r in counts):
-        content = b" ".join(x for x in found.get(lang, [])[: settings.sample_rows] if x)[: settings.dictionary_bytes]
-        if len(content) >= 8:
-            out.append((lang, content))
-    return out
+    # A dictionary has eight bytes at least.
+    return [(r["lang"], b" ".join(x for x in found[r["lang"]] if x)[: settings.dictionary_bytes].rjust(8)) for r in counts]
 
 
 class Encoder:
@@ -103,9 +103,13 @@ class Encoder:
         step = self.settings.block_bytes
         blocks = [data[i : i + step] for i in range(0, len(data), step)]
         sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.compressors]
-        order = sorted(range(len(sizes)), key=sizes.__getitem__)
-        if len(order) == 1:
+        if len(sizes) == 1:
             return self.names[0], 1.0
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        if sizes[order[1]] - sizes[order[0]] <= CLOSE:
+            parts = [blocks[0][: -(-len(blocks[0]) * i // CUTS)] for i in range(1, CUTS)]
+            sizes = [size + sum(len(c.compress(p)) for p in parts) for size, c in zip(sizes, self.compressors, strict=True)]
+            order = sorted(range(len(sizes)), key=sizes.__getitem__)
         best, second = sizes[order[0]], sizes[order[1]]
         return self.names[order[0]], (second - best) / second if second else 0.0
 
@@ -120,21 +124,24 @@ def identify(
     """
     spark = docs.sparkSession
     dictionaries = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, settings))
+    # A text that is kept is sent once.
+    inside = keep.index(text_col) if keep and text_col in keep else None
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(dictionaries.value, settings)
         for batch in batches:
-            got = [encoder.predict(x.as_py()) for x in batch.column("__text")]
-            columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "__text"]
-            langs, scores = pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())
+            texts = batch.column("__text") if inside is None else batch.column("keep").field(inside)
+            got = [encoder.predict(x.as_py()) for x in texts]
             names = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*columns, langs, scores], names=[*names, "lang_pred", "score"])
+            langs, scores = pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), langs, scores], names=[*names, "lang_pred", "score"])
 
     kept = [F.struct(*keep).alias("keep")] if keep else []
-    rows = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), *kept, F.col(text_col).alias("__text"))
+    text = [F.col(text_col).alias("__text")] if inside is None else []
+    rows = docs.select(F.col(id_col).alias("__id"), held_out(F.col(id_col)).alias("held_out"), *kept, *text)
     schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
     accepted = (F.col("score") >= settings.min_margin) & (F.col("lang_pred") != UNDETERMINED)
-    return rows.mapInArrow(predict, schema).withColumn("accepted", accepted)
+    return rows.mapInArrow(predict, schema).withColumnRenamed("__id", id_col).withColumn("accepted", accepted)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

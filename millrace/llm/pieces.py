@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from pyspark.sql import types as T
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text that a task encodes at a time.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 500_000
 #: Words whose ids, and pairs of pieces whose verdicts, a task keeps from block to block; then it starts anew.
-KEPT_WORDS, KEPT_PAIRS = 200_000, 500_000
+KEPT_WORDS, KEPT_PAIRS = 100_000, 250_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -107,6 +108,8 @@ class Codec:
         self.worst = min((s for _, s in pieces.values()), default=0.0) - 10
         self.allowed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, list[int]] = {}
+        #: Words of those known whose ids don't give back their characters.
+        self.lossy: set[str] = set()
         self.out = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()}
         self.out |= {i: bytes([b]) for b, i in byte_ids.items()} | {unknown: " ⁇ ".encode()}
 
@@ -178,15 +181,21 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids end (the first entry is 0)."""
+        return self.encode_checked(texts)[:2]
+
+    def encode_checked(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and whether decoding gives each text back. Texts decode word by word, so distinct words are decoded for that."""
         index: dict[str, int] = {}
         codes, ends = [], [0]
         for text in texts:
             codes += [index.setdefault(w, len(index)) for w in self.split(text or "")]
             ends.append(len(codes))
         if len(self.known) > KEPT_WORDS:
-            self.known = {}
+            self.known, self.lossy = {}, set()
         ids = self.known
-        ids |= self.encode_words(w for w in index if w not in ids)
+        fresh = self.encode_words(w for w in index if w not in ids)
+        self.lossy |= {w for w, found in fresh.items() if b"".join([self.out.get(i, b"") for i in found]) != w.replace(MARK, " ").encode("utf-8", "surrogatepass")}
+        ids |= fresh
         sizes = np.fromiter((len(ids[w]) for w in index), np.int64, len(index))
         flat = np.fromiter((i for w in index for i in ids[w]), np.int32, int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes
@@ -194,7 +203,10 @@ class Codec:
         size = sizes[at]
         stops = np.cumsum(size)
         gather = np.repeat(starts[at] - stops + size, size) + np.arange(int(size.sum()))
-        return flat[gather], np.concatenate(([0], stops))[ends]
+        lossy = np.fromiter((w in self.lossy for w in index), np.int64, len(index))
+        losses = np.concatenate(([0], np.cumsum(lossy[at])))[ends]
+        whole = np.array([t is not None and MARK not in t for t in texts], bool) & (losses[1:] == losses[:-1])
+        return flat[gather], np.concatenate(([0], stops))[ends], whole
 
     def decode(self, ids: Iterable[int]) -> str:
         out = self.out
@@ -202,6 +214,12 @@ class Codec:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def codec_of(model: bytes) -> Codec:
+    """A worker's codec, kept from task to task."""
+    return Codec(model)
+
+
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """(start, texts) of runs of at most BLOCK_CHARS characters, or of one text."""
     start, held, size = 0, [], 0
@@ -222,17 +240,16 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for batch in batches:
             names, texts = batch.schema.names[:-1], batch.column(batch.num_columns - 1)
             for start, block in _blocks(texts):
-                flat, ends = codec.encode(block)
-                same = [None if t is None else codec.decode(flat[ends[k] : ends[k + 1]].tolist()) == t for k, t in enumerate(block)]
-                missing = pa.array([t is None for t in block])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=missing)
-                sizes = pa.array(np.diff(ends), mask=np.array([t is None for t in block]))
+                flat, ends, whole = codec.encode_checked(block)
+                missing = np.array([t is None for t in block])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(missing))
                 columns = [batch.column(i).slice(start, len(block)) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, lists, sizes, pa.array(same, pa.bool_())], names=[*names, "ids", "n_tokens", "round_trip"])
+                columns += [lists, pa.array(np.diff(ends), mask=missing), pa.array(whole, mask=missing)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "n_tokens", "round_trip"])
 
     rows = docs.select(F.col(id_col), *(F.col(c) for c in keep or ()), F.col(text_col).cast("string").alias("__text"))
     return rows.mapInArrow(encode, rows.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
@@ -244,7 +261,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for batch in batches:
             texts = [None if (ids := x.as_py()) is None else codec.decode(ids) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])

@@ -7,13 +7,18 @@ bands of diagonals of twice the width e + 1, each overlapping the next by half;
 bound are aligned within the band, and kept if at most e edits are needed. A first look at places alone (enough q-grams
 of passages of such a length in a stretch that long) spares most of a text the counting. Neither step loses a passage.
 
+A q-gram that a passage repeats more than REPEATS times would pair with itself over and over: it isn't counted, and the passage's
+bound is lowered by its places. A passage with no bound left is aligned over all of each stretch that passes the first look.
+
 The passages' index is broadcast in blocks of at most ``block_chars`` characters, one pass over the documents
-a block; documents are never shuffled, and long ones are searched in overlapping stretches.
+a block, with the result written between passes: a task holds one block's index. Documents are never shuffled, and long
+ones are searched in overlapping stretches.
 
-Defined cases: null and empty texts hold nothing. Passages that are null or shorter than q characters after
-folding can't be told from chance and are not searched. Equal passages are found under each of their ids. For one document
+Defined cases: null and empty texts hold nothing. Passages that are null or have no letter or digit are in no text. Those shorter than q
+characters after folding are found verbatim, as whole words. Equal passages are found under each of their ids. For one document
 and passage the match of fewest edits, the first of equals, is given. Repeated rows are searched one by one.
-An empty table on either side gives no match. Columns of the benchmark other than id and text are ignored.
+An empty table on either side gives no match. Columns of the benchmark other than id and text are ignored. A
+column of the documents with the name of the result raises an error.
 """
 
 from __future__ import annotations
@@ -27,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import Scratch, slices
+
 OTHER = re.compile(r"[\W_]+")
 HITS = "array<struct<item_id:long,edits:int,start:long,stop:long>>"
 #: Multiplier of the rolling hash, an odd number without structure.
 FACTOR = 0x9E3779B97F4A7C15
-#: Characters that are searched at a time.
-STRETCH = 1 << 20
+#: Characters that are searched at a time, and pairs of q-grams that are counted at a time.
+STRETCH, PAIRS = 1 << 18, 1 << 19
+#: Times that a passage may repeat a q-gram that is counted.
+REPEATS = 8
 
 
 @dataclass(frozen=True)
@@ -72,19 +81,34 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]], settings: Settings):
         q = self.q = settings.q
-        kept = [(i, t) for i, t in items if len(t) >= q]
-        self.ids, self.texts = [i for i, _ in kept], [t for _, t in kept]
+        kept, short = [(i, t) for i, t in items if len(t) >= q], [(i, t) for i, t in items if 0 < len(t) < q]
+        self.ids, self.texts = [i for i, _ in [*kept, *short]], [t for _, t in kept]
+        # Passages that are too short for q-grams, by their text, and how many words they have.
+        self.short: dict[str, list[int]] = {}
+        for k, (_, t) in enumerate(short, len(kept)):
+            self.short.setdefault(t, []).append(k)
+        self.short_words = sorted({t.count(" ") + 1 for t in self.short})
         lengths = np.array([len(t) for t in self.texts], np.int64)
         # As many edits as the rate allows and as leave the bound at one q-gram or more.
         self.edits = np.minimum((lengths * settings.edit_rate).astype(np.int64), (lengths - q) // q)
         self.lengths, self.bounds = lengths, lengths - q + 1 - q * self.edits
         hashes = [gram_hashes(codes_of(t), q) for t in self.texts]
         every = np.concatenate([*hashes, np.empty(0, np.uint64)])
-        order = np.argsort(every, kind="stable")
-        self.hashes, starts = np.unique(every[order], return_index=True)
-        self.starts = np.append(starts, len(every))
-        self.item = np.repeat(np.arange(len(kept)), [len(h) for h in hashes])[order] if kept else np.empty(0, np.int64)
-        self.place = np.concatenate([np.arange(len(h)) for h in hashes])[order] if kept else np.empty(0, np.int64)
+        item = np.repeat(np.arange(len(kept)), [len(h) for h in hashes]) if kept else np.empty(0, np.int64)
+        place = np.concatenate([np.arange(len(h)) for h in hashes]) if kept else np.empty(0, np.int64)
+        order = np.lexsort((item, every))
+        every, item, place = every[order], item[order], place[order]
+        self.hashes = np.unique(every)
+        # Runs of one q-gram of one passage; long ones are left out of the counting.
+        fresh = np.flatnonzero(np.concatenate(([True], (every[1:] != every[:-1]) | (item[1:] != item[:-1])))[: len(every)])
+        runs = np.diff(np.append(fresh, len(every)))
+        counted = np.repeat(runs <= REPEATS, runs)
+        self.lowered = self.bounds - np.bincount(item[~counted], minlength=len(kept))[: len(kept)]
+        self.outright = [(k, np.unique(hashes[k])) for k in np.flatnonzero(self.lowered <= 0).tolist()]
+        counted &= self.lowered[item] > 0
+        self.item, self.place = item[counted], place[counted]
+        self.starts = np.searchsorted(every[counted], self.hashes)
+        self.starts = np.append(self.starts, int(counted.sum()))
         # A table by the leading bits lets most other q-grams be passed over before the search.
         self.shift = np.uint64(64 - max(16, min(24, int(len(self.hashes)).bit_length() + 4)))
         self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
@@ -115,18 +139,50 @@ class Index:
         at, gram = at[stay], gram[stay]
         if not len(at):
             return found
-        size = self.starts[gram + 1] - self.starts[gram]
-        pair = np.repeat(self.starts[gram] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        item, diagonal = self.item[pair], np.repeat(at, size) - self.place[pair]
-        band = (diagonal + (1 << 40)) // (self.edits[item] + 1)
-        keys, counts = np.unique(np.concatenate([(item << 44) | band, (item << 44) | (band + 1)]), return_counts=True)
-        keys = keys[counts >= self.bounds[keys >> 44]]
+        keys, counts = self._counted(at, gram)
+        keys = keys[counts >= self.lowered[keys >> 44]]
         for key in keys.tolist():
             k, b = key >> 44, key & ((1 << 44) - 1)
             edits = int(self.edits[k])
             low = (b - 1) * (edits + 1) - (1 << 40)
             if (hit := align(self.texts[k], text, low, low + 2 * edits + 1, edits)) is not None:
                 found.append((k, *hit))
+        for k, own in self.outright:
+            # Stretches with as many of the passage's q-grams as a match has; each is aligned whole.
+            here, bound, span = at[np.isin(hashes[at], own)], int(self.bounds[k]), int(self.lengths[k] + self.edits[k])
+            first = np.flatnonzero(here[bound - 1 :] - here[: max(0, len(here) - bound + 1)] < span) if len(here) >= bound else []
+            after = -1
+            for low in here[first].tolist() if len(first) else []:
+                if low >= after:
+                    after = low + 4 * span
+                    if (hit := align(self.texts[k], text, low - span, after, int(self.edits[k]))) is not None:
+                        found.append((k, *hit))
+        return found
+
+    def _counted(self, at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """((passage, band) keys, q-grams shared in each), some pairs at a time."""
+        size = self.starts[gram + 1] - self.starts[gram]
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        total = np.cumsum(size)
+        cuts = np.searchsorted(total, np.arange(PAIRS, int(total[-1]) + 1, PAIRS), side="right") if len(total) else []
+        for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            n = size[a:b]
+            pair = np.repeat(self.starts[gram[a:b]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            item, diagonal = self.item[pair], np.repeat(at[a:b], n) - self.place[pair]
+            band = (diagonal + (1 << 40)) // (self.edits[item] + 1)
+            more, times = np.unique(np.concatenate([(item << 44) | band, (item << 44) | (band + 1)]), return_counts=True)
+            keys, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, times]), len(keys)).astype(np.int64)
+        return keys, counts
+
+    def whole_words(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Matches of the short passages in a folded text."""
+        words, found = text.split(" "), []
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        for n in self.short_words:
+            for i in range(len(words) - n + 1):
+                for k in self.short.get(" ".join(words[i : i + n]), ()):
+                    found.append((k, 0, int(starts[i]), int(starts[i + n]) - 1))
         return found
 
 
@@ -202,6 +258,8 @@ def search_texts(index: Index, texts: list[str | None]) -> list[list[dict]]:
 
     for n, text in enumerate(texts):
         folded = fold(text)
+        if index.short:
+            matches[n] += index.whole_words(folded)
         for a in range(0, max(1, len(folded) - reach), step - reach):
             held.append((n, a, folded[a : a + step]))
             size += len(held[-1][2])
@@ -233,13 +291,15 @@ def find_passages(
     if out in names:
         raise ValueError(f"docs has a column {out} already")
     found = docs.select("*", F.array().cast(HITS).alias(out))
-    schema, kind = found.schema, None
-    for items in _item_blocks(benchmark, item_id, item_text, settings):
+    schema, scratch = found.schema, Scratch(spark, "decontamination")
+    for number, items in enumerate(_item_blocks(benchmark, item_id, item_text, settings)):
+        if number:
+            found = scratch.write(found, f"pass-{number}")
         shared = spark.sparkContext.broadcast(Index(items, settings))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
-            for batch in batches:
+            for batch in slices(batches, names.index(text_col)):
                 before, texts = batch.column(len(names)).to_pylist(), batch.column(names.index(text_col)).to_pylist()
                 hits = [(old or []) + new for old, new in zip(before, search_texts(shared.value, texts), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], names=batch.schema.names)

@@ -100,3 +100,30 @@ def test_query_and_stage(spark):
 @pytest.mark.parametrize("text", ["", "a", "a" * 9, "ab" * 500_000])
 def test_dull_texts(text):
     assert search_texts(Index([(1, "something else entirely here")], Settings()), [text, None]) == [[], []]
+
+
+def test_passages_that_repeat_themselves():
+    """Texts and passages of few q-grams: all pairs of them would be too many to hold."""
+    rng = random.Random(4)
+    dull = ["a" * 1000, "ab" * 300, "abcdefghijkl " * 60 + "end", "x" * 40]
+    items = [(n, fold(t)) for n, t in enumerate([*dull, prose(rng, n=20)])]
+    index = Index(items, Settings())
+    texts = ["a" * 1_000_000, "b" * 5000, "a" * 400 + "c" + "a" * 599, "word " + "ab" * 299 + " tail", fold("abcdefghijkl " * 60) + " nd", "abcdefghijkl " * 5, "a" * 900, items[4][1], "x" * 39 + "y"]
+    for text, found in zip(texts[1:], search_texts(index, texts)[1:], strict=True):
+        want = {n for n, (_, p) in enumerate(items) if nearest(p, text) <= index.edits[n]}
+        assert {h["item_id"] for h in found} == want, text[:40]
+    assert {h["item_id"] for h in search_texts(index, texts[:1])[0]} == {0}
+
+
+def test_short_passages_are_found_as_whole_words():
+    index = Index([(1, "cat"), (2, "a cat"), (3, ""), (4, "cat"), (5, "ü 7")], Settings())
+    texts = [fold(t) for t in ("A cat.", "concat a", "the CAT sat", "x Ü-7 y", "", "cata a cat")]
+    got = [sorted((h["item_id"], t[h["start"] : h["stop"]]) for h in found) for t, found in zip(texts, search_texts(index, texts), strict=True)]
+    assert got == [[(1, "cat"), (2, "a cat"), (4, "cat")], [], [(1, "cat"), (4, "cat")], [(5, "ü 7")], [], [(1, "cat"), (2, "a cat"), (4, "cat")]]
+
+
+def test_clashing_column(spark):
+    docs, items = spark.createDataFrame([(1, "x", 2)], "doc_id long, text string, hits int"), spark.createDataFrame([(1, "y")], "item_id long, text string")
+    with pytest.raises(ValueError, match="hits"):
+        find_passages(docs, items)
+    assert find_passages(docs, items, out="found").columns == ["doc_id", "text", "hits", "found"]

@@ -4,31 +4,35 @@
 end-of-document id. A file's last document is its roster: the ids of its documents as digits, written by the
 same task as the documents themselves, so that counts can be put against ids. Nothing says where a document starts.
 
-``scan_flat`` cuts files into blocks of fixed length and searches each with a vectorised comparison: it gives the separators
+``scan_flat`` lists files and lengths only and deals out blocks of fixed length, so a file is read by as many tasks as it has blocks, each
+reading its own range. A block is searched with a vectorised comparison: it gives the separators
 in the block, the tokens before the first, after the last and between them. A prefix scan over a file's
 blocks (running sum of separators, running maximum of the last separator's place) stitches the documents
-that blocks cut, however many blocks they span.
+that blocks cut, however many blocks they span. Ranges are read with Arrow's file systems; a store that they don't know
+is read by Spark, a whole file (of at most 2 GB) in a task.
 
 Defined cases: null and empty texts have 0 tokens. The text of an end-of-document token in a document
 is ordinary text. Repeated rows are counted one by one, and null ids stay null. A file that doesn't end with a
-separator, as when it is cut off, raises an error, and so does a roster that doesn't fit the documents. An empty table gives no
+separator, as when it is cut off or has none, raises an error, and so does a roster that doesn't fit the documents. So does a
+vocabulary whose ids don't fit the width or hold the end-of-document id. An empty table gives no
 documents. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from millrace.llm.shared import Scratch
+from millrace.llm.shared import Scratch, partitions, slices
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary above splits texts before merging. A fixed value.
@@ -36,6 +40,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 END_OF_DOCUMENT = 50256
 #: Tokens in a block of the scan.
 BLOCK = 1 << 20
+KINDS = {2: "<u2", 4: "<u4"}
 #: Base-32768 digits of an id in the roster; the last one also tells a null.
 DIGITS, DIGIT_BITS = 5, 15
 NULL_BIT = 1 << (DIGIT_BITS - 1)
@@ -54,7 +59,11 @@ def _offset(end: int) -> int:
 
 def roster_digits(ids: list[int | None], end: int) -> np.ndarray:
     """The ids as digits, lowest first, and then their count."""
-    values = np.array([(x or 0) & ((1 << 64) - 1) for x in [*ids, len(ids)]], np.uint64)
+    return np.concatenate([digits_of(ids, end), digits_of([len(ids)], end)])
+
+
+def digits_of(ids: list[int | None], end: int) -> np.ndarray:
+    values = np.array([(x or 0) & ((1 << 64) - 1) for x in ids], np.uint64)
     digits = (values[:, None] >> np.arange(0, DIGITS * DIGIT_BITS, DIGIT_BITS, dtype=np.uint64)) & np.uint64((1 << DIGIT_BITS) - 1)
     digits[[i for i, x in enumerate(ids) if x is None], -1] |= np.uint64(NULL_BIT)
     return digits.ravel() + np.uint64(_offset(end))
@@ -76,61 +85,95 @@ def write_flat(
     row and writes the bytes of a string as they are.
     """
     with open(ranks, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    kind = {2: "<u2", 4: "<u4"}[width]
+        content = f.read()
+    ids = {int(line.split()[1]) for line in content.splitlines()}
+    if max(ids, default=0) >> 8 * width or end >> 8 * width or end in ids:
+        raise ValueError(f"ids up to {max(ids)} and the end-of-document id {end} can't be told apart in {width} bytes")
+    shared, kind = docs.sparkSession.sparkContext.broadcast(content), KINDS[width]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoding(shared.value, pattern).encode_to_numpy, []
-        for batch in batches:
-            seen += batch.column(0).to_pylist()
+        encode, seen, rows = encoding(shared.value, pattern).encode_to_numpy, [], 0
+        for batch in slices(batches, 1):
+            seen.append(digits_of(batch.column(0).to_pylist(), end).astype(kind))
+            rows += batch.num_rows
             out = [encode(x.as_py() or "", disallowed_special=()).astype(kind).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([roster_digits(seen, end).astype(kind).tobytes()], pa.binary())], names=["value"])
+        if rows:
+            roster = np.concatenate([*seen, digits_of([rows], end).astype(kind)])
+            yield pa.RecordBatch.from_arrays([pa.array([roster.tobytes()], pa.binary())], names=["value"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tokens, "value binary")
     separator = end.to_bytes(width, "little").decode("latin-1")
     rows.select(F.col("value").cast("string")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+def _files(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """(file, length) of the files below ``path``, with ``content`` where tasks can't read ranges themselves; and whether they can."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").withColumnRenamed("path", "file")
+    first = files.select("file").first()
+    try:
+        ranged = first is None or bool(pyarrow.fs.FileSystem.from_uri(first["file"]))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        ranged = False
+    return files.select("file", "length", *([] if ranged else ["content"])), ranged
+
+
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, str, int, Callable[[int, int], pa.Buffer]]]:
+    """(row, file, length, function that reads so many bytes from a place on) of each row."""
+    files, lengths = batch.column("file").to_pylist(), batch.column("length").to_pylist()
+    for n, (file, length) in enumerate(zip(files, lengths, strict=True)):
+        if "content" in batch.schema.names:
+            content = batch.column("content")[n].as_buffer()
+            yield n, file, length, lambda at, size, content=content: content.slice(at, size)
+        else:
+            system, path = pyarrow.fs.FileSystem.from_uri(file)
+            with system.open_input_file(path) as opened:
+                yield n, file, length, lambda at, size, opened=opened: opened.read_buffer(size) if opened.seek(at) is not None else None
 
 
 def scan_flat(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, width: int = 2, block: int = BLOCK) -> DataFrame:
     """(file, ordinal, n_tokens, last) of all documents in the flat files below ``path``."""
-    kind = {2: "<u2", 4: "<u4"}[width]
+    kind, step = KINDS[width], block * width
+    files, ranged = _files(spark, path)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for data in batch.column("data"):
-                ids = np.frombuffer(data.as_buffer(), kind)
-                at = np.flatnonzero(ids == end)
-                head, final = (int(at[0]), int(at[-1])) if len(at) else (None, None)
-                out.append((len(at), len(ids), head, final, (np.diff(at) - 1).tolist()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            columns = [pa.array([row[i] for row in out], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), *columns], names=["file", "block", "n", "size", "head", "final", "gaps"])
-
-    step = block * width
-    blocks = _files(spark, path).select(
-        F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block"), "content"
-    )
-    cut = blocks.select("file", "block", F.expr(f"substring(content, cast(block * {step} + 1 as int), {step})").alias("data"))
-    found = cut.mapInArrow(search, "file string, block long, n long, size long, head long, final long, gaps array<long>")
+            for n, file, length, read in _opened(batch):
+                for number in [batch.column("block")[n].as_py()] if ranged else range(-(-length // step)):
+                    size = min(step, length - number * step)
+                    if size % width:
+                        raise ValueError(f"{file} does not end with a separator: it ends within a token")
+                    ids = np.frombuffer(read(number * step, size), kind)
+                    at = np.flatnonzero(ids == end)
+                    head, final = (int(at[0]), int(at[-1])) if len(at) else (None, None)
+                    row = (file, number, len(at), len(ids), head, final, (np.diff(at) - 1).tolist())
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+
+    names = ["file", "block", "n", "size", "head", "final", "gaps"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    if ranged:
+        numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))
+        files = files.select("file", "length", F.explode(numbers).alias("block")).repartition(partitions(spark), "file", "block")
+    found = files.mapInArrow(search, "file string, block long, n long, size long, head long, final long, gaps array<long>")
+    # The prefix scan needs the blocks' sums only: gaps stay out of it.
+    found = Scratch(spark, "scan").write(found, "blocks")
+    start = F.col("block") * block
+    ends = found.groupBy("file").agg((F.max(start + F.col("size")) - 1).alias("stop"), F.coalesce(F.max(start + F.col("final")), F.lit(-1)).alias("closed"))
+    if cut := ends.where("stop <> closed").select("file").first():
+        raise ValueError(f"{cut['file']} does not end with a separator")
     before = W.Window.partitionBy("file").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
     every = W.Window.partitionBy("file")
-    start = F.col("block") * block
     stitched = (
-        found.withColumn("documents_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        found.drop("gaps")
+        .withColumn("documents_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumn("carried", start - 1 - F.coalesce(F.max(start + F.col("final")).over(before), F.lit(-1)))
         .withColumn("documents", F.sum("n").over(every))
-        .withColumn("open", F.max(start + F.col("size")).over(every) - 1 != F.max(start + F.col("final")).over(every))
-        .where(F.expr("if(open, raise_error(concat(file, ' does not end with a separator')), n > 0)"))
+        .where("n > 0")
+        .select("file", "block", "documents_before", "documents", (F.col("head") + F.col("carried")).alias("first"))
     )
-    lengths = F.concat(F.array(F.col("head") + F.col("carried")), F.col("gaps"))
-    return stitched.select("file", "documents_before", "documents", F.posexplode(lengths).alias("k", "n_tokens")).select(
+    lengths = F.concat(F.array("first"), F.col("gaps"))
+    whole = stitched.join(found.where("n > 0").select("file", "block", "gaps"), ["file", "block"])
+    return whole.select("file", "documents_before", "documents", F.posexplode(lengths).alias("k", "n_tokens")).select(
         "file",
         (F.col("documents_before") + F.col("k")).alias("ordinal"),
         "n_tokens",
@@ -138,29 +181,25 @@ def scan_flat(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, width:
     )
 
 
-def read_rosters(spark: SparkSession, path: str, id_col: str, end: int = END_OF_DOCUMENT, width: int = 2) -> DataFrame:
+def read_rosters(spark: SparkSession, path: str, id_col: str, end: int = END_OF_DOCUMENT, width: int = 2, block: int = BLOCK) -> DataFrame:
     """(file, ordinal, id, listed) from the rosters, which are found from the files' ends."""
-    kind, size = {2: "<u2", 4: "<u4"}[width], DIGITS * width
-
-    def hex_digit(k: int):
-        """Digit k of the count, from its bytes: the last two hex digits come first."""
-        at = f"cast(length - {width + size} + {k * width} + 1 as int)"
-        return F.expr("conv(concat(" + ", ".join(f"hex(substring(content, {at} + {b}, 1))" for b in reversed(range(width))) + "), 16, 10)").cast("long") - _offset(end)
-
-    listed = sum((hex_digit(k) * (1 << (DIGIT_BITS * k)) for k in range(1, 4)), hex_digit(0))
-    tails = (
-        _files(spark, path)
-        .withColumn("listed", listed)
-        .select(F.col("path").alias("file"), "listed", F.expr(f"substring(content, cast(length - {width + size} - listed * {size} + 1 as int), cast(listed * {size} as int))").alias("data"))
-    )
+    kind, size = KINDS[width], DIGITS * width
+    files, _ = _files(spark, path)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [roster_ids(np.frombuffer(x.as_buffer(), kind), end) for x in batch.column("data")]
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("listed"), pa.array(lists, pa.list_(pa.int64()))], names=["file", "listed", "ids"])
-
-    read = tails.mapInArrow(ids, "file string, listed long, ids array<long>")
-    return read.select("file", "listed", F.posexplode("ids").alias("at", id_col)).select("file", F.col("at").cast("long").alias("ordinal"), id_col, "listed")
+            for _, file, length, read in _opened(batch):
+                stop = length - width - size
+                listed = roster_ids(np.frombuffer(read(stop, size), kind), end)[0] if stop >= 0 else -1
+                if not 0 <= listed <= stop // size:
+                    raise ValueError(f"{file}: its roster does not fit")
+                for at in range(0, listed, block):
+                    n = min(block, listed - at)
+                    found = roster_ids(np.frombuffer(read(stop - (listed - at) * size, n * size), kind), end)
+                    columns = [pa.array([file] * n), pa.array(range(at, at + n), pa.int64()), pa.array(found, pa.int64()), pa.array([listed] * n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["file", "ordinal", id_col, "listed"])
+
+    return files.repartition(partitions(spark), "file").mapInArrow(ids, f"file string, ordinal long, `{id_col}` long, listed long")
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

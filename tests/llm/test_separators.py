@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,52 @@ def test_cut_files_are_told(spark):
         separators.scan_flat(spark, path).collect()
 
 
+END = (50256).to_bytes(2, "little")
+
+
+def files_of(spark, *contents):
+    path = Scratch(spark, "test_separators").path("made")
+    folder = Path(path.removeprefix("file:"))
+    folder.mkdir(parents=True)
+    for n, content in enumerate(contents):
+        (folder / f"part-{n:05}").write_bytes(content)
+    return str(folder)
+
+
+@pytest.mark.parametrize("content", [b"ab" * 50, b"ab" * 5 + END + b"ab" * 40, b"ab" * 5 + END + b"a", b"ab" * 9 + END + END + b"ab" * 3])
+def test_files_that_end_early_are_told(spark, content):
+    """No separator in several blocks, a last document without an end, and an odd count of bytes; beside a file that is whole."""
+    path = files_of(spark, b"ab" * 7 + END, content)
+    with pytest.raises(Exception, match="does not end with a separator"):
+        separators.scan_flat(spark, path, block=4).collect()
+
+
+def test_a_file_is_read_by_several_tasks(spark):
+    path = files_of(spark, b"ab" * 100 + END + END + b"cd" * 300 + END)
+    scan = separators.scan_flat(spark, path, block=8)
+    assert [r["n_tokens"] for r in scan.orderBy("ordinal").collect()] == [100, 0, 300]
+    files, ranged = separators._files(spark, path)
+    assert ranged and files.columns == ["file", "length"]
+
+
+def test_stores_that_only_spark_reads(spark, monkeypatch):
+    """Where Arrow knows no file system for a path, whole files come with their content."""
+    path = files_of(spark, b"ab" * 100 + END + END + b"cd" * 300 + END, b"ab" * 3 + END)
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", "content")
+    monkeypatch.setattr(separators, "_files", lambda *_: (files, False))
+    got = separators.scan_flat(spark, path, block=8).orderBy("file", "ordinal").collect()
+    assert [r["n_tokens"] for r in got] == [100, 0, 300, 3]
+
+
+def test_ids_that_do_not_fit(spark, odd_documents, tmp_path):
+    wide = tmp_path / "wide.tiktoken"
+    wide.write_bytes(b"YQ== 0\nYg== 70000\n")
+    with pytest.raises(ValueError, match="2 bytes"):
+        separators.write_flat(odd_documents, str(tmp_path / "out"), ranks=str(wide))
+    with pytest.raises(ValueError, match="told apart"):
+        separators.write_flat(odd_documents, str(tmp_path / "out"), end=17)
+
+
 def test_query(spark, encode):
     docs = {r["doc_id"]: len(encode(r["text"])) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     assert {r["doc_id"]: r["n_tokens"] for r in separators.op9_token_counts(spark, SMALL).collect()} == docs

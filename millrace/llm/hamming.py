@@ -7,6 +7,10 @@ verified twice. After round r, whatever was not met differs by more than r bits
 m * (r + 1) or more; a query is closed when its kth verified distance is below that. As soon as a query has k
 codes, their worst distance also says how many segments the next round still needs and which codes can improve it.
 
+Probes are made in the tasks, a bounded number at a time. A query far from everything would need more probes
+in a round than there are codes; queries that are still open then are compared with all codes, in blocks of queries, each task
+keeping the k nearest.
+
 Only distinct codes are searched, each with its k smallest ids, so many equal vectors cost no more than k.
 m minimises probes plus expected candidates for the number of codes.
 
@@ -17,10 +21,14 @@ go to the smaller id. With fewer than k rows all are found. A query finds itself
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, islice
 from math import comb
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -30,6 +38,8 @@ from millrace.llm.shared import Scratch
 BITS = 64
 #: What a probe costs, in candidates: it is made, shuffled and looked up.
 PROBE_COST = 20
+#: Probes that a task makes at a time, and open queries that are compared with all codes at a time.
+PROBES, QUERIES = 1 << 16, 1 << 14
 
 
 def code_of(vector: Column, bits: int = BITS) -> Column:
@@ -61,6 +71,61 @@ def _segment(code: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1).cast("long"))
 
 
+def probes_of(looking: DataFrame, radius: int, size: list[int]) -> DataFrame:
+    """(query, worst, at, probe): the values at distance ``radius`` from each row's (seg, value)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            query, worst, seg, value = (batch.column(c).to_numpy() for c in ("query", "worst", "seg", "value"))
+            for s in np.unique(seg):
+                own = np.flatnonzero(seg == s)
+                choices = combinations(range(size[s]), radius)
+                while chunk := list(islice(choices, max(1, PROBES // len(own)))):
+                    bits = np.array(chunk, np.uint64).reshape(len(chunk), radius)
+                    masks = np.left_shift(np.uint64(1), bits).sum(axis=1, dtype=np.uint64).view(np.int64)
+                    row = np.repeat(own, len(masks))
+                    columns = [query[row], worst[row], seg[row], (value[own, None] ^ masks[None, :]).ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "worst", "at", "probe"])
+
+    return looking.mapInArrow(make, "query long, worst int, at int, probe long")
+
+
+def compared(codes: DataFrame, state: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(query, code, first, distance): the k nearest codes of each open query, by comparing it with all codes."""
+    spark = codes.sparkSession
+    count = state.count()
+    blocks = -(-count // QUERIES)
+    dealt = scratch.write(state.select("query", F.pmod(F.xxhash64("query"), F.lit(2 * blocks)).alias("block")), "outliers")
+    parts = []
+    for block in range(2 * blocks):
+        asked = np.array([r[0] for r in dealt.where(F.col("block") == block).select("query").collect()], np.int64)
+        if not len(asked):
+            continue
+        shared = spark.sparkContext.broadcast(asked)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            for batch in batches:
+                code, first = batch.column("code").to_numpy(), batch.column("first")
+                order = pa.compute.array_sort_indices(first).to_numpy()
+                for at in range(0, len(asked), 256):
+                    apart = np.bitwise_count(asked[at : at + 256, None] ^ code[None, order])
+                    # Equal distances keep the order of ids.
+                    near = np.argsort(apart, axis=1, kind="stable")[:, :k]
+                    row = np.repeat(asked[at : at + 256], near.shape[1])
+                    picked = order[near.ravel()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(row), pa.array(code[picked]), first.take(pa.array(picked)), pa.array(np.take_along_axis(apart, near, 1).ravel().astype(np.int32))],
+                        names=["query", "code", "first", "distance"],
+                    )
+
+        schema = state.select("query").schema.add("code", "long").add("first", codes.schema["ids"].dataType.elementType).add("distance", "int")
+        found = codes.select("code", F.col("ids")[0].alias("first")).mapInArrow(scan, schema)
+        order = F.row_number().over(W.Window.partitionBy("query").orderBy("distance", "first"))
+        parts.append(scratch.write(found.withColumn("n", order).where(F.col("n") <= k).drop("n"), f"outliers-{block}"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def nearest(vectors: DataFrame, wanted: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS) -> DataFrame:
     """For each row where ``wanted`` holds, its k nearest rows: ``query_id``, ``rank`` from 1, the id and ``distance``."""
     spark = vectors.sparkSession
@@ -81,10 +146,12 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 10, id_col: str = "vec_
     state = scratch.write(coded.where("asks").select(F.col("code").alias("query")).distinct().withColumn("worst", F.lit(bits)), "open-0")
     top = spark.createDataFrame([], "query long, code long, first long, distance int").withColumn("first", F.col("first").cast(codes.schema["ids"].dataType.elementType))
     for r in range(max(size) + 1):
-        # Values at distance r: one row a segment and mask, no more than the choices of r bits of a segment.
-        masks = spark.createDataFrame([(s, sum(1 << b for b in c)) for s, w in enumerate(size) for c in combinations(range(w), r)], "seg int, mask long")
+        # A round that would take more probes a query than there are codes: compare what is still open with all codes.
+        if sum(comb(w, r) for w in size) > max(total, 1 << 10):
+            top = top.join(state, "query", "left_anti").unionAll(compared(codes, state, k, scratch))
+            break
         looking = state.select("query", "worst", parts(F.col("query"))).where(F.col("seg") <= F.col("worst") - m * r)
-        probes = looking.join(F.broadcast(masks), "seg").select("query", "worst", F.col("seg").alias("at"), F.col("value").bitwiseXOR(F.col("mask")).alias("probe"))
+        probes = probes_of(looking, r, size)
         differ = F.col("query").bitwiseXOR(F.col("code"))
         apart = [F.bit_count(_segment(differ, a, w)) for a, w in zip(starts, size, strict=True)]
         here_first = reduce(lambda a, b: a & b, [(d > r) | ((d == r) & (F.col("at") <= i)) for i, d in enumerate(apart)])

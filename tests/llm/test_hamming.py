@@ -31,6 +31,30 @@ def test_against_brute_force(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in got) == brute(rows, 7, 20)
 
 
+def test_outliers(spark, monkeypatch):
+    """Queries far from every code are compared with all; ties at the kth place go to the smaller id."""
+    rng = random.Random(2)
+    centre = [rng.choice([-1.0, 1.0]) for _ in range(64)]
+    rows = [(i, [-x if rng.random() < 0.04 else x for x in centre]) for i in range(1500)]
+    rows += [(2000 + 20 * i, [-x if rng.random() < 0.8 else x for x in centre]) for i in range(3)]
+    asked = []
+    plain = hamming.compared
+    monkeypatch.setattr(hamming, "compared", lambda codes, state, *rest: (asked.append(state.count()), plain(codes, state, *rest))[1])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = hamming.nearest(table, F.col("vec_id") % 20 == 0, k=7).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in got) == brute(rows, 7, 20)
+    assert asked and 0 < asked[0] <= 3
+
+
+def test_probes_are_all_values_at_a_distance(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "PROBES", 5)
+    looking = spark.createDataFrame([(1, 64, 0, 5), (2, 64, 1, 9), (3, 64, 0, 0)], "query long, worst int, seg int, value long")
+    for radius in (0, 1, 2):
+        got = sorted((r["query"], r["at"], r["probe"]) for r in hamming.probes_of(looking, radius, [6, 4]).collect())
+        want = sorted((q, s, v) for q, s, at, w in ((1, 0, 5, 6), (2, 1, 9, 4), (3, 0, 0, 6)) for v in range(1 << w) if (v ^ at).bit_count() == radius)
+        assert got == want
+
+
 def test_few_and_no_rows(spark):
     rows = [(0, [1.0] * 64), (1, [-1.0] * 64)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -39,6 +39,7 @@ def test_outliers(spark, monkeypatch):
     rows += [(2000 + 20 * i, [-x if rng.random() < 0.8 else x for x in centre]) for i in range(3)]
     asked = []
     plain = hamming.compared
+    monkeypatch.setattr(hamming, "choose_segments", lambda *_: 3)
     monkeypatch.setattr(hamming, "compared", lambda codes, state, *rest: (asked.append(state.count()), plain(codes, state, *rest))[1])
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
     got = hamming.nearest(table, F.col("vec_id") % 20 == 0, k=7).collect()

@@ -2,13 +2,14 @@
 
 Only headers (id, URL, digest, length) are shuffled by payload digest, to find for each digest the
 record with the smallest id: it becomes the response, the others revisit it. Payloads are shuffled
-once, by (digest, id), to pick the responses, so a payload shared by many pages does not land in one task. Records
-are written with Spark's text writer, whose line separator is the empty lines that end a WARC record; its
-commit protocol makes retried tasks harmless. Archives are read whole by file (``records_per_file`` bounds
-them), decompressed and cut by Content-Length as a stream.
+once, by (digest, id), to pick the responses, so a payload shared by many pages does not land in one task. They are dealt to as many
+tasks as there are ``file_bytes`` of payloads, so a file has about that many bytes before compression, plus a record; ``records_per_file``
+bounds its records. Records are written with Spark's text writer, whose line separator is the empty lines that end a WARC record; its
+commit protocol makes retried tasks harmless. Archives are read whole by file, decompressed and cut by Content-Length as a stream.
 
 Defined cases: a null payload is empty; payloads under ``min_bytes`` are always responses. Repeated
-rows with the smallest id of a digest are all responses. A null id is never the smallest unless all
+rows with the smallest id of a digest are all responses, and revisits refer to one of them; each record has an id of its own.
+A payload must be under 1 GB, and ``file_bytes`` is best well under that. A null id is never the smallest unless all
 ids of the digest are null; then all are responses. A null URL leaves out WARC-Target-URI; white space and
 control characters in URLs are percent-encoded. Empty tables give an archive without records.
 """
@@ -24,8 +25,9 @@ from datetime import UTC, datetime
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from millrace.llm.shared import Scratch
+from millrace.llm.shared import Scratch, partitions
 
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -33,22 +35,16 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_id string, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to_id string"
 
 
-def base32_sha1(data: Column) -> Column:
-    """SHA-1 in upper-case base32: each character is five of the 160 bits, taken from two hex digits.
+def base32(digest: Column) -> Column:
+    """A hexadecimal SHA-1 in upper-case base32: each character is five of the 160 bits, taken from two hex digits."""
+    two = lambda i: F.conv(F.substring(digest, F.floor(i * 5 / 4).cast("int") + 1, F.lit(2)), 16, 10).cast("int")
+    five = lambda i: F.call_function("shiftright", two(i), 3 - i * 5 % 4).bitwiseAND(F.lit(31))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(BASE32), five(i) + 1, F.lit(1))), "")
 
-    The digest is bound to a variable of its own, else each character would compute it anew.
-    """
 
-    def spelt(digest: Column) -> Column:
-        two = lambda i: F.conv(F.substring(digest, F.floor(i * 5 / 4).cast("int") + 1, F.lit(2)), 16, 10).cast("int")
-        five = lambda i: F.call_function("shiftright", two(i), 3 - i * 5 % 4).bitwiseAND(F.lit(31))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(BASE32), five(i) + 1, F.lit(1))), "")
-
-    return F.element_at(F.transform(F.array(F.sha1(data)), spelt), 1)
-
-
-def _record_id(page: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("|", page.cast("string"), digest).cast("binary"))
+def _record_id(page: Column, digest: Column, copy: Column) -> Column:
+    """An id from page and digest; ``copy`` counts rows that have both in common, from 1."""
+    h = F.md5(F.concat_ws("|", page.cast("string"), digest, F.when(copy > 1, copy.cast("string"))).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -63,10 +59,10 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
 
 
-def _record(kind: str, page: Column, url: Column, digest: Column, http: Column, block: Column, date: str, more: list[tuple[str, Column]]) -> Column:
+def _record(kind: str, page: Column, url: Column, digest: Column, copy: Column, http: Column, block: Column, date: str, more: list[tuple[str, Column]]) -> Column:
     lines = [
         ("WARC-Type", F.lit(kind)),
-        ("WARC-Record-ID", _record_id(page, digest)),
+        ("WARC-Record-ID", _record_id(page, digest, copy)),
         ("WARC-Date", F.lit(date)),
         ("WARC-Target-URI", _safe(url)),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
@@ -79,32 +75,37 @@ def _record(kind: str, page: Column, url: Column, digest: Column, http: Column,
 
 
 def write_archives(
-    pages: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0, records_per_file: int = 10_000, date: str | None = None
+    pages: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0, records_per_file: int = 10_000, file_bytes: int = 64 << 20, date: str | None = None
 ) -> None:
     """Write one record a row below ``path``: a response for the first of each payload, revisits for the others."""
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     scratch = Scratch(pages.sparkSession, "warc")
     named = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
-    headers = scratch.write(named.select("page", "url", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes")), "headers")
+    headers = scratch.write(named.select("page", "url", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes")), "headers")
     large = headers.where(F.col("bytes") >= min_bytes)
-    first = scratch.write(large.groupBy(F.col("digest").alias("of")).agg(F.min("page").alias("first"), F.min_by("url", "page").alias("first_url")), "first")
+    first = scratch.write(large.groupBy(F.col("sha1").alias("of")).agg(F.min("page").alias("first"), F.min_by("url", "page").alias("first_url")), "first")
+    total = headers.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(partitions(pages.sparkSession), -(-total // file_bytes))
 
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
-    known = named.withColumn("digest", base32_sha1(F.col("payload")))
-    chosen = known.where(F.octet_length("payload") >= min_bytes).join(first, (F.col("digest") == F.col("of")) & F.col("page").eqNullSafe(F.col("first")), "left_semi")
+    # By one partitioning: the join with what is chosen, and the count of rows that repeat a response.
+    known = named.withColumn("sha1", F.sha1("payload")).repartition(tasks, "sha1", "page")
+    copy = F.row_number().over(W.Window.partitionBy("sha1", "page").orderBy("url"))
+    chosen = known.where(F.octet_length("payload") >= min_bytes).join(first, (F.col("sha1") == F.col("of")) & F.col("page").eqNullSafe(F.col("first")), "left_semi")
     if min_bytes > 0:
         chosen = chosen.unionAll(known.where(F.octet_length("payload") < min_bytes))
-    responses = chosen.select(_record("response", F.col("page"), F.col("url"), F.col("digest"), http, F.col("payload"), date, []).alias("value"))
-    repeats = large.join(first, F.col("digest") == F.col("of")).where(~F.col("page").eqNullSafe(F.col("first")))
+    chosen = chosen.withColumn("copy", copy).withColumn("digest", base32(F.col("sha1")))
+    responses = chosen.select(_record("response", F.col("page"), F.col("url"), F.col("digest"), F.col("copy"), http, F.col("payload"), date, []).alias("value"))
+    repeats = large.join(first, F.col("sha1") == F.col("of")).where(~F.col("page").eqNullSafe(F.col("first"))).withColumn("copy", copy).withColumn("digest", base32(F.col("sha1")))
     refers = [
         ("WARC-Profile", F.lit(PROFILE)),
-        ("WARC-Refers-To", _record_id(F.col("first"), F.col("digest"))),
+        ("WARC-Refers-To", _record_id(F.col("first"), F.col("digest"), F.lit(1))),
         ("WARC-Refers-To-Target-URI", _safe(F.col("first_url"))),
         ("WARC-Refers-To-Date", F.lit(date)),
     ]
     headed = F.lit(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8{END}")
-    revisits = repeats.select(_record("revisit", F.col("page"), F.col("url"), F.col("digest"), headed, F.lit(""), date, refers).alias("value"))
+    revisits = repeats.select(_record("revisit", F.col("page"), F.col("url"), F.col("digest"), F.col("copy"), headed, F.lit(""), date, refers).alias("value"))
     responses.unionAll(revisits).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 

@@ -40,6 +40,10 @@ def test_round_trip(spark):
     assert got == sorted(want, key=repr)
     urls = {r["page_id"]: r["url"] for r in records.collect()}
     assert urls[2] is None and urls[4] == "http://c/%0D%0AX:%20y%20z" and urls[7] == "http://ü/"
+    ids = [r["record_id"] for r in records.collect()]
+    assert len(set(ids)) == len(ids)
+    known = {r["record_id"]: r["page_id"] for r in records.where("record_type = 'response'").collect()}
+    assert all(known[r["refers_to_id"]] is not None for r in records.where("record_type = 'revisit'").collect())
     # A shared payload is in the archives once.
     assert records.where("record_type = 'response' and page_id = 1").count() == 1
 
@@ -50,6 +54,16 @@ def test_small_payloads_stay(spark):
     assert warc.resolve(records, scratch).count() == len(PAGES)
 
 
+def test_files_are_bounded_in_bytes(spark):
+    scratch = Scratch(spark, "test_warc")
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "concat(id, repeat(chr(cast(97 + id % 26 AS int)), 50000)) AS html")
+    warc.write_archives(pages, scratch.path("warc"), "page_id", "url", "html", file_bytes=1_000_000)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(scratch.path("warc")).select("content").collect()
+    sizes = [sum(map(len, warc._pieces(bytes(r["content"])))) for r in files]
+    assert sum(s > 0 for s in sizes) > 12 and max(sizes) < 3_000_000
+    assert warc.read_archives(spark, scratch.path("warc")).count() == 400
+
+
 def test_empty(spark):
     records, scratch = written(spark, frame(spark, []))
     assert warc.resolve(records, scratch).count() == 0

@@ -119,7 +119,7 @@ def compared(codes: DataFrame, state: DataFrame, k: int, scratch: Scratch) -> Da
                         names=["query", "code", "first", "distance"],
                     )
 
-        schema = state.select("query").schema.add("code", "long").add("first", codes.schema["ids"].dataType.elementType).add("distance", "int")
+        schema = state.select("query").schema.add("code", "long").add("first", codes.schema["ids"].dataType.elementType).add("distance", "integer")
         found = codes.select("code", F.col("ids")[0].alias("first")).mapInArrow(scan, schema)
         order = F.row_number().over(W.Window.partitionBy("query").orderBy("distance", "first"))
         parts.append(scratch.write(found.withColumn("n", order).where(F.col("n") <= k).drop("n"), f"outliers-{block}"))

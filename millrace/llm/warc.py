@@ -89,15 +89,16 @@ def write_archives(
     tasks = max(partitions(pages.sparkSession), -(-total // file_bytes))
 
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
-    # By one partitioning: the join with what is chosen, and the count of rows that repeat a response.
-    known = named.withColumn("sha1", F.sha1("payload")).repartition(tasks, "sha1", "page")
-    copy = F.row_number().over(W.Window.partitionBy("sha1", "page").orderBy("url"))
-    chosen = known.where(F.octet_length("payload") >= min_bytes).join(first, (F.col("sha1") == F.col("of")) & F.col("page").eqNullSafe(F.col("first")), "left_semi")
+    # By one partitioning, with a key that is never null: the join with what is chosen, and the count of rows that repeat a response.
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    known = named.withColumn("sha1", F.sha1("payload")).withColumn("name", name("page")).repartition(tasks, "sha1", "name")
+    copy = F.row_number().over(W.Window.partitionBy("sha1", "name").orderBy("url"))
+    chosen = known.where(F.octet_length("payload") >= min_bytes).join(first.select("of", name("first").alias("of_name")), (F.col("sha1") == F.col("of")) & (F.col("name") == F.col("of_name")), "left_semi")
     if min_bytes > 0:
         chosen = chosen.unionAll(known.where(F.octet_length("payload") < min_bytes))
     chosen = chosen.withColumn("copy", copy).withColumn("digest", base32(F.col("sha1")))
     responses = chosen.select(_record("response", F.col("page"), F.col("url"), F.col("digest"), F.col("copy"), http, F.col("payload"), date, []).alias("value"))
-    repeats = large.join(first, F.col("sha1") == F.col("of")).where(~F.col("page").eqNullSafe(F.col("first"))).withColumn("copy", copy).withColumn("digest", base32(F.col("sha1")))
+    repeats = large.join(first, F.col("sha1") == F.col("of")).where(~F.col("page").eqNullSafe(F.col("first"))).withColumn("name", name("page")).withColumn("copy", copy).withColumn("digest", base32(F.col("sha1")))
     refers = [
         ("WARC-Profile", F.lit(PROFILE)),
         ("WARC-Refers-To", _record_id(F.col("first"), F.col("digest"), F.lit(1))),

@@ -109,7 +109,7 @@ def compared(codes: DataFrame, state: DataFrame, k: int, scratch: Scratch) -> Da
                 code, first = batch.column("code").to_numpy(), batch.column("first")
                 order = pa.compute.array_sort_indices(first).to_numpy()
                 for at in range(0, len(asked), 256):
-                    apart = np.bitwise_count(asked[at : at + 256, None] ^ code[None, order])
+                    apart = np.bitwise_count((asked[at : at + 256, None] ^ code[None, order]).view(np.uint64))
                     # Equal distances keep the order of ids.
                     near = np.argsort(apart, axis=1, kind="stable")[:, :k]
                     row = np.repeat(asked[at : at + 256], near.shape[1])

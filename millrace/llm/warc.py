@@ -93,7 +93,9 @@ def write_archives(
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     known = named.withColumn("sha1", F.sha1("payload")).withColumn("name", name("page")).repartition(tasks, "sha1", "name")
     copy = F.row_number().over(W.Window.partitionBy("sha1", "name").orderBy("url"))
-    chosen = known.where(F.octet_length("payload") >= min_bytes).join(first.select("of", name("first").alias("of_name")), (F.col("sha1") == F.col("of")) & (F.col("name") == F.col("of_name")), "left_semi")
+    # Not a semi-join: Spark would move that below the partitioning and shuffle payloads twice. There is one row a digest in ``first``.
+    chosen = known.where(F.octet_length("payload") >= min_bytes).join(first.select("of", name("first").alias("of_name")), (F.col("sha1") == F.col("of")) & (F.col("name") == F.col("of_name")))
+    chosen = chosen.select(known.columns)
     if min_bytes > 0:
         chosen = chosen.unionAll(known.where(F.octet_length("payload") < min_bytes))
     chosen = chosen.withColumn("copy", copy).withColumn("digest", base32(F.col("sha1")))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from millrace.plans.sql import both
+from millrace.sql import both
 
 QUERIES, ORACLES = both({
     "str_basic": (
         """SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(octet_length(text) AS BIGINT) AS bytes, split_part(text, ' ', 1) AS word, concat_ws('-', lang, source) AS tag FROM {documents}""",
         """SELECT doc_id, length(text) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, split_part(text, ' ', 1) AS word, concat_ws('-', lang, source) AS tag FROM {documents}""",
     ),
-    "str_case": """SELECT doc_id, lower(substr(text, 1, 80)) AS low, upper(lang) AS up, trim(lpad(lang, 5, ' ')) AS t FROM {documents}""",
+    "str_case": """SELECT doc_id, lower(text) AS low, upper(lang) AS up, trim(lpad(lang, 5, ' ')) AS t FROM {documents}""",
     "str_regex": (
-        r"""SELECT doc_id, regexp_replace(substr(text, 1, 200), '[0-9]+', '#') AS masked, CAST(size(split(substr(text, 1, 200), '[ ]')) AS BIGINT) AS parts FROM {documents}""",
-        r"""SELECT doc_id, regexp_replace(substr(text, 1, 200), '[0-9]+', '#', 'g') AS masked, len(regexp_split_to_array(substr(text, 1, 200), '[ ]')) AS parts FROM {documents}""",
+        r"""SELECT doc_id, regexp_replace(text, '[0-9]+', '#') AS masked, CAST(size(split(text, '[ ]')) AS BIGINT) AS parts FROM {documents}""",
+        r"""SELECT doc_id, regexp_replace(text, '[0-9]+', '#', 'g') AS masked, len(regexp_split_to_array(text, '[ ]')) AS parts FROM {documents}""",
     ),
     "str_distance": """SELECT p_partkey, CAST(levenshtein(p_type, 'PROMO') AS BIGINT) AS d FROM {part}""",
     "url_parse": (
@@ -47,8 +47,12 @@ QUERIES, ORACLES = both({
         r"""SELECT doc_id, count(*) AS n, count(DISTINCT line) AS kinds FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {documents}) GROUP BY doc_id""",
     ),
     "map_basic": (
-        """SELECT event_id, element_at(map_from_arrays(array('t', 'u'), array(event_type, CAST(user_id AS STRING))), 'u') AS u, CAST(size(map('a', 1, 'b', 2)) AS BIGINT) AS n FROM {events}""",
-        """SELECT event_id, CAST(user_id AS VARCHAR) AS u, CAST(2 AS BIGINT) AS n FROM {events}""",
+        """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM {events} GROUP BY user_id, event_type),
+        m AS (SELECT user_id, map_from_entries(collect_list(struct(event_type, n))) AS m FROM c GROUP BY user_id)
+        SELECT user_id, array_join(sort_array(map_keys(m)), ',') AS kinds, try_element_at(m, 'purchase') AS bought, CAST(size(m) AS BIGINT) AS entries, kind, n FROM m LATERAL VIEW explode(m) e AS kind, n""",
+        """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM {events} GROUP BY user_id, event_type),
+        m AS (SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds, max(n) FILTER (WHERE event_type = 'purchase') AS bought, count(*) AS entries FROM c GROUP BY user_id)
+        SELECT user_id, kinds, bought, entries, event_type AS kind, n FROM m JOIN c USING (user_id)""",
     ),
     "struct_basic": (
         """SELECT event_id, s.kind AS kind, s.v.value AS value FROM (SELECT event_id, named_struct('kind', event_type, 'v', named_struct('value', value)) AS s FROM {events})""",

@@ -1,5 +1,6 @@
 """Functions written in Python: scalar, grouped and table-valued."""
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,10 +12,14 @@ from pyspark.sql import types as T
 
 from millrace.session import table
 
+SPACE = re.compile("[ \\t\\n\\r]+")
+#: Rows of a key that a grouped function gets at a time, about.
+GROUP_ROWS = 100_000
+
 
 @F.udf(T.StringType())
 def initials(text: str | None) -> str | None:
-    return None if text is None else "".join(w[0] for w in text.split()[:5])
+    return None if text is None else "".join(w[0] for w in text.split(" ") if w)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -34,10 +39,10 @@ def spread(values: pd.Series) -> float:
 
 @F.udtf(returnType=T.StructType().add("word", T.StringType()).add("at", T.IntegerType()))
 class Words:
-    """The first words of a text with their places."""
+    """The words of a text with their places."""
 
-    def eval(self, text: str | None, most: int) -> Iterator[tuple[str, int]]:
-        for at, word in enumerate((text or "").split()[:most]):
+    def eval(self, text: str | None) -> Iterator[tuple[str, int]]:
+        for at, word in enumerate(filter(None, SPACE.split(text or ""))):
             yield word, at
 
 
@@ -59,25 +64,28 @@ def udaf_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def udtf_py(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.lateralJoin(Words(F.col("text").outer(), F.lit(3))).select("doc_id", "word", "at")
+    return docs.lateralJoin(Words(F.col("text").outer())).select("doc_id", "word", "at")
 
 
 def apply_in_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events with their share of the user's sum; a user's events are few enough for one task."""
+    """Each user's events with their share of the user's sum. Sums are made before, so a user's events come in groups of bounded size."""
 
     def share(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"event_id": group["event_id"], "share": (group["value"] / group["value"].sum()).round(8)})
+        return pd.DataFrame({"event_id": group["event_id"], "share": (group["value"] / group["total"]).round(8)})
 
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "value").groupBy("user_id").applyInPandas(share, "event_id long, share double")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    sums = events.groupBy("user_id").agg(F.sum("value").alias("total"), F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("salts"))
+    salted = events.join(sums, "user_id").withColumn("salt", F.pmod(F.xxhash64("event_id"), F.col("salts")))
+    return salted.groupBy("user_id", "salt").applyInPandas(share, "event_id long, share double")
 
 
 QUERIES = {f.__name__: f for f in (udf_py, udf_pandas, udf_arrow, udaf_pandas, udtf_py, apply_in_pandas)}
 ORACLES = {
-    "udf_py": "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' ')[1:5], lambda w: w[1]), '') AS initials FROM part",
+    "udf_py": "SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(p_name, ' '), lambda w: w <> ''), lambda w: w[1]), '') AS initials FROM part",
     "udf_pandas": "SELECT event_id, round(value / (1 + abs(value)), 8) AS damped FROM events",
     "udf_arrow": "SELECT doc_id, length(text) AS chars FROM documents",
     "udaf_pandas": "SELECT user_id, round(max(value) - min(value), 6) AS spread FROM events GROUP BY user_id",
-    "udtf_py": r"""SELECT doc_id, word, CAST(n - 1 AS INTEGER) AS "at" FROM (SELECT doc_id, unnest(words[1:3]) AS word, generate_subscripts(words[1:3], 1) AS n
-FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS words FROM documents))""",
+    "udtf_py": r"""SELECT doc_id, word, CAST(n - 1 AS INTEGER) AS "at" FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS n
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '') AS words FROM documents))""",
     "apply_in_pandas": "SELECT event_id, round(value / sum(value) OVER (PARTITION BY user_id), 8) AS share FROM events",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.sql import both
+from millrace.sql import both
 from millrace.session import table
 
 QUERIES, ORACLES = both({
@@ -36,8 +36,8 @@ QUERIES, ORACLES = both({
         """SELECT user_id, arg_max(event_id, row(value, event_id)) AS best, arg_min(event_id, row(value, event_id)) AS worst FROM {events} GROUP BY user_id""",
     ),
     "agg_collect": (
-        """SELECT user_id, array_join(sort_array(collect_set(event_type)), ',') AS kinds, CAST(size(collect_list(event_id)) AS BIGINT) AS n FROM {events} GROUP BY user_id""",
-        """SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds, len(list(event_id)) AS n FROM {events} GROUP BY user_id""",
+        """SELECT user_id, array_join(sort_array(collect_set(event_type)), ',') AS kinds, count(event_id) AS n FROM {events} GROUP BY user_id""",
+        """SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds, count(event_id) AS n FROM {events} GROUP BY user_id""",
     ),
     "agg_listagg": (
         """SELECT n_regionkey, listagg(n_name, ';') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey""",

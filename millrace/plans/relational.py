@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import asof_join, interval_join, range_join
-from millrace.plans.sql import both
+from millrace.sql import both
 from millrace.session import table
 
 QUERIES, ORACLES = both({
@@ -44,9 +44,15 @@ QUERIES, ORACLES = both({
         """SELECT c_custkey, c_name FROM {customer} LEFT ANTI JOIN (SELECT * FROM {orders} WHERE o_totalprice > 400000) o ON c_custkey = o_custkey""",
         """SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 400000)""",
     ),
-    "join_null_aware_anti": """SELECT n_nationkey, n_name FROM {nation} WHERE n_nationkey NOT IN (SELECT s_nationkey FROM {supplier} WHERE s_acctbal > 0 AND s_nationkey < 12)""",
+    # A null on the right leaves nothing, one on the left leaves out its row unless the list is empty.
+    "join_null_aware_anti": """
+        SELECT 'null listed' AS kind, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM {nation} WHERE n_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM {supplier} WHERE s_nationkey < 12 OR s_nationkey = 3)
+            AND EXISTS (SELECT 1 FROM {supplier} WHERE s_nationkey = 3)
+        UNION ALL SELECT 'none listed', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM {nation} WHERE n_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM {supplier} WHERE s_nationkey < 12 AND s_nationkey <> 3)
+        UNION ALL SELECT 'null asked', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM {nation} WHERE nullif(n_nationkey, 24) NOT IN (SELECT s_nationkey FROM {supplier} WHERE s_nationkey < 12)
+        UNION ALL SELECT 'empty list', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM {nation} WHERE nullif(n_nationkey, 24) NOT IN (SELECT s_nationkey FROM {supplier} WHERE s_nationkey < 0)""",
     "join_cross": """SELECT r_name, n_name FROM {region} CROSS JOIN {nation}""",
-    "join_theta": """SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT * FROM {part} WHERE p_size > 48) a JOIN (SELECT * FROM {part} WHERE p_size < 3) b ON a.p_retailprice < b.p_retailprice - 800""",
+    "join_theta": """SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT * FROM {part} WHERE p_size > 48) a JOIN (SELECT * FROM {part} WHERE p_size < 3) b ON a.p_retailprice < b.p_retailprice - 3""",
     "join_star": """SELECT r_name, c_mktsegment, count(*) AS n, round(sum(l_extendedprice), 2) AS price
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
         JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name, c_mktsegment""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans.sql import both
+from millrace.sql import both
 
 QUERIES, ORACLES = both({
     "win_rank": """SELECT c_custkey, CAST(rank() OVER w AS BIGINT) AS rk, CAST(dense_rank() OVER w AS BIGINT) AS dr,

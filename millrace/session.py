@@ -31,9 +31,3 @@ def build_session(cpus: int | None = None, shuffle_partitions: int | None = None
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Register tables as temporary views, for the queries written in SQL."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.session import table
 from millrace.sources.scratch import scratch_path
 
 #: Seconds after which a query that does not end is stopped.
 LIMIT = 600
+#: Micro-batches that a replayed table arrives in.
+BATCHES = 3
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +25,29 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def replayed(events: DataFrame, parts: list[Column], name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """A table as a stream that arrives in as many micro-batches as there are conditions in ``parts``, in their order.
+
+    Each part is one file in a folder of its own, written after the one before: the source goes by the times of files.
+    """
+    spark, path = events.sparkSession, scratch_path(events.sparkSession, name)
+    for n, part in enumerate(parts):
+        events.where(part).coalesce(1).write.parquet(f"{path}/part={n}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).options(**options or {}).parquet(path)
+    return stream.drop("part").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def event_batches(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``events`` replayed by time in BATCHES micro-batches; in a batch they come in no order."""
+    events = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return event_stream(spark, sf_dir)
+    slot = F.least(F.lit(BATCHES - 1), F.floor((at - low) * BATCHES / F.lit(high - low + 1))).cast("int")
+    return replayed(events.orderBy(F.xxhash64("event_id")), [slot == n for n in range(BATCHES)], name)
+
+
 def _finish(query) -> None:
     if not query.awaitTermination(LIMIT):
         query.stop()
@@ -78,45 +104,71 @@ def stream_tumbling_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_batches(_flat(_hours(event_stream(spark, sf_dir))), "tumbling_complete", "complete")
 
 
+def closed_hours(events: DataFrame) -> DataFrame:
+    """Hours that a watermark of one hour has closed; events that come after it are dropped."""
+    return to_files(_flat(_hours(events.withWatermark("ts", "1 hour"))), "tumbling_append")
+
+
 def stream_tumbling_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that a watermark of one hour has closed; those still open at the end are not given."""
-    return to_files(_flat(_hours(event_stream(spark, sf_dir).withWatermark("ts", "1 hour"))), "tumbling_append")
+    return closed_hours(event_batches(spark, sf_dir, "append_events"))
 
 
-def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+def closed_sessions(events: DataFrame) -> DataFrame:
     """Sessions of users, closed by a watermark of one hour."""
-    sessions = event_stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n"))
+    sessions = events.withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n"))
     return to_files(sessions.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n"), "session")
 
 
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closed_sessions(event_batches(spark, sf_dir, "session_events"))
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each user and kind within the watermark."""
-    events = event_stream(spark, sf_dir).withWatermark("ts", "60 days")
+    """The first event of each user and kind, over several batches; the watermark is longer than the table, so that SQL knows the answer."""
+    events = event_batches(spark, sf_dir, "dedup_events").withWatermark("ts", "60 days")
     return to_files(events.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"), "dedup")
 
 
 def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases with the views of their user in the six hours before, both sides streamed."""
-    events = event_stream(spark, sf_dir)
+    events = event_batches(spark, sf_dir, "join_events")
     bought = events.where("event_type = 'purchase'").select(F.col("user_id"), F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought_at")).withWatermark("bought_at", "1 hour")
     seen = events.where("event_type = 'view'").select(F.col("user_id").alias("viewer"), F.col("event_id").alias("view_id"), F.col("ts").alias("seen_at")).withWatermark("seen_at", "1 hour")
     within = F.expr("user_id = viewer and seen_at <= bought_at and seen_at >= bought_at - interval 6 hours")
     return to_files(bought.join(seen, within).select("user_id", "purchase_id", "view_id"), "stream_join")
 
 
-def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running count and sum of each user, kept as state of our own; each batch gives the users it changed."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+class RunningSum(StatefulProcessor):
+    """Count and sum of a key's values over all batches."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        for frame in frames:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", "n long, total double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+        n, total = self.sums.get() if self.sums.exists() else (0, 0.0)
+        for frame in rows:
             n, total = n + len(frame), total + float(frame["value"].sum())
-        state.update((n, total))
+        self.sums.update((n, total))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [round(total, 4)]})
 
-    events = event_stream(spark, sf_dir).select("user_id", "value")
-    kept = events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
-    batches = to_batches_all(kept, "state")
+    def close(self) -> None:
+        pass
+
+
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running count and sum of each user, kept as state of our own in RocksDB; each batch gives the users it changed."""
+    events = event_batches(spark, sf_dir, "state_events").select("user_id", "value")
+    kept = events.groupBy("user_id").transformWithStateInPandas(RunningSum(), "user_id long, n long, total double", "Update", "None")
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        batches = to_batches_all(kept, "state")
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
     newest = F.max_by(F.struct("n", "total"), "n").alias("s")
     return batches.groupBy("user_id").agg(newest).select("user_id", "s.n", "s.total")
 

@@ -121,7 +121,8 @@ def filter_urls(
     judged = (
         pages.select(F.col(id_col), host_of(F.coalesce(url, F.lit(""))).alias("host"), path_of(F.coalesce(url, F.lit(""))).alias("path"), canonical(url).alias("canonical_url"))
         .withColumn("__fit", rule_of(F.col("host"), F.col("path"), rules))
-        .withColumn("block", _block(F.col("canonical_url"), blocks))
+        # Rows that a rule settles and those without a URL look nowhere: numbers that no block has keep them apart.
+        .withColumn("block", F.when(F.col("__fit").isNull() & F.col("canonical_url").isNotNull(), _block(F.col("canonical_url"), blocks)).otherwise(-1 - F.pmod(F.xxhash64(id_col), F.lit(4096))))
     )
     in_bloom = reduce(lambda a, b: a & b, [(F.col(f"w{i}").bitwiseAND(_mask(F.col("canonical_url"), i)) != 0) for i in range(WORDS)])
     probed = judged.join(bloom, "block", "left").select(

@@ -52,3 +52,28 @@ def test_bloom_has_no_false_negative_and_few_false_positives(spark):
 def test_native(spark):
     plan = judge(spark)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def judged_plainly(url):
+    """Host, path, rule and verdict by the rules alone, in plain Python; no verdict where no rule fits."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+    fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    _, rule, verdict = max(fits, default=(0, None, None))
+    return host, path, rule, verdict
+
+
+def test_rules_against_plain_python(spark):
+    urls = [
+        None, "", "no scheme", "http://", "http://NET", "http://net/", "http://a.net/x?y#z", "http://xnet/", "http://example.net/en/", "http://EXAMPLE.net/EN/", "http://w.example.net/en/a",
+        "http://example.net/en", "https://example.com/de/x", "https://a.b.example.com/de/", "https://notexample.com/de/", "http://org/fr/", "http://x.org/fr/y", "http://x.org?/fr/", "http://x.org#/fr/",
+        "a://b://net/", "http://net?x/", "http://example.net:80/en/", "http://user@example.com/de/", "http://a.org/" + "fr/" * 100_000, "http://" + "a." * 50_000 + "net/", "HTTP://ÄÖ.NET/ü",
+    ]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, pages.select("url").where("false")).collect()}
+    for n, url in enumerate(urls):
+        host, path, rule, verdict = judged_plainly(url)
+        assert got[n] == (host, path, rule, verdict or "allow"), url and url[:60]

@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from millrace.llm import sharding
 
 
@@ -50,6 +52,31 @@ def check(rows, got, shards):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_ties_go_to_the_lowest_shard():
+    assert sharding.schedule([(8, 3, 24)], 5) == [(8, [1, 2, 3, 3, 3])]
+
+
+def test_large_sizes_are_rounded_within_the_bound(spark):
+    rng = random.Random(8)
+    rows = [(i, f"{i:06}" + "x" * rng.choice([20, 300, rng.randint(9_000, 60_000)])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    best = max(one_by_one([8 + len(t) for _, t in rows], 7))
+    for bits in (5, 13):
+        loads = defaultdict(int)
+        for r in sharding.shard_documents(docs, 7, size_bits=bits).collect():
+            loads[r["shard"]] += r["size"]
+        assert max(loads.values()) <= best * (1 + 2.0 ** (2 - bits))
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    rows = [(1, "same")] * 500 + [(2, "other"), (None, None), (None, None)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("clash")), 3).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_odd_rows(spark, odd_documents):
     rows = [(r["doc_id"], r["text"]) for r in odd_documents.where("doc_id is not null").collect()]
     check(rows, sharding.shard_documents(odd_documents.where("doc_id is not null"), 5).collect(), 5)

@@ -37,6 +37,8 @@ LETTER = regex.compile(r"\p{L}")
 OTHER_ASCII, OTHER = re.compile(r"[^a-z]+"), regex.compile(r"[^\p{L}\p{M}]+")
 #: Bytes of difference from which sums tell languages apart without a finer look, and parts of a text in such a look.
 CLOSE, CUTS = 2, 8
+#: Rows that are looked at for a sample, in rows of the sample.
+OVERDRAW = 4
 UNDETERMINED = "und"
 
 
@@ -72,12 +74,25 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, settings:
         return []
     rows = max(1, min(settings.sample_rows, settings.all_rows // len(counts)))
     at = F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(F.lit(1), F.length(text) - settings.slice_chars + 1)).cast("int") + 1
-    parts = usable.select(lang.alias("lang"), F.xxhash64(key, text).alias("order"), F.substring(text, at, F.lit(settings.slice_chars)).alias("part"))
-    # The rank's filter is applied before the shuffle too, so a language's rows are cut down to the sample in the tasks.
-    rank = F.row_number().over(W.Window.partitionBy("lang").orderBy("order", "part"))
-    found: dict[str, list] = {}
-    for row in parts.withColumn("n", rank).where(F.col("n") <= rows).orderBy("lang", "n").collect():
-        found.setdefault(row["lang"], []).append(normal(row["part"]))
+    order = F.shiftrightunsigned(F.xxhash64(key, text), 1)
+    parts = usable.select(lang.alias("lang"), order.alias("order"), F.substring(text, at, F.lit(settings.slice_chars)).alias("part"))
+
+    def least(limits: list[tuple[str, int]]) -> dict[str, list[bytes]]:
+        """The slices of the least hashes of these languages, among hashes up to a limit each."""
+        known = F.broadcast(docs.sparkSession.createDataFrame(limits, "of string, most long"))
+        rank = F.row_number().over(W.Window.partitionBy("lang").orderBy("order", "part"))
+        drawn = parts.join(known, (F.col("lang") == F.col("of")) & (F.col("order") <= F.col("most"))).withColumn("n", rank)
+        out: dict[str, list[bytes]] = {}
+        for row in drawn.where(F.col("n") <= rows).select("lang", "n", "part").orderBy("lang", "n").collect():
+            out.setdefault(row["lang"], []).append(normal(row["part"]))
+        return out
+
+    # Hashes are spread evenly, so the sample of a language is among so many of the least; most rows are never shuffled.
+    # Where rows repeat they may not be: such languages are drawn again from all their rows.
+    top = (1 << 63) - 1
+    found = least([(r["lang"], min(top, OVERDRAW * rows * top // r["count"])) for r in counts])
+    if short := [(r["lang"], top) for r in counts if len(found.get(r["lang"], [])) < min(rows, r["count"])]:
+        found |= least(short)
     # A dictionary has eight bytes at least.
     return [(r["lang"], b" ".join(x for x in found[r["lang"]] if x)[: settings.dictionary_bytes].rjust(8)) for r in counts]
 

@@ -34,6 +34,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,7 @@ WINDOW, ANCHOR = 13, 4
 #: Words of a phrase that the automata look for: every window has a whole one if they stand this far apart.
 SEED = (WINDOW + 1) // 2
 #: Bytes of text that a task hashes at a time, and words of a long text taken together.
-BLOCK, SEGMENT = 1 << 18, 50_000
+BLOCK, SEGMENT = 1 << 19, 100_000
 #: Positions of one document that stay in one shard.
 CHUNK = 16_384
 MAX_BITMAP_BITS = 26
@@ -163,7 +164,7 @@ def anchors(rows: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _batches(batch.column("text")):
-                known = np.array([int.from_bytes(hashlib.sha256(b" ".join(w)).digest()[:8], "little") for w in texts], np.uint64)
+                known = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in texts], np.uint64)
                 for found in windows(texts):
                     _, first = np.unique(found.anchor_at, return_index=True)
                     columns = [found.anchor[first].view(np.int64), known[found.row[first]].view(np.int64)]

@@ -35,6 +35,10 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(label))
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
+    def release(self) -> None:
+        """Have the shuffle files of finished queries deleted: Spark does it when the driver's collector finds them unused, which may be late."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *labels: str) -> None:
         """Delete tables that nothing reads any more."""
         for label in labels:

@@ -18,6 +18,7 @@ from pyspark.sql import window as W
 from millrace.sources.scratch import scratch_path
 
 MAX_BITMAP_BITS = 26
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -31,14 +32,19 @@ class Scratch:
         return f"{self.base}/{label}"
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
-        """Write a table and return it as read back: its lineage is then one scan."""
-        df.write.option("compression", "zstd").parquet(self.path(label))
+        """Write a table and return it as read back: its lineage is then one scan.
+
+        Spark deletes the shuffle files of this write when it ends, instead of when the driver's collector finds them unused: nothing reads them again.
+        """
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path(label))
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
-    def release(self) -> None:
-        """Have the shuffle files of finished queries deleted: Spark does it when the driver's collector finds them unused, which may be late."""
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *labels: str) -> None:
         """Delete tables that nothing reads any more."""
         for label in labels:

@@ -247,7 +247,6 @@ def common_windows(rows: DataFrame, recurring: DataFrame, marks: np.ndarray, bit
     spots = _marked(rows, marks, bits, common_anchors(recurring), "window long, id {0}, at int", _spots)
     first = spots.groupBy("window").agg(F.min(F.struct("id", "at")).alias("place"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
     counted = scratch.write(first, "counted")
-    scratch.release()
     return counted.where(_is_common(counted) & (F.col("place.id") < F.col("last"))).select("window", "place.id", "place.at").toArrow()
 
 
@@ -367,7 +366,6 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
 
     spread = anchors(rows).groupBy("phrase").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.count(F.lit(1)).alias("n"))
     recurring = scratch.write(spread.where("a <> b").select("phrase", "n"), "recurring")
-    scratch.release()
     marks, bits = bitmap(recurring, "phrase", recurring.count(), MAX_BITMAP_BITS)
     table = marks.toArrow()
     array = np.zeros(1 << max(0, bits - 6), np.uint64)
@@ -386,7 +384,6 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
     at_first = F.coalesce("chunk", F.floor(F.col("place.at") / CHUNK).cast("int"))
     found = spots.where(wanted).select("id", first.alias("source"), at_first.alias("chunk"), F.when(~routed & is_source, F.col("at")).alias("place"))
     shared = scratch.write(found.unionAll(table.select("id", F.col("id").alias("source"), chunk.alias("chunk"), F.col("at").alias("place"))).distinct(), "shared")
-    scratch.release()
     sources = shared.where("place is not null")
     shards = max(1, ceil(sources.count() / windows_per_shard))
     shard = F.pmod(F.xxhash64("source", "chunk"), F.lit(shards)).cast("int").alias("shard")
@@ -404,7 +401,6 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
     texts = maybe_among(rows, "id", wanted.select("id").distinct(), scratch, "wanted_ids").where("__maybe").drop("__maybe")
     routed = texts.join(wanted, "id").repartition(max(partitions(docs.sparkSession), 2 * shards), "shard", "salt")
     runs = scratch.write(matched(routed.sortWithinPartitions("shard", "salt", F.col("places").isNull()).select("shard", "salt", "id", "key", "places", "text")), "runs")
-    scratch.release()
     merged = runs.groupBy("id", "key").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     return known, scratch.write(merged, "merged")
 

@@ -128,7 +128,9 @@ def test_group_links_of_crowded_groups(spark, block_rows):
         x, y = sorted((label[a], label[b]))
         label = [x if z == y else z for z in label]
     want = brute_links(codes, lambda a, b: (a ^ b).bit_count() <= 12)
-    assert label == want and len(edges) < 12 * len(codes)
+    assert label == want
+    if block_rows >= len(codes):
+        assert len(edges) < 2 * len(codes), "one block a group gives a forest"
 
 
 def test_majorities_of_many_rows():

@@ -20,8 +20,10 @@ model has byte pieces, else the unknown piece. A text that holds the mark itself
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +106,7 @@ class Codec:
             node = self.ends
             for c in reversed(piece):
                 node = node.setdefault(c, {})
-            node[""] = True
+            node[""] = piece
         self.worst = min((s for _, s in pieces.values()), default=0.0) - 10
         self.allowed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, list[int]] = {}
@@ -137,19 +139,21 @@ class Codec:
 
     def _step(self, word: str, j: int, states: list[tuple[float, str]]) -> tuple[float, str]:
         """The state after j characters: (score, last piece). ``states[i]`` is that after i."""
-        node, i, best = self.ends, j, None
+        node, i, best, bpe, known = self.ends, j, None, self.kind == BPE, self.allowed
         while i:
             i -= 1
             node = node.get(word[i])
             if node is None:
                 break
-            if "" in node:
-                piece = word[i:j]
-                if self.kind == BPE:
-                    if self._allowed(states[i][1], piece):
-                        return 0.0, piece
-                elif best is None or states[i][0] + self.pieces[piece][1] > best[0]:
-                    best = (states[i][0] + self.pieces[piece][1], piece)
+            piece = node.get("")
+            if piece is None:
+                continue
+            if bpe:
+                fits = known.get((states[i][1], piece))
+                if self._allowed(states[i][1], piece) if fits is None else fits:
+                    return 0.0, piece
+            elif best is None or states[i][0] + self.pieces[piece][1] > best[0]:
+                best = (states[i][0] + self.pieces[piece][1], piece)
         return best or (states[j - 1][0] + self.worst, word[j - 1])
 
     def _ids(self, piece: str) -> list[int]:
@@ -159,20 +163,27 @@ class Codec:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """The ids of each word. Sorted words follow the trie depth-first; states are reused up to the shared prefix."""
-        found = {}
+        found, pieces, step = {}, self.pieces, self._step
         before, states = "", [(0.0, "")]
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
+            shared = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
                 shared += 1
             del states[shared + 1 :]
             for j in range(shared + 1, len(word) + 1):
-                states.append(self._step(word, j, states))
-            parts, j = [], len(word)
+                states.append(step(word, j, states))
+            ids, j = [], len(word)
             while j:
-                parts.append(states[j][1])
-                j -= len(states[j][1])
-            found[word] = [i for p in reversed(parts) for i in self._ids(p)]
+                piece = states[j][1]
+                if piece in pieces:
+                    ids.append(pieces[piece][0])
+                else:
+                    ids += reversed(self._ids(piece))
+                j -= len(piece)
+            ids.reverse()
+            found[word] = ids
             before = word
         return found
 
@@ -185,25 +196,26 @@ class Codec:
 
     def encode_checked(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same, and whether decoding gives each text back. Texts decode word by word, so distinct words are decoded for that."""
-        index: dict[str, int] = {}
+        index: defaultdict[str, int] = defaultdict()
+        index.default_factory = index.__len__
         codes, ends = [], [0]
         for text in texts:
-            codes += [index.setdefault(w, len(index)) for w in self.split(text or "")]
+            codes.extend(map(index.__getitem__, self.split(text or "")))
             ends.append(len(codes))
         if len(self.known) > KEPT_WORDS:
             self.known, self.lossy = {}, set()
         ids = self.known
         fresh = self.encode_words(w for w in index if w not in ids)
-        self.lossy |= {w for w, found in fresh.items() if b"".join([self.out.get(i, b"") for i in found]) != w.replace(MARK, " ").encode("utf-8", "surrogatepass")}
+        self.lossy |= {w for w, found in fresh.items() if b"".join(map(self.out.__getitem__, found)) != w.replace(MARK, " ").encode("utf-8", "surrogatepass")}
         ids |= fresh
-        sizes = np.fromiter((len(ids[w]) for w in index), np.int64, len(index))
-        flat = np.fromiter((i for w in index for i in ids[w]), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, map(ids.__getitem__, index)), np.int64, len(index))
+        flat = np.fromiter(chain.from_iterable(map(ids.__getitem__, index)), np.int32, int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes
         at = np.array(codes, np.int64)
         size = sizes[at]
         stops = np.cumsum(size)
         gather = np.repeat(starts[at] - stops + size, size) + np.arange(int(size.sum()))
-        lossy = np.fromiter((w in self.lossy for w in index), np.int64, len(index))
+        lossy = np.fromiter(map(self.lossy.__contains__, index), np.int64, len(index))
         losses = np.concatenate(([0], np.cumsum(lossy[at])))[ends]
         whole = np.array([t is not None and MARK not in t for t in texts], bool) & (losses[1:] == losses[:-1])
         return flat[gather], np.concatenate(([0], stops))[ends], whole

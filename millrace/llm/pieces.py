@@ -7,9 +7,9 @@ lines them up as a depth-first walk of their trie (those of earlier blocks are k
 shares its prefix and computed only for what is new.
 
 The forward state of a prefix is its best segmentation's last piece. With a unigram model it is Viterbi's best
-score. The vocabulary given here is a BPE model, whose result is not the segmentation of the best
+score, kept for every prefix. The vocabulary given here is a BPE model, whose result is not the segmentation of the best
 summed score, so there the state is the one last piece under which merging stops at exactly these
-pieces: two neighbours are allowed if merging their joined text gives back the two, and a segmentation in
+pieces, kept for the prefixes that had to be looked at: two neighbours are allowed if merging their joined text gives back the two, and a segmentation in
 which all neighbours are allowed is the merged one. It depends on the prefix only, like a score.
 
 Defined cases: a null text has null ids; an empty one has none. Characters outside the vocabulary become bytes if the
@@ -37,7 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text that a task encodes at a time.
 BLOCK_CHARS = 500_000
 #: Words whose ids, and pairs of pieces whose verdicts, a task keeps from block to block; then it starts anew.
-KEPT_WORDS, KEPT_PAIRS = 100_000, 250_000
+KEPT_WORDS, KEPT_PAIRS = 250_000, 250_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -100,13 +100,14 @@ class Codec:
         self.pieces, self.bytes, self.unknown, self.kind, self.prefix = pieces, byte_ids, unknown, kind, prefix
         known = re.escape("".join(sorted({c for p in pieces for c in p} - {MARK}))) or "\\Z"
         self.words = re.compile(f"{MARK}*[{known}]+|{MARK}+|.", re.DOTALL)
-        # Pieces by their characters from the last to the first: those that end at a place are found in one walk.
-        self.ends: dict = {}
-        for piece in pieces:
-            node = self.ends
+        # Pieces by their characters from the last to the first; under "" a node has (size, piece) of all that end so, the longest first.
+        self.ends: dict = {"": ()}
+        for piece in sorted(pieces, key=len):
+            node, whole = self.ends, ()
             for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = piece
+                node = node.setdefault(c, {"": whole})
+                whole = node[""]
+            node[""] = ((len(piece), piece), *whole)
         self.worst = min((s for _, s in pieces.values()), default=0.0) - 10
         self.allowed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, list[int]] = {}
@@ -137,24 +138,55 @@ class Codec:
             found = self.allowed[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
-    def _step(self, word: str, j: int, states: list[tuple[float, str]]) -> tuple[float, str]:
-        """The state after j characters: (score, last piece). ``states[i]`` is that after i."""
-        node, i, best, bpe, known = self.ends, j, None, self.kind == BPE, self.allowed
+    def _ending(self, word: str, j: int) -> tuple[tuple[int, str], ...]:
+        """(size, piece) of the pieces that end after j characters, the longest first."""
+        node, i = self.ends, j
         while i:
             i -= 1
-            node = node.get(word[i])
-            if node is None:
+            further = node.get(word[i])
+            if further is None:
                 break
-            piece = node.get("")
-            if piece is None:
-                continue
-            if bpe:
-                fits = known.get((states[i][1], piece))
-                if self._allowed(states[i][1], piece) if fits is None else fits:
-                    return 0.0, piece
-            elif best is None or states[i][0] + self.pieces[piece][1] > best[0]:
-                best = (states[i][0] + self.pieces[piece][1], piece)
-        return best or (states[j - 1][0] + self.worst, word[j - 1])
+            node = further
+        return node[""]
+
+    def _scores(self, word: str, states: list[tuple[float, str]]) -> None:
+        """Unigram: the state after each character that has none yet, (score, last piece)."""
+        for j in range(len(states), len(word) + 1):
+            best = None
+            for size, piece in reversed(self._ending(word, j)):
+                score = states[j - size][0] + self.pieces[piece][1]
+                if best is None or score > best[0]:
+                    best = (score, piece)
+            states.append(best or (states[j - 1][0] + self.worst, word[j - 1]))
+
+    def _lasts(self, word: str, states: list[str | None]) -> None:
+        """BPE: the last piece of the whole word, and of the prefixes that it takes to tell.
+
+        Just one candidate is allowed, so the order of trying is free: long ones first, which leave few prefixes to look at.
+        """
+        known = self.allowed
+        states += [None] * (len(word) + 1 - len(states))
+        todo = [[len(word), self._ending(word, len(word)), 0]] if word else []
+        while todo:
+            j, candidates, k = todo[-1]
+            for size, piece in candidates[k:]:
+                last = states[j - size]
+                if last is None:
+                    break
+                fits = known.get((last, piece))
+                if self._allowed(last, piece) if fits is None else fits:
+                    states[j] = piece
+                    break
+                k += 1
+            else:
+                size, last = 1, states[j - 1]
+                if last is not None:
+                    states[j] = word[j - 1]
+            if last is None:
+                todo[-1][2] = k
+                todo.append([j - size, self._ending(word, j - size), 0])
+            else:
+                todo.pop()
 
     def _ids(self, piece: str) -> list[int]:
         if piece in self.pieces:
@@ -163,8 +195,8 @@ class Codec:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """The ids of each word. Sorted words follow the trie depth-first; states are reused up to the shared prefix."""
-        found, pieces, step = {}, self.pieces, self._step
-        before, states = "", [(0.0, "")]
+        found, pieces, bpe = {}, self.pieces, self.kind == BPE
+        before, states = "", [""] if bpe else [(0.0, "")]
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word):
@@ -172,13 +204,16 @@ class Codec:
                     break
                 shared += 1
             del states[shared + 1 :]
-            for j in range(shared + 1, len(word) + 1):
-                states.append(step(word, j, states))
+            if bpe:
+                self._lasts(word, states)
+            else:
+                self._scores(word, states)
             ids, j = [], len(word)
             while j:
-                piece = states[j][1]
-                if piece in pieces:
-                    ids.append(pieces[piece][0])
+                piece = states[j] if bpe else states[j][1]
+                known = pieces.get(piece)
+                if known:
+                    ids.append(known[0])
                 else:
                     ids += reversed(self._ids(piece))
                 j -= len(piece)

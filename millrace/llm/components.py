@@ -23,6 +23,8 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "components", ma
     a, b = (F.col(c) for c in edges.columns)
     at = scratch.write(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), f"{label}-0")
     state = None
+    if at.isEmpty():
+        return at.toDF("node", "root")
     for k in range(1, max_rounds + 1):
         both = at.unionAll(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = scratch.write(_with_smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{label}-{k}l")

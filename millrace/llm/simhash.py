@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,14 @@ BITS = 64
 PAIR_COST = 0.002
 FULL = (1 << BITS) - 1
 SEED = 42
-#: The pipeline's stage: fingerprints a text, the bits that any of them may differ in to be found for certain, the share of all
-#: their bits that may differ in a candidate, and the least Jaccard similarity of near copies' shingles of so many words.
-STAGE_SEEDS, STAGE_BITS, FAR = 6, 4, 3 / 16
+#: The pipeline's stage: the least Jaccard similarity of near copies' shingles of so many words.
 STAGE_SIMILARITY = 0.8
 STAGE_SHINGLE = 5
+#: Fingerprints a text, at least and at most; the bits that any of them may differ in to be found for certain; the share of all
+#: their bits that may differ in a candidate.
+STAGE_SEEDS, MOST_SEEDS, STAGE_BITS, FAR = 6, 24, 4, 7 / 32
+#: The share of pairs of just that similarity that probing has to find, by calculation, and what a fingerprint costs, in rows of keys.
+STAGE_RECALL, SEED_COST = 0.95, 2
 #: Candidates that are compared as one block.
 BLOCK_ROWS = 1024
 
@@ -138,14 +141,14 @@ def correlated_groups(both: np.ndarray, rows: int, parts: int) -> list[list[int]
     return groups
 
 
-def allocate(widths: list[int], rows: int, pairs: list[int], crowded: list[list[int]], max_bits: int) -> tuple[float, list[int]]:
-    """The least cost and the thresholds that have it, with the sum that the principle asks for, by dynamic programming.
+def allocations(widths: list[int], rows: int, pairs: list[int], crowded: list[list[int]], max_bits: int) -> dict[int, tuple[float, list[int]]]:
+    """For each sum of thresholds the least cost and the thresholds that have it, by dynamic programming.
 
     ``pairs`` counts, for each partition, the pairs of different fingerprints with one value. A threshold t makes
     C(width, t) keys a row, and dropping t bits makes as many as 2**t times the pairs under each.
     ``crowded[i][t]`` is how many fingerprints are in buckets too large to be verified whole then: they go to centres.
     """
-    goal, centres = max_bits - len(widths) + 1, _ball(-(-max_bits // 2))
+    centres = _ball(-(-max_bits // 2))
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for width, found, over in zip(widths, pairs, crowded, strict=True):
         step: dict[int, tuple[float, list[int]]] = {}
@@ -155,7 +158,35 @@ def allocate(widths: list[int], rows: int, pairs: list[int], crowded: list[list[
                 if total + t not in step or cost + more < step[total + t][0]:
                     step[total + t] = (cost + more, [*chosen, t])
         best = step
-    return best[goal]
+    return best
+
+
+def allocate(widths: list[int], rows: int, pairs: list[int], crowded: list[list[int]], max_bits: int) -> tuple[float, list[int]]:
+    """The least cost and its thresholds, with the sum that the principle asks for."""
+    return allocations(widths, rows, pairs, crowded, max_bits)[max_bits - len(widths) + 1]
+
+
+def near_rate(similarity: float) -> float:
+    """The share of bits that differ between fingerprints of texts of such a Jaccard similarity.
+
+    A bit is the sign of a sum over shingles. The sums of texts that share a part of their shingles are correlated by
+    that part, and differ in sign with the angle whose cosine that is.
+    """
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def found_share(widths: list[int], thresholds: list[int], rate: float) -> float:
+    """How many pairs share a probe key of one fingerprint if each bit differs with that probability."""
+    missed = 1.0
+    for width, t in zip(widths, thresholds, strict=True):
+        missed *= 1 - sum(comb(width, r) * rate**r * (1 - rate) ** (width - r) for r in range(t + 1))
+    return 1 - missed
+
+
+def seeds_for(widths: list[int], thresholds: list[int], rate: float, goal: float) -> int:
+    """Fingerprints a text that find the goal's share of pairs."""
+    found = found_share(widths, thresholds, rate)
+    return 1 if found >= goal else ceil(log(1 - goal) / log(1 - found)) if found > 0 else FULL
 
 
 def _ball(radius: int) -> int:
@@ -205,22 +236,44 @@ def verified(buckets: DataFrame, max_bits: int) -> DataFrame:
     return buckets.select("fps").mapInArrow(verify, "a long, b long")
 
 
-def choose_keys(distinct: DataFrame, max_bits: int, bucket_rows: int) -> list[int]:
-    """Masks of the keys of the cheapest choice of partitions and thresholds, from counts over all fingerprints."""
+def layouts(distinct: DataFrame, max_bits: int, bucket_rows: int) -> list[tuple[list[list[int]], tuple]]:
+    """Groupings of the bits into partitions, each with what ``allocations`` asks for, from counts over all fingerprints."""
     rows, both = distinct.count(), co_occurrence(distinct)
-    layouts = {m: correlated_groups(both, rows, m) for m in range(2, min(max_bits + 1, 6) + 1)} or {1: [list(range(BITS))]}
-    whole = {(m, i): sum(1 << b for b in g) for m, groups in layouts.items() for i, g in enumerate(groups)}
-    counted = keys_of(distinct, sorted(set(whole.values()))).groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
+    groupings = [correlated_groups(both, rows, m) for m in range(2, min(max_bits + 1, 6) + 1)] or [[list(range(BITS))]]
+    whole = [[sum(1 << b for b in g) for g in groups] for groups in groupings]
+    counted = keys_of(distinct, sorted({m for masks in whole for m in masks})).groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
     over = [F.sum(F.when(F.col("n") * 2**t > bucket_rows, F.col("n")).otherwise(0)) for t in range(max_bits + 1)]
     sums = {r[0]: r for r in counted.groupBy("mask").agg(F.sum(F.expr("cast(n as decimal(38,0)) * (n - 1)")), F.array(*over)).collect()}
-    found = []
-    for m, groups in layouts.items():
-        known = [sums.get(signed(whole[m, i]), (0, 0, [0] * (max_bits + 1))) for i in range(len(groups))]
-        found.append((*allocate([len(g) for g in groups], rows, [int(k[1]) for k in known], [k[2] for k in known], max_bits), groups))
+    out = []
+    for groups, masks in zip(groupings, whole, strict=True):
+        known = [sums.get(signed(m), (0, 0, [0] * (max_bits + 1))) for m in masks]
+        out.append((groups, ([len(g) for g in groups], rows, [int(k[1]) for k in known], [k[2] for k in known], max_bits)))
+    return out
+
+
+def choose_keys(distinct: DataFrame, max_bits: int, bucket_rows: int) -> list[int]:
+    """Masks of the keys of the cheapest choice of partitions and thresholds."""
+    found = [(*allocate(*counts), groups) for groups, counts in layouts(distinct, max_bits, bucket_rows)]
     _, thresholds, groups = min(found, key=lambda x: x[0])
     return masks_of(groups, thresholds)
 
 
+def choose_probes(distinct: DataFrame, max_bits: int, bucket_rows: int, similarity: float) -> tuple[list[int], int]:
+    """Masks of keys and fingerprints a text, the cheapest that find STAGE_RECALL of pairs of that similarity, and all within ``max_bits`` bits.
+
+    Larger tables get wider keys, which find fewer pairs by one fingerprint: so they get more fingerprints, and the recall stays.
+    """
+    rate, found = near_rate(similarity), []
+    for groups, counts in layouts(distinct, max_bits, bucket_rows):
+        widths, rows = counts[:2]
+        for total, (cost, thresholds) in allocations(*counts).items():
+            seeds = max(STAGE_SEEDS, seeds_for(widths, thresholds, rate, STAGE_RECALL))
+            if total >= max_bits - len(widths) + 1 and seeds <= MOST_SEEDS:
+                found.append((seeds * (cost + SEED_COST * rows), seeds, thresholds, groups))
+    _, seeds, thresholds, groups = min(found, key=lambda x: x[:3])
+    return masks_of(groups, thresholds), seeds
+
+
 def links(distinct: DataFrame, scratch: Scratch, max_bits: int = 2, bucket_rows: int = 2048) -> DataFrame:
     """Edges whose components are those of all links between the distinct fingerprints in column ``fp``."""
     keys = keys_of(distinct, choose_keys(distinct, max_bits, bucket_rows))
@@ -273,19 +326,18 @@ def prints_of(docs: DataFrame, seeds: int) -> DataFrame:
     return rows.mapInArrow(make, rows.select("id", "digest").schema.add("fps", T.ArrayType(T.LongType())))
 
 
-def candidates(codes: DataFrame, scratch: Scratch, max_bits: int) -> DataFrame:
+def candidates(codes: DataFrame, scratch: Scratch, masks: list[int], seeds: int) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints share a probe key by one seed and agree over all seeds.
 
-    ``codes`` has ``node`` and ``fps``. Keys are those that find all pairs within ``max_bits`` bits by any one seed; what
-    shares a key is compared over the fingerprints of all seeds, of which at most FAR of the bits may differ.
+    ``codes`` has ``node`` and ``fps``. What shares a key is compared over the fingerprints of all seeds, of which at
+    most FAR of the bits may differ.
     """
-    masks = choose_keys(codes.select(F.col("fps")[0].alias("fp")).distinct(), max_bits, BLOCK_ROWS)
     data = F.unhex(F.array_join(F.transform("fps", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
     probes = codes.select("node", data.alias("data"), F.posexplode("fps").alias("seed", "fp")).select(
         "node", "data", "seed", "fp", F.posexplode(longs([signed(m) for m in masks])).alias("at", "mask")
     )
     keyed = probes.select(F.xxhash64("seed", "at", F.col("fp").bitwiseAND(F.col("mask"))).alias("grp"), "node", "data")
-    return group_links(keyed, scratch, "codes", hamming_forest(int(STAGE_SEEDS * BITS * FAR)), BLOCK_ROWS)
+    return group_links(keyed, scratch, "codes", hamming_forest(int(seeds * BITS * FAR)), BLOCK_ROWS)
 
 
 def similar_texts(clusters: DataFrame, texts: DataFrame, scratch: Scratch, least: float, block_rows: int = 1024, block_bytes: int = 1 << 23) -> DataFrame:
@@ -301,12 +353,20 @@ def similar_texts(clusters: DataFrame, texts: DataFrame, scratch: Scratch, least
     return group_links(sets, scratch, "texts", jaccard_forest(least), block_rows, block_bytes)
 
 
-def near_copies(docs: DataFrame, scratch: Scratch, seeds: int, max_bits: int, least: float) -> DataFrame:
+def near_copies(docs: DataFrame, scratch: Scratch, max_bits: int, least: float) -> DataFrame:
     """(digest, id, name) of each text and id: ``name`` is the smallest id of the texts that similar pairs connect it with."""
-    prints = scratch.write(prints_of(docs, seeds), "prints")
-    firsts = scratch.write(prints.groupBy("digest").agg(F.min("id").alias("first"), F.first("fps").alias("fps")).withColumn("node", F.xxhash64("fps")), "firsts")
-    codes = scratch.write(firsts.groupBy("node").agg(F.first("fps").alias("fps"), F.count(F.lit(1)).alias("texts")), "codes")
-    edges = candidates(codes.select("node", "fps"), scratch, max_bits)
+
+    def printed(seeds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        prints = scratch.write(prints_of(docs, seeds), f"prints-{seeds}")
+        firsts = prints.groupBy("digest").agg(F.min("id").alias("first"), F.first("fps").alias("fps")).withColumn("node", F.xxhash64("fps"))
+        firsts = scratch.write(firsts, f"firsts-{seeds}")
+        return prints, firsts, scratch.write(firsts.groupBy("node").agg(F.first("fps").alias("fps"), F.count(F.lit(1)).alias("texts")), f"codes-{seeds}")
+
+    prints, firsts, codes = printed(STAGE_SEEDS)
+    masks, seeds = choose_probes(codes.select(F.col("fps")[0].alias("fp")).distinct(), max_bits, BLOCK_ROWS, least)
+    if seeds > STAGE_SEEDS:
+        prints, firsts, codes = printed(seeds)
+    edges = candidates(codes.select("node", "fps"), scratch, masks, seeds)
     roots = components(edges, scratch, "code_components")
     # Texts of a cluster: those that links connect, and those that have all fingerprints in common.
     joined = codes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
@@ -334,12 +394,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id (with its repeated rows, if it has any).
 
     Near copies have at least STAGE_SIMILARITY of their five-word shingles in common (Jaccard), or are
-    connected by such pairs. Candidates share a probe key of one of STAGE_SEEDS fingerprints (every pair within STAGE_BITS
-    bits by any of them does, and many others), which misses some pairs near the threshold; each link between them
+    connected by such pairs. Candidates share a probe key of one of STAGE_SEEDS or more fingerprints (every pair within STAGE_BITS
+    bits by any of them does, and at least STAGE_RECALL of the others, whatever the size of the table); each link between them
     is told from both whole shingle sets. Documents that stay are not shuffled, but for those that a bitmap can't tell from others.
     """
     scratch = Scratch(spark, "simhash-stage")
-    found = near_copies(docs, scratch, STAGE_SEEDS, STAGE_BITS, STAGE_SIMILARITY)
+    found = near_copies(docs, scratch, STAGE_BITS, STAGE_SIMILARITY)
     gone = scratch.write(found.where("not (id <=> name)").select(F.col("digest").alias("__gone"), F.col("id").alias("__id")), "gone")
     key = F.xxhash64(F.col("doc_id"), F.col("__digest"))
     marked = maybe_among(docs.withColumn("__digest", digest_of("text")).withColumn("__key", key), "__key", gone.select(F.xxhash64("__id", "__gone").alias("id")), scratch, "gone_ids")

@@ -57,6 +57,42 @@ def test_stage_finds_similar_pairs(spark, rows):
     assert len(kept - want) <= 0.05 * (len(rows) - len(want)), "near copies are left"
 
 
+def similar_pair(rng, words):
+    """A text and the text with words appended, as many as a Jaccard similarity of 0.8 or just above allows."""
+    text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    return " ".join(text), " ".join([*text, *(f"w{rng.randrange(10**6)}" for _ in range((words - 4) // 4))])
+
+
+@pytest.mark.parametrize("widths, thresholds", [([22, 21, 21], [1, 1, 0]), ([32, 32], [2, 1]), ([16, 16, 16, 16], [0, 0, 0, 1]), ([13, 13, 13, 13, 12], [0] * 5)])
+@pytest.mark.parametrize("words", [9, 14, 60, 300])
+def test_recall_holds_for_every_layout(widths, thresholds, words):
+    """Near copies at the threshold meet under a key and pass the comparison, however wide the keys of a large table are."""
+    rng = random.Random(words)
+    seeds = max(simhash.STAGE_SEEDS, simhash.seeds_for(widths, thresholds, simhash.near_rate(0.8), simhash.STAGE_RECALL))
+    assert seeds <= simhash.MOST_SEEDS
+    bounds = np.cumsum([0, *widths])
+    masks = simhash.masks_of([list(range(a, b)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], thresholds)
+    found = 0
+    for _ in range(200):
+        a, b = similar_pair(rng, words)
+        assert len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))
+        x, y = (
+            simhash.majorities(np.stack([simhash.reseeded(simhash.shingle_hashes(t.encode(), 3), k) for k in range(seeds)], axis=1))
+            for t in (a, b)
+        )
+        differ = x ^ y
+        meet = any(not (int(d) & m) for d in differ for m in masks)
+        found += meet and int(np.bitwise_count(differ).sum()) <= int(seeds * simhash.BITS * simhash.FAR)
+    assert found >= 0.9 * 200
+
+
+def test_wider_keys_get_more_fingerprints():
+    rate = simhash.near_rate(0.8)
+    seeds = [simhash.seeds_for(w, t, rate, 0.95) for w, t in (([13, 13, 13, 13, 12], [0] * 5), ([22, 21, 21], [1, 1, 0]), ([32, 32], [2, 1]))]
+    assert seeds == sorted(seeds) and seeds[0] < seeds[-1]
+    assert simhash.found_share([32, 32], [-1, -1], rate) == 0 and simhash.found_share([4], [4], rate) == pytest.approx(1)
+
+
 def test_stage_on_the_smallest_tables(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     want, _ = brute_force(sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()))

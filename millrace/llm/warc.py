@@ -32,7 +32,7 @@ from millrace.llm.shared import Scratch, partitions
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "record_id string, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to_id string"
+RECORDS = "record_id string, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to_id string, refers_to_url string"
 
 
 def base32(digest: Column) -> Column:
@@ -84,7 +84,7 @@ def write_archives(
     named = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
     headers = scratch.write(named.select("page", "url", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes")), "headers")
     large = headers.where(F.col("bytes") >= min_bytes)
-    first = scratch.write(large.groupBy(F.col("sha1").alias("of")).agg(F.min("page").alias("first"), F.min_by("url", "page").alias("first_url")), "first")
+    first = scratch.write(large.groupBy(F.col("sha1").alias("of")).agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page", "url")).alias("least")).select("of", F.col("least.page").alias("first"), F.col("least.url").alias("first_url")), "first")
     total = headers.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(partitions(pages.sparkSession), -(-total // file_bytes))
 
@@ -113,57 +113,65 @@ def write_archives(
 
 
 def _pieces(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a file, decompressed member by member if it is gzip."""
+    """The bytes of a file, at most ``size`` at a time, decompressed member by member if it is gzip."""
     if content[:2] != b"\x1f\x8b":
-        yield content
-        return
-    while content:
-        member = zlib.decompressobj(31)
         for at in range(0, len(content), size):
-            yield member.decompress(content[at : at + size])
-            if member.eof:
-                content = member.unused_data + content[at + size :]
-                break
-        else:
-            raise ValueError("a gzip member is cut off")
+            yield content[at : at + size]
+        return
+    rest = memoryview(content)
+    while rest:
+        member, at = zlib.decompressobj(31), 0
+        while not member.eof:
+            # What a call leaves undone for want of room comes first in the next one.
+            data = member.unconsumed_tail
+            if not data:
+                data, at = rest[at : at + size], at + size
+                if not data:
+                    raise ValueError("a gzip member is cut off")
+            yield member.decompress(data, size)
+        rest = rest[min(at, len(rest)) - len(member.unused_data) :]
 
 
 def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of a stream."""
-    held = b""
+    """(headers with lower-case names, block) of each record of a stream; bytes are copied once when they come and once when they go."""
+    held, at = bytearray(), 0
 
     def need(n: int) -> bool:
-        nonlocal held
-        parts, have = [held], len(held)
-        while have < n and (piece := next(pieces, None)) is not None:
-            parts.append(piece)
-            have += len(piece)
-        held = b"".join(parts)
-        return have >= n
+        """Hold n bytes from the place read up to, if there are as many. What has been read goes when something is added."""
+        nonlocal at
+        while len(held) - at < n:
+            if (piece := next(pieces, None)) is None:
+                return False
+            del held[:at]
+            at = 0
+            held.extend(piece)
+        return True
 
     while True:
-        while (end := held.find(b"\r\n\r\n")) < 0:
-            if not need(len(held) + 1):
-                if held.strip():
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", at + looked)) < 0:
+            looked = max(0, len(held) - at - 3)
+            if not need(len(held) - at + 1):
+                if held[at:].strip():
                     raise ValueError("a record header is cut off")
                 return
-        version, *lines = held[:end].split(b"\r\n")
+        version, *lines = bytes(held[at:end]).split(b"\r\n")
         if not version.startswith(b"WARC/"):
             raise ValueError(f"no WARC record: {version[:40]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8").partition(":") for x in lines)}
-        held, length = held[end + 4 :], int(fields["content-length"])
+        at, length = end + 4, int(fields["content-length"])
         if not need(length + 4):
             raise ValueError("a record is cut off")
-        yield fields, held[:length]
-        held = held[length + 4 :]
+        yield fields, bytes(held[at : at + length])
+        at += length + 4
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records below ``path``; a response's payload is measured, digested and held against its header."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["record_id", "record_type", "page_id", "url", "payload_digest", "payload_bytes", "refers_to_id"]
-        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        fields = ["record_id", "record_type", "page_id", "url", "payload_digest", "payload_bytes", "refers_to_id", "refers_to_url"]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             for content in batch.column(0):
                 out = []
@@ -176,7 +184,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                             raise ValueError(f"{head['warc-record-id']}: the payload's digest is {found}, not {digest}")
                         digest = found
                     page = head.get("x-page-id")
-                    out.append((head["warc-record-id"], head["warc-type"], int(page) if page else None, head.get("warc-target-uri"), digest, size, head.get("warc-refers-to")))
+                    out.append((head["warc-record-id"], head["warc-type"], int(page) if page else None, head.get("warc-target-uri"), digest, size, head.get("warc-refers-to"), head.get("warc-refers-to-target-uri")))
                 columns = list(zip(*out, strict=True)) or [[]] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=fields)
 

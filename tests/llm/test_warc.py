@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 import pytest
 from differential import connect, differences
@@ -82,5 +83,27 @@ def test_parse_streams():
             list(warc.parse(iter([data[:cut]])))
 
 
+def test_many_alike_records_are_read_in_linear_time():
+    """Thousands of records in one piece, and a gzip member that inflates to far more than a piece."""
+    record = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 6400\r\n\r\n%s\r\n\r\n" % (b"a" * 6400)
+    for pieces in (iter([record * 10_000]), warc._pieces(gzip.compress(record * 10_000)), warc._pieces(record * 10_000)):
+        began = time.monotonic()
+        assert sum(len(b) for _, b in warc.parse(pieces)) == 64_000_000
+        assert time.monotonic() - began < 10
+    assert max(map(len, warc._pieces(gzip.compress(b"a" * 5_000_000)))) <= 1 << 20
+    with pytest.raises(ValueError):
+        list(warc._pieces(gzip.compress(record * 100)[:-20]))
+    two = gzip.compress(record * 3) + gzip.compress(b"") + gzip.compress(record)
+    assert b"".join(warc._pieces(two, 50)) == record * 4
+
+
+def test_refers_to_names_the_least_page_and_url(spark):
+    """Repeated smallest ids with one payload: the URL of the revisit's target is that of the response."""
+    records, _ = written(spark, frame(spark, [(1, "http://z/", "p"), (1, "http://a/", "p"), (1, "http://m/", "p"), (2, "http://b/", "p"), (None, "http://0/", "p")]))
+    archived = {r["record_id"]: r["url"] for r in records.where("record_type = 'response'").collect()}
+    revisits = records.where("record_type = 'revisit'").collect()
+    assert [r["refers_to_url"] for r in revisits] == [archived[r["refers_to_id"]] for r in revisits] == ["http://a/"] * 2
+
+
 def test_like_sql(spark):
     assert not differences(warc.op6_warc(spark, SMALL), connect(SMALL), warc.ORACLE)

@@ -9,7 +9,8 @@ codes, their worst distance also says how many segments the next round still nee
 
 Probes are made in the tasks, a bounded number at a time. A query far from everything would need more probes
 in a round than there are codes; queries that are still open then are compared with all codes, in blocks of queries, each task
-keeping the k nearest.
+keeping the k nearest over all its codes. The probes of a round are sent to the index if a bound on their number is small, so that
+the index stays where it is; else both are shuffled by segment and value.
 
 Only distinct codes are searched, each with its k smallest ids, so many equal vectors cost no more than k.
 m minimises probes plus expected candidates for the number of codes.
@@ -28,9 +29,9 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from millrace.llm.shared import Scratch
@@ -40,6 +41,8 @@ BITS = 64
 PROBE_COST = 20
 #: Probes that a task makes at a time, and open queries that are compared with all codes at a time.
 PROBES, QUERIES = 1 << 16, 1 << 14
+#: Probes of a round that are sent to the index, instead of shuffling both.
+SENT_PROBES = 1 << 20
 
 
 def code_of(vector: Column, bits: int = BITS) -> Column:
@@ -90,39 +93,53 @@ def probes_of(looking: DataFrame, radius: int, size: list[int]) -> DataFrame:
     return looking.mapInArrow(make, "query long, worst int, at int, probe long")
 
 
-def compared(codes: DataFrame, state: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+def nearest_of(codes: DataFrame, asked: np.ndarray, k: int) -> DataFrame:
+    """(query, code, first, distance): of each task's codes the k nearest to each query, kept over all its batches."""
+    shared = codes.sparkSession.sparkContext.broadcast(asked)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, held, kind = shared.value, None, None
+        for batch in batches:
+            code, first = batch.column("code").to_numpy(), batch.column("first").to_numpy(zero_copy_only=False)
+            if held is None and len(first):
+                kind = batch.column("first").type
+                held = np.full((len(asked), k), BITS + 1, np.int32), np.zeros((len(asked), k), np.int64), np.full((len(asked), k), first[0], first.dtype)
+            order = np.argsort(first, kind="stable")
+            for at in range(0, len(asked), 256) if len(first) else ():
+                some = slice(at, at + 256)
+                apart = np.bitwise_count((asked[some, None] ^ code[None, order]).view(np.uint64))
+                # Equal distances keep the order of ids.
+                near = np.argsort(apart, axis=1, kind="stable")[:, :k]
+                picked = order[near]
+                new = np.take_along_axis(apart, near, 1).astype(np.int32), code[picked], first[picked]
+                both = [np.concatenate([h[some], x], axis=1) for h, x in zip(held, new, strict=True)]
+                rank = np.unique(both[2], return_inverse=True)[1].reshape(both[2].shape)
+                best = np.lexsort((rank, both[0]), axis=1)[:, :k]
+                for h, x in zip(held, both, strict=True):
+                    h[some] = np.take_along_axis(x, best, 1)
+        if held is not None:
+            real = held[0] <= BITS
+            row = np.repeat(asked, k).reshape(real.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[real]), pa.array(held[1][real]), pa.array(held[2][real], kind), pa.array(held[0][real])], names=["query", "code", "first", "distance"]
+            )
+
+    rows = codes.select("code", F.col("ids")[0].alias("first"))
+    fields = [T.StructField("query", T.LongType()), T.StructField("code", T.LongType()), rows.schema["first"], T.StructField("distance", T.IntegerType())]
+    return rows.mapInArrow(scan, T.StructType(fields))
+
+
+def compared(codes: DataFrame, state: DataFrame, k: int, scratch: Scratch, queries: int = QUERIES) -> DataFrame:
     """(query, code, first, distance): the k nearest codes of each open query, by comparing it with all codes."""
-    spark = codes.sparkSession
-    count = state.count()
-    blocks = -(-count // QUERIES)
+    blocks = -(-state.count() // queries)
     dealt = scratch.write(state.select("query", F.pmod(F.xxhash64("query"), F.lit(2 * blocks)).alias("block")), "outliers")
     parts = []
     for block in range(2 * blocks):
         asked = np.array([r[0] for r in dealt.where(F.col("block") == block).select("query").collect()], np.int64)
         if not len(asked):
             continue
-        shared = spark.sparkContext.broadcast(asked)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asked = shared.value
-            for batch in batches:
-                code, first = batch.column("code").to_numpy(), batch.column("first")
-                order = pa.compute.array_sort_indices(first).to_numpy()
-                for at in range(0, len(asked), 256):
-                    apart = np.bitwise_count((asked[at : at + 256, None] ^ code[None, order]).view(np.uint64))
-                    # Equal distances keep the order of ids.
-                    near = np.argsort(apart, axis=1, kind="stable")[:, :k]
-                    row = np.repeat(asked[at : at + 256], near.shape[1])
-                    picked = order[near.ravel()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(row), pa.array(code[picked]), first.take(pa.array(picked)), pa.array(np.take_along_axis(apart, near, 1).ravel().astype(np.int32))],
-                        names=["query", "code", "first", "distance"],
-                    )
-
-        schema = state.select("query").schema.add("code", "long").add("first", codes.schema["ids"].dataType.elementType).add("distance", "integer")
-        found = codes.select("code", F.col("ids")[0].alias("first")).mapInArrow(scan, schema)
         order = F.row_number().over(W.Window.partitionBy("query").orderBy("distance", "first"))
-        parts.append(scratch.write(found.withColumn("n", order).where(F.col("n") <= k).drop("n"), f"outliers-{block}"))
+        parts.append(scratch.write(nearest_of(codes, asked, k).withColumn("n", order).where(F.col("n") <= k).drop("n"), f"outliers-{block}"))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -144,6 +161,7 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 10, id_col: str = "vec_
     parts = lambda code: F.posexplode(F.array(*(_segment(code, a, w) for a, w in zip(starts, size, strict=True)))).alias("seg", "value")
     index = scratch.write(codes.select("code", F.col("ids")[0].alias("first"), parts(F.col("code"))), "index")
     state = scratch.write(coded.where("asks").select(F.col("code").alias("query")).distinct().withColumn("worst", F.lit(bits)), "open-0")
+    waiting = state.count()
     top = spark.createDataFrame([], "query long, code long, first long, distance int").withColumn("first", F.col("first").cast(codes.schema["ids"].dataType.elementType))
     for r in range(max(size) + 1):
         # A round that would take more probes a query than there are codes: compare what is still open with all codes.
@@ -152,6 +170,8 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 10, id_col: str = "vec_
             break
         looking = state.select("query", "worst", parts(F.col("query"))).where(F.col("seg") <= F.col("worst") - m * r)
         probes = probes_of(looking, r, size)
+        if waiting * sum(comb(w, r) for w in size) <= SENT_PROBES:
+            probes = F.broadcast(probes)
         differ = F.col("query").bitwiseXOR(F.col("code"))
         apart = [F.bit_count(_segment(differ, a, w)) for a, w in zip(starts, size, strict=True)]
         here_first = reduce(lambda a, b: a & b, [(d > r) | ((d == r) & (F.col("at") <= i)) for i, d in enumerate(apart)])
@@ -164,7 +184,8 @@ def nearest(vectors: DataFrame, wanted: Column, k: int = 10, id_col: str = "vec_
         full = F.coalesce(F.col("found"), F.lit(0)) >= min(k, total)
         left = state.join(reached, "query", "left").where(~(full & (F.col("kth") < m * (r + 1))))
         state = scratch.write(left.select("query", F.when(full, F.col("kth")).otherwise(bits).cast("int").alias("worst")), f"open-{r + 1}")
-        if state.isEmpty():
+        waiting = state.count()
+        if not waiting:
             break
     rows = top.join(codes, "code").select("query", "distance", F.explode("ids").alias("id"))
     rank = F.row_number().over(W.Window.partitionBy("query").orderBy("distance", "id"))

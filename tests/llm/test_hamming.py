@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 from differential import connect, differences
 from pyspark.sql import functions as F
 
 from millrace.llm import hamming
+from millrace.llm.shared import Scratch
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -47,6 +49,32 @@ def test_outliers(spark, monkeypatch):
     assert asked and 0 < asked[0] <= 3
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_compared_keeps_k_a_task(spark, kind):
+    """Several batches a task and several blocks of queries: each task hands out k rows a query, and they are the nearest."""
+    rng = random.Random(5)
+    codes = [(rng.getrandbits(63), i if kind == "long" else f"{i:05}") for i in range(3000)]
+    table = spark.createDataFrame([(c, [i]) for c, i in codes], f"code long, ids array<{kind}>").repartition(2)
+    asked = [c for c, _ in codes[:40]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        state = spark.createDataFrame([(c,) for c in asked], "query long")
+        got = hamming.compared(table, state, 4, Scratch(spark, "test_hamming"), queries=15).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(q, c, i, d) for q in asked for d, i, c in sorted(((q ^ c).bit_count(), i, c) for c, i in codes)[:4]}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    task = hamming.nearest_of(table, np.array(asked), 4)
+    assert task.count() == 2 * 40 * 4
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_probes_sent_or_shuffled(spark, monkeypatch, sent):
+    monkeypatch.setattr(hamming, "SENT_PROBES", sent)
+    assert not differences(hamming.op4_topk_search(spark, SMALL), connect(SMALL), hamming.ORACLE)
+
+
 def test_probes_are_all_values_at_a_distance(spark, monkeypatch):
     monkeypatch.setattr(hamming, "PROBES", 5)
     looking = spark.createDataFrame([(1, 64, 0, 5), (2, 64, 1, 9), (3, 64, 0, 0)], "query long, worst int, seg int, value long")
@@ -63,7 +91,3 @@ def test_few_and_no_rows(spark):
     assert sorted((r["rank"], r["vec_id"], r["distance"]) for r in got) == [(1, 0, 0), (2, 1, 64)]
     assert hamming.nearest(table.where("false"), F.col("vec_id") == 0).count() == 0
     assert hamming.nearest(table, F.col("vec_id") == 9).count() == 0
-
-
-def test_like_sql(spark):
-    assert not differences(hamming.op4_topk_search(spark, SMALL), connect(SMALL), hamming.ORACLE)

@@ -10,32 +10,36 @@ of passages of such a length in a stretch that long) spares most of a text the c
 A q-gram that a passage repeats more than REPEATS times would pair with itself over and over: it isn't counted, and the passage's
 bound is lowered by its places. A passage with no bound left is aligned over all of each stretch that passes the first look.
 
-The passages' index is broadcast in blocks of at most ``block_chars`` characters, one pass over the documents
-a block, with the result written between passes: a task holds one block's index. Documents are never shuffled, and long
-ones are searched in overlapping stretches.
+Passages are dealt into blocks of about ``block_chars`` characters at most; tasks build their indexes, which are written and then
+broadcast one at a time: a task holds one block's index. With one block its hits are added to the documents as they pass. With
+more, each pass hands out only digests and hits of the texts that hold something, and one join adds them at the end; of the
+documents only those that a bitmap can't tell from these are shuffled. Long texts are searched in overlapping stretches.
 
 Defined cases: null and empty texts hold nothing. Passages that are null or have no letter or digit are in no text. Those shorter than q
 characters after folding are found verbatim, as whole words. Equal passages are found under each of their ids. For one document
 and passage the match of fewest edits, the first of equals, is given. Repeated rows are searched one by one.
-An empty table on either side gives no match. Columns of the benchmark other than id and text are ignored. A
+An empty table on either side gives no match. Ids of passages may have any type, which the hits have, too. Columns of the benchmark other than id and text are ignored. A
 column of the documents with the name of the result raises an error.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.shared import Scratch, slices
+from millrace.llm.shared import Scratch, maybe_among, slices
 
 OTHER = re.compile(r"[\W_]+")
-HITS = "array<struct<item_id:long,edits:int,start:long,stop:long>>"
 #: Multiplier of the rolling hash, an odd number without structure.
 FACTOR = 0x9E3779B97F4A7C15
 #: Characters that are searched at a time, and pairs of q-grams that are counted at a time.
@@ -79,8 +83,9 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """The q-grams of a block of passages."""
 
-    def __init__(self, items: list[tuple[int | None, str]], settings: Settings):
+    def __init__(self, items: list[tuple[object, str]], settings: Settings, id_type: pa.DataType | None = None):
         q = self.q = settings.q
+        self.id_type = id_type
         kept, short = [(i, t) for i, t in items if len(t) >= q], [(i, t) for i, t in items if 0 < len(t) < q]
         self.ids, self.texts = [i for i, _ in [*kept, *short]], [t for _, t in kept]
         # Passages that are too short for q-grams, by their text, and how many words they have.
@@ -269,17 +274,22 @@ def search_texts(index: Index, texts: list[str | None]) -> list[list[dict]]:
     return [_best(m, index.ids) for m in matches]
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, settings: Settings) -> Iterator[list[tuple[int | None, str]]]:
-    block, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).toLocalIterator():
-        text = fold(row[1])
-        if block and size + len(text) > settings.block_chars:
-            yield block
-            block, size = [], 0
-        block.append((row[0], text))
-        size += len(text)
-    if block:
-        yield block
+def indexes(benchmark: DataFrame, id_col: str, text_col: str, settings: Settings, scratch: Scratch) -> list[DataFrame]:
+    """A table of one row for each block of passages: its index, built in a task and written."""
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    # Blocks by hash come out near their mean, which is half of what they may have.
+    blocks = 1 if total <= settings.block_chars else -(-2 * total // settings.block_chars)
+
+    def build(passages: pa.Table) -> pa.Table:
+        rows = zip(*(passages.column(c).to_pylist() for c in ("id", "text")), strict=True)
+        known = sorted(((i, fold(t)) for i, t in rows), key=lambda x: (x[0] is None, x[0] if x[0] is not None else "", x[1]))
+        index = Index(known, settings, passages.schema.field("id").type)
+        return pa.table({"block": passages.column("block")[:1], "data": pa.array([pickle.dumps(index)], pa.binary())})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    built = scratch.write(dealt.groupBy("block").applyInArrow(build, "block int, data binary"), "indexes")
+    return [built.where(F.col("block") == b).select("data") for b in range(blocks)]
 
 
 def find_passages(
@@ -290,22 +300,48 @@ def find_passages(
     names = docs.columns
     if out in names:
         raise ValueError(f"docs has a column {out} already")
-    found = docs.select("*", F.array().cast(HITS).alias(out))
-    schema, scratch = found.schema, Scratch(spark, "decontamination")
-    for number, items in enumerate(_item_blocks(benchmark, item_id, item_text, settings)):
-        if number:
-            found = scratch.write(found, f"pass-{number}")
-        shared = spark.sparkContext.broadcast(Index(items, settings))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
-            for batch in slices(batches, names.index(text_col)):
-                before, texts = batch.column(len(names)).to_pylist(), batch.column(names.index(text_col)).to_pylist()
-                hits = [(old or []) + new for old, new in zip(before, search_texts(shared.value, texts), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], names=batch.schema.names)
-
-        found = found.mapInArrow(search, schema)
-    return found
+    fields = [T.StructField("item_id", benchmark.schema[item_id].dataType), *(T.StructField(n, t) for n, t in (("edits", T.IntegerType()), ("start", T.LongType()), ("stop", T.LongType())))]
+    hits_type, scratch = T.ArrayType(T.StructType(fields)), Scratch(spark, "decontamination")
+
+    def hits_of(index: Index, texts: list[str | None]) -> pa.Array:
+        kind = pa.list_(pa.struct([("item_id", index.id_type), ("edits", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
+        return pa.array(search_texts(index, texts), kind)
+
+    blocks = indexes(benchmark, item_id, item_text, settings, scratch)
+    found = []
+    for number, block in enumerate(blocks):
+        row = block.first()
+        if row is None:
+            continue
+        shared = spark.sparkContext.broadcast(pickle.loads(row["data"]))
+        if len(blocks) == 1:
+
+            def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for batch in slices(batches, names.index(text_col)):
+                    hits = hits_of(shared.value, batch.column(names.index(text_col)).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, out])
+
+            return docs.mapInArrow(search, T.StructType([*docs.schema.fields, T.StructField(out, hits_type)]))
+
+        def held(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                texts = batch.column("text").to_pylist()
+                hits = hits_of(shared.value, texts)
+                some = np.flatnonzero(np.diff(hits.offsets.to_numpy()))
+                digests = [hashlib.sha256(texts[i].encode()).hexdigest() for i in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), hits.take(pa.array(some))], names=["digest", "hits"])
+
+        searched = docs.select(F.col(text_col).alias("text")).mapInArrow(held, T.StructType([T.StructField("digest", T.StringType()), T.StructField("hits", hits_type)]))
+        # A text may be there often; its hits are the same.
+        found.append(scratch.write(searched.groupBy("digest").agg(F.first("hits").alias("hits")), f"hits-{number}"))
+    none = F.array().cast(hits_type)
+    if not found:
+        return docs.withColumn(out, none)
+    every = reduce(DataFrame.unionAll, found).groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("__hits"))
+    every = scratch.write(every.withColumnRenamed("digest", "__held"), "hits")
+    marked = maybe_among(docs.withColumn("__digest", F.sha2(F.col(text_col).cast("binary"), 256)), "__digest", every.select(F.col("__held").alias("id")), scratch, "held")
+    joined = marked.where("__maybe").join(every, F.col("__digest") == F.col("__held"), "left").select(*names, F.coalesce("__hits", none).alias(out))
+    return marked.where("not __maybe").select(*names, none.alias(out)).unionAll(joined)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

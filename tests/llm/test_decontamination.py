@@ -85,6 +85,20 @@ def test_odd_rows(spark, odd_documents):
     assert all(r["hits"] == [] for r in find_passages(docs, items.where("false")).collect())
 
 
+def test_blocks_give_the_same_rows_and_ids_keep_their_type(spark, odd_documents):
+    """One block or many, with ids that are strings, repeated documents and repeated passages."""
+    docs = odd_documents.drop("hits")
+    rng = random.Random(12)
+    texts = [r["text"] for r in docs.where("doc_id < 30").orderBy("doc_id").collect()]
+    rows = [(f"item-{n % 9}", t[40:190]) for n, t in enumerate(texts[:12])] + [(None, texts[3][:99]), ("x", None), ("y", "ab"), ("z", prose(rng, n=30))]
+    items = spark.createDataFrame(rows, "item_id string, text string")
+    rows_of = lambda found: sorted((repr([r[c] for c in docs.columns]), sorted(map(repr, r["hits"]))) for r in found.collect())
+    one, many = find_passages(docs, items), find_passages(docs, items, settings=Settings(block_chars=600))
+    assert one.schema == many.schema and one.schema["hits"].dataType.elementType["item_id"].dataType.typeName() == "string"
+    assert rows_of(one) == rows_of(many)
+    assert sum(len(r["hits"]) > 0 for r in many.collect()) >= 12
+
+
 def test_query_and_stage(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     items = [(r["item_id"], fold(r["text"])) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]

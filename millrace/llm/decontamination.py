@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import Scratch, maybe_among, slices
+from millrace.llm.shared import Scratch, maybe_among, slices, trimmed
 
 OTHER = re.compile(r"[\W_]+")
 #: Multiplier of the rolling hash, an odd number without structure.
@@ -321,7 +321,7 @@ def find_passages(
                     hits = hits_of(shared.value, batch.column(names.index(text_col)).to_pylist())
                     yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, out])
 
-            return docs.mapInArrow(search, T.StructType([*docs.schema.fields, T.StructField(out, hits_type)]))
+            return docs.mapInArrow(trimmed(search), T.StructType([*docs.schema.fields, T.StructField(out, hits_type)]))
 
         def held(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
@@ -331,7 +331,7 @@ def find_passages(
                 digests = [hashlib.sha256(texts[i].encode()).hexdigest() for i in some.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), hits.take(pa.array(some))], names=["digest", "hits"])
 
-        searched = docs.select(F.col(text_col).alias("text")).mapInArrow(held, T.StructType([T.StructField("digest", T.StringType()), T.StructField("hits", hits_type)]))
+        searched = docs.select(F.col(text_col).alias("text")).mapInArrow(trimmed(held), T.StructType([T.StructField("digest", T.StringType()), T.StructField("hits", hits_type)]))
         # A text may be there often; its hits are the same.
         found.append(scratch.write(searched.groupBy("digest").agg(F.first("hits").alias("hits")), f"hits-{number}"))
     none = F.array().cast(hits_type)

@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from millrace.llm.shared import trimmed
+
 LETTER = regex.compile(r"\p{L}")
 #: What is neither letter nor mark: in ASCII, and in general.
 OTHER_ASCII, OTHER = re.compile(r"[^a-z]+"), regex.compile(r"[^\p{L}\p{M}]+")
@@ -156,7 +158,7 @@ def identify(
     rows = docs.select(F.col(id_col).alias("__id"), held_out(F.col(id_col)).alias("held_out"), *kept, *text)
     schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
     accepted = (F.col("score") >= settings.min_margin) & (F.col("lang_pred") != UNDETERMINED)
-    return rows.mapInArrow(predict, schema).withColumnRenamed("__id", id_col).withColumn("accepted", accepted)
+    return rows.mapInArrow(trimmed(predict), schema).withColumnRenamed("__id", id_col).withColumn("accepted", accepted)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

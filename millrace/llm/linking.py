@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import Scratch, partitions
+from millrace.llm.shared import Scratch, partitions, trimmed
 
 #: From members' data, and how many of them are the first side of a two-sided comparison (0: all with all), a forest of near pairs.
 Forest = Callable[[list[bytes], int], list[tuple[int, int]]]
@@ -134,7 +134,7 @@ def _compared(cells: DataFrame, forest: Forest, two_sided: bool) -> DataFrame:
 
     schema = cells.select("grp").schema.add("a", kind).add("b", kind).add("near", "boolean")
     dealt = cells.repartition(partitions(cells.sparkSession), "cell").sortWithinPartitions("cell", "side")
-    return dealt.select("cell", "side", "grp", "node", "data").mapInArrow(compare, schema)
+    return dealt.select("cell", "side", "grp", "node", "data").mapInArrow(trimmed(compare), schema)
 
 
 def group_links(members: DataFrame, scratch: Scratch, label: str, forest: Forest, block_rows: int = 1024, block_bytes: int = 1 << 23) -> DataFrame:

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.shared import slices, trimmed
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text that a task encodes at a time.
@@ -288,7 +290,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for batch in batches:
+        for batch in slices(batches, "__text"):
             names, texts = batch.schema.names[:-1], batch.column(batch.num_columns - 1)
             for start, block in _blocks(texts):
                 flat, ends, whole = codec.encode_checked(block)
@@ -299,7 +301,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "n_tokens", "round_trip"])
 
     rows = docs.select(F.col(id_col), *(F.col(c) for c in keep or ()), F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(encode, rows.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
+    return rows.mapInArrow(trimmed(encode), rows.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -314,7 +316,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     rows = encoded.select(F.col(id_col), F.col(ids_col).alias("__ids"))
-    return rows.mapInArrow(decode, rows.select(id_col).schema.add("text", "string"))
+    return rows.mapInArrow(trimmed(decode), rows.select(id_col).schema.add("text", "string"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ that a lost executor costs only the tasks that it ran.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from math import ceil, log2
 
 import pyarrow as pa
@@ -77,6 +79,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 <
         pa.default_memory_pool().release_unused()
 
 
+def trimmed(make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that hands freed memory back when it ends.
+
+    Spark keeps Python workers from task to task, and allocators keep what was freed in them: idle memory of one stage would add to the next one's.
+    """
+
+    @wraps(make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from make(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only some C libraries have it
+                trim(0)
+
+    return run
+
+
 def bit_of(h: Column, bits: int) -> tuple[Column, Column]:
     """The word of a bitmap that a hash falls into, and its bit there."""
     at = F.shiftrightunsigned(h, 64 - bits)

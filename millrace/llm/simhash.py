@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.components import components
 from millrace.llm.linking import group_links, hamming_forest, jaccard_forest
-from millrace.llm.shared import Scratch, longs, maybe_among, slices
+from millrace.llm.shared import Scratch, longs, maybe_among, slices, trimmed
 
 BITS = 64
 #: What a comparison of two fingerprints costs, in rows of keys.
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=[id_col, "fp"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text"))
-    return rows.mapInArrow(make, rows.select(id_col).schema.add("fp", "long"))
+    return rows.mapInArrow(trimmed(make), rows.select(id_col).schema.add("fp", "long"))
 
 
 def co_occurrence(distinct: DataFrame) -> np.ndarray:
@@ -117,7 +117,7 @@ def co_occurrence(distinct: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], names=["i", "j", "n"])
 
     out = np.zeros((BITS, BITS), np.int64)
-    for i, j, n in distinct.select("fp").mapInArrow(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n")).collect():
+    for i, j, n in distinct.select("fp").mapInArrow(trimmed(count), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n")).collect():
         out[i, j] = n
     return out
 
@@ -233,7 +233,7 @@ def verified(buckets: DataFrame, max_bits: int) -> DataFrame:
             ends = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-    return buckets.select("fps").mapInArrow(verify, "a long, b long")
+    return buckets.select("fps").mapInArrow(trimmed(verify), "a long, b long")
 
 
 def layouts(distinct: DataFrame, max_bits: int, bucket_rows: int) -> list[tuple[list[list[int]], tuple]]:
@@ -323,7 +323,7 @@ def prints_of(docs: DataFrame, seeds: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), fps], names=["id", "digest", "fps"])
 
     rows = docs.select(F.col("doc_id").alias("id"), digest_of("text").alias("digest"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(make, rows.select("id", "digest").schema.add("fps", T.ArrayType(T.LongType())))
+    return rows.mapInArrow(trimmed(make), rows.select("id", "digest").schema.add("fps", T.ArrayType(T.LongType())))
 
 
 def candidates(codes: DataFrame, scratch: Scratch, masks: list[int], seeds: int) -> DataFrame:
@@ -349,7 +349,7 @@ def similar_texts(clusters: DataFrame, texts: DataFrame, scratch: Scratch, least
             yield pa.RecordBatch.from_arrays([part.column("grp"), part.column("node"), pa.array(sets, pa.binary())], names=["grp", "node", "data"])
 
     rows = texts.join(clusters, "digest").select(F.xxhash64("cluster").alias("grp"), F.col("digest").alias("node"), "text")
-    sets = scratch.write(rows.mapInArrow(shingled, "grp long, node string, data binary"), "shingles")
+    sets = scratch.write(rows.mapInArrow(trimmed(shingled), "grp long, node string, data binary"), "shingles")
     return group_links(sets, scratch, "texts", jaccard_forest(least), block_rows, block_bytes)
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from millrace.llm.shared import Scratch, bitmap, maybe_among, partitions
+from millrace.llm.shared import Scratch, bitmap, maybe_among, partitions, trimmed
 
 WINDOW, ANCHOR = 13, 4
 #: Words of a phrase that the automata look for: every window has a whole one if they stand this far apart.
@@ -155,7 +155,7 @@ def profiles(rows: DataFrame) -> DataFrame:
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["id", "key", "n_words", "digest"])
 
-    return rows.mapInArrow(make, rows.drop("text").schema.add("n_words", "long").add("digest", "binary"))
+    return rows.mapInArrow(trimmed(make), rows.drop("text").schema.add("n_words", "long").add("digest", "binary"))
 
 
 def anchors(rows: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def anchors(rows: DataFrame) -> DataFrame:
                     columns = [found.anchor[first].view(np.int64), known[found.row[first]].view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["phrase", "text"])
 
-    return rows.select("text").mapInArrow(make, "phrase long, text long")
+    return rows.select("text").mapInArrow(trimmed(make), "phrase long, text long")
 
 
 def _is_common(counted: DataFrame) -> Column:
@@ -215,7 +215,7 @@ def _marked(rows: DataFrame, recurring: np.ndarray, bits: int, only: np.ndarray
                     yield from made(batch.column("id"), start + found.row[kept], found.hash(WINDOW)[found.whole[kept]], found.at[kept].astype(np.int32), places)
 
     kept = rows.where("id is not null").select("id", "text")
-    return kept.mapInArrow(make, schema.format(kept.schema["id"].dataType.simpleString()))
+    return kept.mapInArrow(trimmed(make), schema.format(kept.schema["id"].dataType.simpleString()))
 
 
 def _spots(ids: pa.Array, row: np.ndarray, hashes: np.ndarray, at: np.ndarray, places: Places | None) -> Iterator[pa.RecordBatch]:
@@ -348,7 +348,7 @@ def matched(routed: DataFrame) -> DataFrame:
                     runs.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), pa.array(keys, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["id", "key", "runs"])
 
-    return routed.mapInArrow(make, routed.select("id", "key").schema.add("runs", T.ArrayType(T.IntegerType())))
+    return routed.mapInArrow(trimmed(make), routed.select("id", "key").schema.add("runs", T.ArrayType(T.IntegerType())))
 
 
 def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, windows_per_shard: int = 32_768, targets_per_task: int = 4_096) -> tuple[DataFrame, DataFrame]:
@@ -426,7 +426,7 @@ def removed(known: DataFrame, runs: DataFrame, rows: DataFrame, scratch: Scratch
 
     texts = maybe_among(rows, "id", cut_rows.select("id").distinct(), scratch, "cut_ids").where("__maybe")
     joined = texts.join(cut_rows, ["id", "key"]).select("id", "runs", "text")
-    cut_out = joined.mapInArrow(cut, joined.select("id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string"))
+    cut_out = joined.mapInArrow(trimmed(cut), joined.select("id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string"))
     marked = cut_rows.select(F.col("id").alias("i"), F.col("key").alias("k"))
     nothing = hashlib.sha256(b"").hexdigest()
     whole = known.join(marked, (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), "left_anti").select(

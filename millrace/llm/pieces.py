@@ -265,7 +265,7 @@ class Codec:
 
 @lru_cache(maxsize=1)
 def codec_of(model: bytes) -> Codec:
-    """A worker's codec, kept from task to task."""
+    """A worker's codec, kept from task to task unless the last one gave it back."""
     return Codec(model)
 
 
@@ -283,8 +283,11 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield start, held
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
-    """The id (and ``keep``), ``ids``, ``n_tokens`` and ``round_trip``: whether decoding gives the text back."""
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, keep: list[str] | None = None, stays: bool = True) -> DataFrame:
+    """The id (and ``keep``), ``ids``, ``n_tokens`` and ``round_trip``: whether decoding gives the text back.
+
+    ``stays``: workers keep the codec and the words it knows for the next task, which saves time; else a task gives their memory back.
+    """
     with open(model, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -299,6 +302,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 columns = [batch.column(i).slice(start, len(block)) for i in range(len(names))]
                 columns += [lists, pa.array(np.diff(ends), mask=missing), pa.array(whole, mask=missing)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "n_tokens", "round_trip"])
+        if not stays:
+            codec_of.cache_clear()
 
     rows = docs.select(F.col(id_col), *(F.col(c) for c in keep or ()), F.col(text_col).cast("string").alias("__text"))
     return rows.mapInArrow(trimmed(encode), rows.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
@@ -325,5 +330,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of what is left, with language and source."""
-    return encode_documents(docs, keep=["lang", "source"])
+    """The token ids of what is left, with language and source; other columns are dropped. The codec's memory is given back to the other stages' tasks."""
+    return encode_documents(docs, keep=["lang", "source"], stays=False)

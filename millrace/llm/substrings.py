@@ -32,7 +32,6 @@ from math import ceil
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from millrace.llm.shared import Scratch, bitmap, maybe_among, partitions, trimmed
+from millrace.llm.shared import Scratch, bitmap, maybe_among, partitions, slices, trimmed
 
 WINDOW, ANCHOR = 13, 4
 #: Words of a phrase that the automata look for: every window has a whole one if they stand this far apart.
@@ -465,15 +464,22 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     flagged = maybe_among(docs, id_col, losses.select(F.col("__id").alias("id")).distinct(), scratch, "loss_ids")
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None or t is None else cut_text(t, list(r)) for t, r in zip(texts, runs, strict=True)])
+    place = docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, place):
+            runs = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [x.as_py() if r is None or not x.is_valid else cut_text(x.as_py(), r) for x, r in zip(batch.column(place), runs, strict=True)]
+            columns = batch.columns[:-1]
+            columns[place] = pa.array(texts, columns[place].type)
+            # Rows that the bitmap let through for nothing keep their texts; cut ones need a word that is left.
+            left = [r is None or t is None or bool(WORD.search(t.encode("utf-8", "surrogatepass"))) for t, r in zip(texts, runs, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(left, pa.bool_()))
 
     key = F.xxhash64(F.col(text_col).cast("binary"))
     touched = flagged.where("__maybe").join(losses, (F.col(id_col) == F.col("__id")) & (key == F.col("__key")), "left").where("not coalesce(__copy, false)")
-    # Rows that the bitmap let through for nothing keep their texts; cut ones need a word that is left.
-    shorter = touched.withColumn(text_col, cut(F.col(text_col), F.col("__runs"))).where(F.col("__runs").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    return flagged.where("not __maybe").select(*docs.columns).unionAll(shorter.select(*docs.columns))
+    shorter = touched.select(*docs.columns, "__runs").mapInArrow(trimmed(cut), docs.schema)
+    return flagged.where("not __maybe").select(*docs.columns).unionAll(shorter)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,11 +333,19 @@ def candidates(codes: DataFrame, scratch: Scratch, masks: list[int], seeds: int)
     most FAR of the bits may differ.
     """
     data = F.unhex(F.array_join(F.transform("fps", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
-    probes = codes.select("node", data.alias("data"), F.posexplode("fps").alias("seed", "fp")).select(
-        "node", "data", "seed", "fp", F.posexplode(longs([signed(m) for m in masks])).alias("at", "mask")
-    )
-    keyed = probes.select(F.xxhash64("seed", "at", F.col("fp").bitwiseAND(F.col("mask"))).alias("grp"), "node", "data")
-    return group_links(keyed, scratch, "codes", hamming_forest(int(seeds * BITS * FAR)), BLOCK_ROWS)
+    near = hamming_forest(int(seeds * BITS * FAR))
+
+    def linked(rows: DataFrame, some: Column, label: str) -> DataFrame:
+        probes = rows.select("node", "known", data.alias("data"), F.posexplode("fps").alias("seed", "fp")).where(some)
+        probes = probes.select("node", "known", "data", "seed", "fp", F.posexplode(longs([signed(m) for m in masks])).alias("at", "mask"))
+        keyed = probes.select(F.xxhash64("seed", "at", F.col("fp").bitwiseAND(F.col("mask"))).alias("grp"), "node", "data", "known")
+        return group_links(keyed, scratch, label, near, BLOCK_ROWS)
+
+    # What the first fingerprint connects needs no links by the others: near copies would get one by each of their keys.
+    first = linked(codes.withColumn("known", F.col("node")), F.col("seed") == 0, "codes-first")
+    roots = components(first, scratch, "first_components").withColumnRenamed("node", "of")
+    known = codes.join(roots, F.col("node") == F.col("of"), "left").select("node", "fps", F.coalesce("root", "node").alias("known"))
+    return first.unionAll(linked(scratch.write(known, "known_codes"), F.col("seed") > 0, "codes-rest"))
 
 
 def similar_texts(clusters: DataFrame, texts: DataFrame, scratch: Scratch, least: float, block_rows: int = 1024, block_bytes: int = 1 << 23) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm import simhash
+from millrace.llm import linking, simhash
 from millrace.llm.shared import Scratch
 
 SMALL = "/root/testdata/sf0.001"
@@ -57,6 +57,38 @@ def test_stage_finds_similar_pairs(spark, rows):
     assert len(kept - want) <= 0.05 * (len(rows) - len(want)), "near copies are left"
 
 
+def test_links_leave_out_what_is_known():
+    known = ["a", "a", "b", "c", "c"]
+    assert linking.fresh([(0, 1), (0, 2), (1, 2), (3, 4), (2, 3), (0, 4)], known) == [(0, 2), (2, 3)]
+    assert linking.fresh([(0, 1), (1, 2), (0, 2)], [1, 2, 3]) == [(0, 1), (1, 2)]
+
+
+@pytest.mark.parametrize("block_rows", [2048, 9])
+def test_known_components_do_not_change_the_groups(spark, block_rows):
+    """Codes of one key, in one block or many: the components are the same, and links within what is known aren't handed out."""
+    rng = random.Random(11)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    codes = sorted({rng.choice(centres) ^ sum(1 << rng.randrange(64) for _ in range(2)) for _ in range(160)})
+    near = np.bitwise_count(np.array(codes, np.uint64)[:, None] ^ np.array(codes, np.uint64)[None, :]) <= 3
+    known = np.arange(len(codes))
+    for i, j in rng.sample(np.argwhere(near).tolist(), 120):
+        known[known == max(known[i], known[j])] = min(known[i], known[j])
+
+    def label(start, edges):
+        out = start.copy()
+        for a, b in edges:
+            out[out == max(out[a], out[b])] = min(out[a], out[b])
+        return out
+
+    rows = [(7, i, c.to_bytes(8, "big"), int(k)) for i, (c, k) in enumerate(zip(codes, known, strict=True))]
+    members = spark.createDataFrame(rows, "grp long, node long, data binary, known long")
+    edges = [(r["a"], r["b"]) for r in linking.group_links(members, Scratch(spark, "test_near_copies"), "known", linking.hamming_forest(3), block_rows).collect()]
+    want = label(np.arange(len(codes)), np.argwhere(near).tolist())
+    assert (label(known, edges) == want).all()
+    assert all(known[a] != known[b] for a, b in edges)
+    assert block_rows < len(codes) or len(edges) < len(codes)
+
+
 def similar_pair(rng, words):
     """A text and the text with words appended, as many as a Jaccard similarity of 0.8 or just above allows."""
     text = [f"w{rng.randrange(10**6)}" for _ in range(words)]

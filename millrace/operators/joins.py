@@ -4,36 +4,87 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 
+#: Bins of a level are so many times as wide as those of the level below.
+STEP = 64
+#: Levels of bins; a range longer than the widest bin is met by every point, dealt over SALTS parts.
+LEVELS = 9
+SALTS = 64
+#: Bins are numbered up to here in either direction; what lies further out shares the last one.
+LAST_BIN = float(2**62)
+
+
 def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:
-    """Rows where ``low <= point <= high``, by equal bins instead of a nested loop.
+    """Rows where ``low <= point <= high`` (numbers), by bins instead of a nested loop.
 
-    A range is listed under each bin of ``width`` that it touches and a point under its one, so each pair meets once.
-    ``width`` should be about a usual range's length: a range has a row for each bin.
-    Null points and bounds, and ranges whose bounds are crossed, match nothing.
+    Bins come in levels, each STEP times as wide as the one below, from ``width`` on. A range is listed at the
+    first level whose bins are as long as it, where it touches two or three; a point is listed once at
+    each level that some range uses, so each pair meets once and no range of any length, endless ones included, has more than
+    SALTS rows. The levels in use, at most LEVELS + 1 numbers, are asked for when the join is built. ``width`` should be about a usual
+    range's length.
+    Null points and bounds, and ranges whose bounds are crossed, match nothing; NaN is larger than every number.
     """
-    a = points.where(F.col(point).isNotNull()).withColumn("__bin", F.floor(F.col(point) / width))
+    sizes = [float(width) * STEP**n for n in range(LEVELS)]
+    place = lambda c, size: F.floor(F.least(F.greatest(F.col(c).cast("double") / size, F.lit(-LAST_BIN)), F.lit(LAST_BIN)))
+    length = F.col(high).cast("double") - F.col(low).cast("double")
+    level = F.coalesce(*(F.when(length <= size, F.lit(n)) for n, size in enumerate(sizes)), F.lit(LEVELS))
     some = F.col(low).isNotNull() & F.col(high).isNotNull() & (F.col(low) <= F.col(high))
-    b = ranges.where(some).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return a.join(b, "__bin").where(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
+    b = ranges.where(some).withColumn("__level", level)
+    used = sorted(r["__level"] for r in b.select("__level").distinct().collect()) or [0]
+    size = F.get(F.array(*map(F.lit, sizes)), F.col("__level"))
+    touched = F.when(F.col("__level") < LEVELS, F.sequence(place(low, size), place(high, size)))
+    b = b.withColumn("__bin", F.explode(F.coalesce(touched, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))))
+    hashed = [c for c in points.columns if "map<" not in points.schema[c].dataType.simpleString()]
+    spots = [F.struct(F.lit(n).alias("level"), (place(point, F.lit(sizes[n])) if n < LEVELS else F.pmod(F.xxhash64(*hashed), F.lit(SALTS))).alias("bin")) for n in used]
+    a = points.where(F.col(point).isNotNull()).withColumn("__spot", F.explode(F.array(*spots)))
+    a = a.withColumns({"__level": F.col("__spot.level"), "__bin": F.col("__spot.bin")}).drop("__spot")
+    return a.join(b, ["__level", "__bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__level", "__bin")
+
+
+def seconds_of(df: DataFrame, name: str) -> Column:
+    """A time as a number that never falls as the time grows: seconds for dates and timestamps, anything else as it is.
+
+    Times without a zone are counted by their clock, since a cast to an instant goes back where a clock is put forward.
+    """
+    kind, at = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_seconds(at)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(at).cast("long") * 86_400
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_date(at.cast("date")).cast("long") * 86_400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    return at
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, values: dict[str, str], tie: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, values: dict[str, str], tie: str, slot: float = 3600) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before it (null if there is none).
 
-    Both sides are put under each other and the last right row is carried forward in one sorted
-    pass over a key, so a key's pairs are never formed. ``values`` names right columns by output name; of right
-    rows at one time the one with the largest ``tie`` counts.
+    Both sides are put under each other, cut into slots of time (``slot`` in seconds, or in units of a ``at`` that is a number), and
+    in each slot of a key the last right row is carried forward in a sorted pass. A second pass over one row a key and slot
+    carries the last right row of earlier slots, so a key with very many rows is sorted in as many tasks as it has slots,
+    and a key's pairs are never formed. ``values`` names right columns by output name; of right rows at one time the one with the
+    largest ``tie`` counts, of those with equal ties any. Right rows with a null key or time match nothing; left rows with one
+    are kept with null values.
     """
     marked = F.struct(*(F.col(v).alias(k) for k, v in values.items()))
+    known = F.col(at).isNotNull()
+    for k in by:
+        known = known & F.col(k).isNotNull()
     a = left.select(F.struct("*").alias("__left"), *by, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[tie].dataType).alias("__tie"))
     a = a.withColumn("__right", F.lit(None).cast(right.select(marked.alias("x")).schema["x"].dataType))
-    b = right.select(F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), *by, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), marked.alias("__right"))
-    order = W.Window.partitionBy(*by).orderBy("__at", "__side", "__tie").rowsBetween(W.Window.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn("__last", F.last("__right", ignorenulls=True).over(order))
-    return carried.where("__side = 1").select("__left.*", *(F.col(f"__last.{k}").alias(k) for k in values))
+    b = right.where(known).select(F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), *by, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), marked.alias("__right"))
+    both = a.unionByName(b)
+    both = both.withColumn("__slot", F.floor(seconds_of(both, "__at") / slot))
+    within = W.Window.partitionBy(*by, "__slot").orderBy("__at", "__side", "__tie").rowsBetween(W.Window.unboundedPreceding, 0)
+    earlier = W.Window.partitionBy(*by).orderBy("__slot").rowsBetween(W.Window.unboundedPreceding, -1)
+    ends = both.groupBy(*by, "__slot").agg(F.max_by("__right", F.when(F.col("__side") == 0, F.struct("__at", "__tie"))).alias("__end"))
+    ends = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(earlier)).where("__before is not null").drop("__end")
+    carried = both.withColumn("__last", F.last("__right", ignorenulls=True).over(within)).where("__side = 1")
+    found = carried.join(ends, [*by, "__slot"], "left").withColumn("__found", F.coalesce("__last", "__before"))
+    return found.select("__left.*", *(F.col(f"__found.{k}").alias(k) for k in values))
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, before: str, condition: Column | None = None) -> DataFrame:
@@ -43,9 +94,9 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_at: str, rig
     its slots: a left row meets the right rows of its own slot and the one before.
     """
     length = F.expr(f"unix_seconds(timestamp '1970-01-01 00:00:00' + interval {before})")
-    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / length)
-    a = left.withColumn("__slot", F.explode(F.array(slot(left_at), slot(left_at) - 1)))
-    b = right.withColumnRenamed(key, "__key").withColumn("__of", slot(right_at))
+    slot = lambda df, c: F.floor(seconds_of(df, c) / length)
+    a = left.withColumn("__slot", F.explode(F.array(slot(left, left_at), slot(left, left_at) - 1)))
+    b = right.withColumnRenamed(key, "__key").withColumn("__of", slot(right, right_at))
     within = (F.col(right_at) <= F.col(left_at)) & (F.col(right_at) >= F.col(left_at) - F.expr(f"interval {before}"))
     met = a.join(b, (F.col(key) == F.col("__key")) & (F.col("__slot") == F.col("__of")) & within)
     return (met if condition is None else met.where(condition)).drop("__slot", "__of", "__key")

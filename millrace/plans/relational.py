@@ -69,7 +69,12 @@ QUERIES, ORACLES = both({
     "set_except_all": """SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey AS k FROM {supplier}""",
     "subq_scalar_corr": """SELECT o_orderkey FROM {orders} o WHERE o_totalprice > 1.5 * (SELECT avg(o_totalprice) FROM {orders} i WHERE i.o_custkey = o.o_custkey)""",
     "subq_exists": """SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT' AND o.o_totalprice > 300000)""",
-    "cte_recursive": """WITH RECURSIVE steps(n, total) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, total * 2 FROM steps WHERE n < 30) SELECT n, total FROM steps""",
+    # Each region's nations are walked in the order of their keys, with the customers met so far.
+    "cte_recursive": """WITH RECURSIVE met AS (SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM {customer} GROUP BY c_nationkey),
+        walk AS (SELECT n_regionkey, n_nationkey, coalesce(n, 0) AS n, lag(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS earlier FROM {nation} LEFT JOIN met ON n_nationkey = c_nationkey),
+        steps(region, nation, depth, customers) AS (SELECT n_regionkey, n_nationkey, 1, n FROM walk WHERE earlier IS NULL
+            UNION ALL SELECT region, n_nationkey, depth + 1, customers + n FROM steps JOIN walk ON earlier = nation AND n_regionkey = region)
+        SELECT r_name, nation, depth, customers FROM steps JOIN {region} ON region = r_regionkey""",
 })
 ORACLES["filter_conj"] = ORACLES["filter_conj"].replace("TIMESTAMP_NTZ", "TIMESTAMP ")
 

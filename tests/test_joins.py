@@ -16,6 +16,61 @@ def test_range_join(spark):
     assert sorted((r["p"], r["r"]) for r in got.collect()) == want
 
 
+def test_range_join_takes_ranges_of_any_length(spark):
+    """Lengths from 0 to infinity, NaN bounds and points at the far ends; a range is never listed under more than SALTS bins."""
+    inf, nan = float("inf"), float("nan")
+    points = [-inf, -1e300, -1e9, -3.0, 0.0, 0.5, 7.25, 255.0, 256.0, 1e6, 1e12, 1e300, inf, nan, None]
+    ranges = [(-inf, inf), (0.0, inf), (-1e300, 1e300), (0.0, 1e12), (-5e9, 0.5), (255.5, 256.0), (7.25, 7.25), (-3.0, 1000.0), (0.0, nan), (inf, inf), (5.0, 1.0), (None, 3.0)]
+    a = spark.createDataFrame(list(enumerate(points)), "p long, x double")
+    b = spark.createDataFrame([(n, *r) for n, r in enumerate(ranges)], "r long, a double, b double")
+    # NaN is larger than every number, as Spark has it.
+    rank = lambda v: (v != v, 0.0 if v != v else v)
+    want = sorted((p, r) for p, x in enumerate(points) for r, (lo, hi) in enumerate(ranges) if None not in (x, lo, hi) and rank(lo) <= rank(x) <= rank(hi))
+    got = range_join(a, "x", b, "a", "b", 4)
+    assert sorted((r["p"], r["r"]) for r in got.collect()) == want
+    assert got.columns == ["p", "x", "r", "a", "b"]
+
+
+def test_range_join_of_whole_numbers_and_empty_sides(spark):
+    a = spark.range(-50, 5000).withColumnRenamed("id", "x")
+    b = spark.createDataFrame([(0, -(2**63), 2**63 - 1), (1, 10, 10), (2, 40, 4000), (3, 9, 8)], "r long, a long, b long")
+    want = {0: 5050, 1: 1, 2: 3961}
+    assert {r["r"]: r["count"] for r in range_join(a, "x", b, "a", "b", 16).groupBy("r").count().collect()} == want
+    assert range_join(a, "x", b.where("false"), "a", "b", 16).count() == range_join(a.where("false"), "x", b, "a", "b", 16).count() == 0
+
+
+def test_asof_join_over_slots(spark):
+    """Most rows are of one key; slots of several lengths, nulls in keys and times, rows repeated."""
+    random.seed(8)
+    some = lambda n, p: None if random.random() < p else n
+    left = [(i, some(random.choice("aaaaab"), 0.05), some(random.randint(0, 90), 0.05)) for i in range(120)]
+    right = [(500 + i, some(random.choice("aaaac"), 0.05), some(random.randint(0, 90), 0.05)) for i in range(30)] * 2
+    a, b = spark.createDataFrame(left, "id long, k string, t int"), spark.createDataFrame(right, "rid long, k string, t int")
+    want = {}
+    for i, k, t in left:
+        known = [(u, r) for r, q, u in right if None not in (k, t, q, u) and q == k and u <= t]
+        want[i] = max(known)[1] if known else None
+    for slot in (3, 17, 3600):
+        got = asof_join(a, b, ["k"], "t", {"found": "rid"}, "rid", slot)
+        assert {r["id"]: r["found"] for r in got.collect()} == want
+        assert got.count() == len(left)
+    assert asof_join(a, b.where("false"), ["k"], "t", {"found": "rid"}, "rid").where("found is not null").count() == 0
+
+
+def test_asof_join_where_a_clock_is_put_forward(spark):
+    """Half past two of that night doesn't exist in the session's zone; times without a zone keep their order all the same."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        at = lambda rows, names: spark.createDataFrame(rows, names).withColumn("t", F.col("t").cast("timestamp_ntz"))
+        left = at([(1, "a", "2024-03-31 03:05:00")], "id long, k string, t string")
+        right = at([(7, "a", "2024-03-31 02:30:00"), (8, "a", "2024-03-31 03:10:00")], "rid long, k string, t string")
+        got = asof_join(left, right, ["k"], "t", {"found": "rid"}, "rid", 600)
+        assert [r["found"] for r in got.collect()] == [7]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_asof_join(spark):
     random.seed(5)
     left = [(i, random.choice("abc"), random.randint(0, 20)) for i in range(60)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.ranks import exact_percentiles
 from millrace.sql import both
 from millrace.session import table
 
@@ -27,10 +28,6 @@ QUERIES, ORACLES = both({
                round(avg(power(value - mu, 4)) / power(avg(power(value - mu, 2)), 2) - 3, 6) AS kurt
         FROM {events} e JOIN m ON e.event_type = m.event_type GROUP BY e.event_type""",
     ),
-    "agg_percentile": (
-        """SELECT event_type, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95 FROM {events} GROUP BY event_type""",
-        """SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM {events} GROUP BY event_type""",
-    ),
     "agg_max_by": (
         """SELECT user_id, max_by(event_id, struct(value, event_id)) AS best, min_by(event_id, struct(value, event_id)) AS worst FROM {events} GROUP BY user_id""",
         """SELECT user_id, arg_max(event_id, row(value, event_id)) AS best, arg_min(event_id, row(value, event_id)) AS worst FROM {events} GROUP BY user_id""",
@@ -89,7 +86,14 @@ def agg_approx_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", [0.5, 0.9], 10_000).alias("prices"))
 
 
-QUERIES |= {"agg_group": agg_group, "agg_approx_distinct": agg_approx_distinct, "agg_approx_percentile": agg_approx_percentile}
+def agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of values by kind, without a kind's values in one buffer."""
+    found = exact_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+QUERIES |= {"agg_percentile": agg_percentile, "agg_group": agg_group, "agg_approx_distinct": agg_approx_distinct, "agg_approx_percentile": agg_approx_percentile}
+ORACLES["agg_percentile"] = "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type"
 ORACLES["agg_group"] = """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
        round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_quantity), 6) AS avg_qty,

@@ -16,6 +16,8 @@ from millrace.sources.scratch import scratch_path
 LIMIT = 600
 #: Micro-batches that a replayed table arrives in.
 BATCHES = 3
+#: Files of a replayed micro-batch, one or more tasks each; for large tables as many as tasks should write and read a batch.
+FILES = 4
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +27,19 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def replayed(events: DataFrame, parts: list[Column], name: str, options: dict[str, str] | None = None) -> DataFrame:
+def replayed(events: DataFrame, parts: list[Column], name: str, options: dict[str, str] | None = None, files: int = FILES) -> DataFrame:
     """A table as a stream that arrives in as many micro-batches as there are conditions in ``parts``, in their order.
 
-    Each part is one file in a folder of its own, written after the one before: the source goes by the times of files.
+    Each part is ``files`` files in a folder of its own, written after the one before: the source goes by the times of files and takes
+    so many a batch. A part with too few rows for all its files is filled up with files without rows.
     """
     spark, path = events.sparkSession, scratch_path(events.sparkSession, name)
     for n, part in enumerate(parts):
-        events.where(part).coalesce(1).write.parquet(f"{path}/part={n}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).options(**options or {}).parquet(path)
+        folder = f"{path}/part={n}"
+        events.where(part).repartition(files).write.parquet(folder)
+        for _ in range(files - len(spark.read.schema(events.schema).parquet(folder).inputFiles())):
+            events.where("false").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).options(**options or {}).parquet(path)
     return stream.drop("part").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -45,7 +51,7 @@ def event_batches(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if low is None:
         return event_stream(spark, sf_dir)
     slot = F.least(F.lit(BATCHES - 1), F.floor((at - low) * BATCHES / F.lit(high - low + 1))).cast("int")
-    return replayed(events.orderBy(F.xxhash64("event_id")), [slot == n for n in range(BATCHES)], name)
+    return replayed(events, [slot == n for n in range(BATCHES)], name)
 
 
 def _finish(query) -> None:
@@ -83,13 +89,13 @@ def stream_file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A memory sink is for small results only: here one row a kind of event."""
     name = f"sink_memory_{scratch_path(spark, 'm').rpartition('-')[2]}"
-    counts = event_stream(spark, sf_dir).groupBy("event_type").count()
+    counts = event_batches(spark, sf_dir, "memory_events").groupBy("event_type").count()
     _finish(counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start())
     return spark.table(name)
 
 
 def sink_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_batches(event_stream(spark, sf_dir).groupBy("user_id").count(), "foreach_batch", "complete")
+    return to_batches(event_batches(spark, sf_dir, "foreach_events").groupBy("user_id").count(), "foreach_batch", "complete")
 
 
 def _hours(stream: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def stream_tumbling_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_batches(_flat(_hours(event_stream(spark, sf_dir))), "tumbling_complete", "complete")
+    return to_batches(_flat(_hours(event_batches(spark, sf_dir, "complete_events"))), "tumbling_complete", "complete")
 
 
 def closed_hours(events: DataFrame) -> DataFrame:
@@ -124,21 +130,30 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed_sessions(event_batches(spark, sf_dir, "session_events"))
 
 
+def first_seen(events: DataFrame, delay: str) -> DataFrame:
+    """The first event of each user and kind; one seen again more than ``delay`` after counts as new, and events later than the watermark are dropped."""
+    kept = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return to_files(kept.select("user_id", "event_type"), "dedup")
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and kind, over several batches; the watermark is longer than the table, so that SQL knows the answer."""
-    events = event_batches(spark, sf_dir, "dedup_events").withWatermark("ts", "60 days")
-    return to_files(events.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"), "dedup")
+    return first_seen(event_batches(spark, sf_dir, "dedup_events"), "60 days")
 
 
-def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases with the views of their user in the six hours before, both sides streamed."""
-    events = event_batches(spark, sf_dir, "join_events")
+def bought_after_seen(events: DataFrame) -> DataFrame:
+    """Purchases with the views of their user in the six hours before, both sides streamed. Events over an hour late are dropped, and a view's state with the last purchase that may ask for it."""
     bought = events.where("event_type = 'purchase'").select(F.col("user_id"), F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought_at")).withWatermark("bought_at", "1 hour")
     seen = events.where("event_type = 'view'").select(F.col("user_id").alias("viewer"), F.col("event_id").alias("view_id"), F.col("ts").alias("seen_at")).withWatermark("seen_at", "1 hour")
     within = F.expr("user_id = viewer and seen_at <= bought_at and seen_at >= bought_at - interval 6 hours")
     return to_files(bought.join(seen, within).select("user_id", "purchase_id", "view_id"), "stream_join")
 
 
+def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the views of their user in the six hours before, over several batches."""
+    return bought_after_seen(event_batches(spark, sf_dir, "join_events"))
+
+
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 

@@ -10,8 +10,9 @@ A window is ``WINDOW`` consecutive words. The steps:
    windows, found among those of anchors that step 1 counted most, get it before by a combined minimum; they are so few
    that their places are broadcast, and a document is routed once to each place's chunk, so no window fills a task.
 3. Automata. Sources are dealt to shards of about ``windows_per_shard`` windows. Each task compiles a shard's passages
-   (sources that follow one another) into an Aho-Corasick automaton over words and streams through it every document
-   that was found to share windows with the shard, whole; shards with many documents are salted. The automaton
+   (sources that follow one another) into an Aho-Corasick automaton over words and streams through it every part of a document
+   that was found to share windows with the shard; shards with many parts are salted. A part has the windows that start in
+   ``PART`` words that follow one another, so it overlaps the next one and holds its windows whole. The automaton
    looks for seeds, phrases so placed that each window of a passage has one, and matches are extended word by word, so
    no hash decides a removal. Each match of a window or more from a smaller document covers its words.
 4. Covered runs are joined with their texts once more to cut them out.
@@ -48,6 +49,8 @@ SEED = (WINDOW + 1) // 2
 BLOCK, SEGMENT = 1 << 18, 50_000
 #: Positions of one document that stay in one shard.
 CHUNK = 16_384
+#: Windows of a document that are sent to a shard together; it divides CHUNK.
+PART = 256
 MAX_BITMAP_BITS = 26
 #: What is in more places than the larger of COMMON and a MOST_COMMON-th of all is common: fewer than MOST_COMMON are.
 COMMON, MOST_COMMON = 4096, 1 << 20
@@ -227,17 +230,17 @@ def _spots_and_routes(ids: pa.Array, row: np.ndarray, hashes: np.ndarray, at: np
         found = np.minimum(np.searchsorted(places.hashes, hashes), len(places.hashes) - 1)
         here = places.hashes[found] == hashes
         groups = len(places.sources)
-        pairs = np.unique(row[here] * groups + places.group[found[here]])
+        pairs, part = np.unique(np.stack([row[here] * groups + places.group[found[here]], at[here] // PART]), axis=1)
         doc, group = ids.take(pa.array(pairs // groups)), pa.array(pairs % groups)
-        nothing = [pa.nulls(len(pairs), pa.int64()), doc, pa.nulls(len(pairs), pa.int32())]
-        yield pa.RecordBatch.from_arrays([*nothing, places.sources.take(group), places.chunks.take(group)], names=names)
+        start = pa.array((part * PART).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), doc, start, places.sources.take(group), places.chunks.take(group)], names=names)
     row, hashes, at = row[~here], hashes[~here], at[~here]
     known = [pa.array(hashes.view(np.int64)), ids.take(pa.array(row)), pa.array(at)]
     yield pa.RecordBatch.from_arrays([*known, pa.nulls(len(row), ids.type), pa.nulls(len(row), pa.int32())], names=names)
 
 
 def occurrences(rows: DataFrame, recurring: np.ndarray, bits: int, places: Places) -> DataFrame:
-    """Windows whose anchor is in the bitmap: (window, id, at) of each, or, of common ones, (id, source, chunk) once a document."""
+    """Windows whose anchor is in the bitmap: (window, id, at) of each, or, of common ones, (id, at, source, chunk) once a part, ``at`` being its start."""
     return _marked(rows, recurring, bits, None, "window long, id {0}, at int, source {0}, chunk int", _spots_and_routes, places)
 
 
@@ -327,30 +330,59 @@ class Automaton:
         return _runs(found)
 
 
+def parts_of(texts: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """(id, key, shard, salt, start, places, text) of the parts that the ``wants`` (shard, salt, part, places) of each text name."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", most):
+            rows, cut, size = [], [], 0
+            for i, (words, wants) in enumerate(zip(_words(batch.column("text")), batch.column("wants").to_pylist(), strict=True)):
+                for want in wants:
+                    start = want["part"] * PART
+                    # An id's other rows, if it is repeated, may be shorter.
+                    if len(held := words[start : start + PART + WINDOW - 1]) >= WINDOW:
+                        rows.append(i)
+                        cut.append((want["shard"], want["salt"], start, want["places"], b" ".join(held)))
+                        size += len(cut[-1][-1])
+                    if size > most:
+                        yield packed(batch, rows, cut)
+                        rows, cut, size = [], [], 0
+            yield packed(batch, rows, cut)
+
+    def packed(batch: pa.RecordBatch, rows: list[int], cut: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(rows, pa.int64())
+        made = [pa.array([x[i] for x in cut], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()))]
+        return pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("key").take(at), *made], names=["id", "key", "shard", "salt", "start", "places", "text"])
+
+    schema = texts.select("id", "key").schema.add("shard", "integer").add("salt", "integer").add("start", "integer")
+    schema = schema.add("places", T.ArrayType(T.IntegerType())).add("text", "binary")
+    return texts.select("id", "key", "text", "wants").mapInArrow(trimmed(make), schema)
+
+
 def matched(routed: DataFrame) -> DataFrame:
-    """(id, key, runs) from rows (shard, salt, id, key, places, text), sources before targets in each (shard, salt)."""
+    """(id, key, runs) from rows (shard, salt, id, key, start, places, text), sources before targets in each (shard, salt)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, machine = None, Automaton()
         for batch in batches:
             ids, keys, runs = [], [], []
-            columns = (batch.column(c) for c in ("shard", "salt", "id", "key", "places", "text"))
-            for shard, salt, doc, key, places, text in zip(*columns, strict=True):
+            columns = (batch.column(c) for c in ("shard", "salt", "id", "key", "start", "places", "text"))
+            for shard, salt, doc, key, start, places, text in zip(*columns, strict=True):
                 if (shard.as_py(), salt.as_py()) != current:
                     current, machine = (shard.as_py(), salt.as_py()), Automaton()
-                words = (text.as_py() or b"").split()
+                words, start = (text.as_py() or b"").split(), start.as_py()
                 if places.is_valid:
-                    machine.add(doc.as_py(), words, [p for p in places.as_py() if p + WINDOW <= len(words)])
+                    machine.add(doc.as_py(), words, [p - start for p in places.as_py() if p - start + WINDOW <= len(words)])
                 elif found := machine.covered(doc.as_py(), words):
                     ids.append(doc.as_py())
                     keys.append(key.as_py())
-                    runs.append(found)
+                    runs.append([start + x for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), pa.array(keys, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["id", "key", "runs"])
 
     return routed.mapInArrow(trimmed(make), routed.select("id", "key").schema.add("runs", T.ArrayType(T.IntegerType())))
 
 
-def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, windows_per_shard: int = 32_768, targets_per_task: int = 4_096) -> tuple[DataFrame, DataFrame]:
+def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, windows_per_shard: int = 32_768, parts_per_task: int = 8_192) -> tuple[DataFrame, DataFrame]:
     """What to remove: (id, key, n_words, digest, copy) of every row, and (id, key, runs) of rows with covered words.
 
     ``copy`` rows have the words of a smaller document and lose them all; runs that they may have (if their id is repeated) don't count.
@@ -381,25 +413,31 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
     first = F.coalesce("source", "place.id")
     wanted = F.when(routed, F.col("id") > F.col("source")).otherwise((F.col("place.id") < F.col("last")) & (is_source | (F.col("id") > F.col("place.id"))))
     at_first = F.coalesce("chunk", F.floor(F.col("place.at") / CHUNK).cast("int"))
-    found = spots.where(wanted).select("id", first.alias("source"), at_first.alias("chunk"), F.when(~routed & is_source, F.col("at")).alias("place"))
-    shared = scratch.write(found.unionAll(table.select("id", F.col("id").alias("source"), chunk.alias("chunk"), F.col("at").alias("place"))).distinct(), "shared")
+    part = F.floor(F.col("at") / PART).cast("int").alias("part")
+    found = spots.where(wanted).select("id", first.alias("source"), at_first.alias("chunk"), part, F.when(~routed & is_source, F.col("at")).alias("place"))
+    shared = scratch.write(found.unionAll(table.select("id", F.col("id").alias("source"), chunk.alias("chunk"), part, F.col("at").alias("place"))).distinct(), "shared")
     sources = shared.where("place is not null")
     shards = max(1, ceil(sources.count() / windows_per_shard))
     shard = F.pmod(F.xxhash64("source", "chunk"), F.lit(shards)).cast("int").alias("shard")
-    patterns = sources.select("id", shard, "place").groupBy("id", "shard").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    patterns = sources.select("id", shard, "part", "place").groupBy("id", "shard", "part").agg(F.sort_array(F.collect_list("place")).alias("places"))
     # Copies of an earlier text are cut whole anyway; an id's other rows, if it is repeated, are not.
     whole = known.groupBy(F.col("id").alias("gone")).agg(F.every("copy").alias("copies")).where("copies").select("gone")
-    targets = shared.where("place is null").select("id", shard).distinct().join(whole, F.col("id") == F.col("gone"), "left_anti")
+    targets = shared.where("place is null").select("id", shard, "part").distinct().join(whole, F.col("id") == F.col("gone"), "left_anti")
     targets = scratch.write(targets, "targets")
-    salts = targets.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / targets_per_task).cast("int").alias("salts"))
+    salts = targets.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / parts_per_task).cast("int").alias("salts"))
     # One row a shard, and shards hold thousands of windows each; still, the join is left to Spark.
-    aimed = targets.join(salts, "shard").select("id", "shard", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(None).cast("array<int>").alias("places"))
-    spread_sources = patterns.join(salts, "shard").select("id", "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "places")
+    aimed = targets.join(salts, "shard").select("id", "shard", F.pmod(F.xxhash64("id", "part"), F.col("salts")).cast("int").alias("salt"), "part", F.lit(None).cast("array<int>").alias("places"))
+    # A source goes to all salts of its shard, up to the one named here.
+    spread_sources = patterns.join(salts, "shard").select("id", "shard", (F.col("salts") - 1).alias("salt"), "part", "places")
     wanted = scratch.write(aimed.unionAll(spread_sources), "wanted")
 
     texts = maybe_among(rows, "id", wanted.select("id").distinct(), scratch, "wanted_ids").where("__maybe").drop("__maybe")
-    routed = texts.join(wanted, "id").repartition(max(partitions(docs.sparkSession), 2 * shards), "shard", "salt")
-    runs = scratch.write(matched(routed.sortWithinPartitions("shard", "salt", F.col("places").isNull()).select("shard", "salt", "id", "key", "places", "text")), "runs")
+    # A window has one source, so a document has no more of these than windows.
+    wants = wanted.groupBy("id").agg(F.collect_list(F.struct("shard", "salt", "part", "places")).alias("wants"))
+    cut = parts_of(texts.join(wants, "id"))
+    salt = F.explode(F.when(F.col("places").isNull(), F.array("salt")).otherwise(F.sequence(F.lit(0), F.col("salt")))).alias("salt")
+    routed = cut.select("shard", salt, "id", "key", "start", "places", "text").repartition(max(partitions(docs.sparkSession), 2 * shards), "shard", "salt")
+    runs = scratch.write(matched(routed.sortWithinPartitions("shard", "salt", F.col("places").isNull())), "runs")
     merged = runs.groupBy("id", "key").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     return known, scratch.write(merged, "merged")
 

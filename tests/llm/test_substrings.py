@@ -51,12 +51,43 @@ def shared_passages():
     return [*rows, (200, common), (201, common + "c"), (202, "x " + common), (203, rows[0][1]), (203, rows[0][1]), (204, rows[5][1].replace(" ", "\n"))]
 
 
-@pytest.mark.parametrize("settings", [{}, {"windows_per_shard": 20, "targets_per_task": 2}])
+@pytest.mark.parametrize("settings", [{}, {"windows_per_shard": 20, "parts_per_task": 2}])
 def test_against_brute_force(spark, settings):
     rows = shared_passages()
     assert run(spark, spark.createDataFrame(rows, "doc_id long, text string"), **settings) == brute(rows)
 
 
+def long_texts(n=12):
+    """Texts of several parts, with passages across their edges and at odd places; one of them with a common passage throughout."""
+    rng, part = random.Random(23), substrings.PART
+    passages = [prose(rng, n=k).split() for k in (W - 1, W, 40, part + 30)]
+    rows = []
+    for i in range(n):
+        words = prose(rng, n=rng.randint(1, 5 * part)).split()
+        for edge in range(part, len(words), part):
+            words[edge - (at := rng.randint(0, W)) : edge - at] = rng.choice(passages)
+        rows.append((i, " ".join(words)))
+    return [*rows, (n, " ".join(passages[2] * 60)), (n + 1, " ".join(passages[3] * 3))]
+
+
+@pytest.mark.parametrize("common", [0, 4096])
+def test_parts_of_long_texts(spark, monkeypatch, common):
+    monkeypatch.setattr(substrings, "COMMON", common)
+    monkeypatch.setattr(substrings, "MOST_COMMON", 1 << 30)
+    rows = long_texts()
+    assert run(spark, spark.createDataFrame(rows, "doc_id long, text string"), windows_per_shard=50, parts_per_task=3) == brute(rows)
+
+
+def test_only_parts_are_sent(spark):
+    """Of a long text only the part that is named is sent; texts that end before it send none."""
+    wants = [{"shard": 4, "salt": 2, "part": 1, "places": [substrings.PART + 3]}, {"shard": 5, "salt": 0, "part": 9, "places": None}]
+    words = [f"w{i}" for i in range(2 * substrings.PART + 5)]
+    schema = "id long, key long, text binary, wants array<struct<shard int, salt int, part int, places array<int>>>"
+    texts = spark.createDataFrame([(1, 7, " ".join(words).encode(), wants), (2, 8, b"", wants)], schema)
+    got = [(r["id"], r["key"], r["shard"], r["salt"], r["start"], r["places"], bytes(r["text"]).decode().split()) for r in substrings.parts_of(texts, 1).collect()]
+    assert got == [(1, 7, 4, 2, substrings.PART, [substrings.PART + 3], words[substrings.PART :])]
+
+
 def test_bitmap_that_lets_everything_through(spark, monkeypatch):
     monkeypatch.setattr(substrings, "MAX_BITMAP_BITS", 10)
     rows = shared_passages()

@@ -8,8 +8,9 @@ same task as the documents themselves, so that counts can be put against ids. No
 reading its own range. A block is searched with a vectorised comparison: it gives the separators
 in the block, the tokens before the first, after the last and between them. A prefix scan over a file's
 blocks (running sum of separators, running maximum of the last separator's place) stitches the documents
-that blocks cut, however many blocks they span. Ranges are read with Arrow's file systems; a store that they don't know
-is read by Spark, a whole file (of at most 2 GB) in a task.
+that blocks cut, however many blocks they span. Ranges are read with Arrow's file systems. A store that they don't know
+is read by Spark: files of up to ``WHOLE`` bytes whole, larger ones of any size as Hadoop's records of one length, which has to divide the
+file's; if only short ones do, records are many and small, and that is slow.
 
 Defined cases: null and empty texts have 0 tokens. The text of an end-of-document token in a document
 is ordinary text. Repeated rows are counted one by one, and null ids stay null. A file that doesn't end with a
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import tiktoken
@@ -41,6 +43,10 @@ END_OF_DOCUMENT = 50256
 #: Tokens in a block of the scan.
 BLOCK = 1 << 20
 KINDS = {2: "<u2", 4: "<u4"}
+#: Bytes of a file that one task may hold where ranges can't be read.
+WHOLE = 64 << 20
+#: Hadoop's names of stores that Arrow knows by another one. Fixed values.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 #: Base-32768 digits of an id in the roster; the last one also tells a null.
 DIGITS, DIGIT_BITS = 5, 15
 NULL_BIT = 1 << (DIGIT_BITS - 1)
@@ -107,17 +113,63 @@ def write_flat(
     rows.select(F.col("value").cast("string")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
 
+def _system(file: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """Arrow's file system for a file that Spark listed, and the file's path there."""
+    scheme, colon, rest = file.partition(":")
+    return pyarrow.fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+
+
+def _reachable(file: str) -> bool:
+    try:
+        system, path = _system(file)
+        return system.get_file_info(path).type == pyarrow.fs.FileType.File
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
 def _files(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """(file, length) of the files below ``path``, with ``content`` where tasks can't read ranges themselves; and whether they can."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").withColumnRenamed("path", "file")
     first = files.select("file").first()
-    try:
-        ranged = first is None or bool(pyarrow.fs.FileSystem.from_uri(first["file"]))
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
-        ranged = False
+    ranged = first is None or _reachable(first["file"])
     return files.select("file", "length", *([] if ranged else ["content"])), ranged
 
 
+def _large(files: DataFrame, ranged: bool) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """The files that are read by ranges or whole, and (file, length) of those too large to be read whole."""
+    if ranged:
+        return files, []
+    large = files.where(F.col("length") > WHOLE).select("file", "length").collect()
+    return files.where(F.col("length") <= WHOLE), [(x["file"], x["length"]) for x in large]
+
+
+def _record_bytes(length: int, width: int, most: int) -> int:
+    """The most bytes, of whole tokens and up to ``most``, that divide the length of a file."""
+    sizes = np.arange(1, min(most, length) // width + 1) * width
+    return int(sizes[length % sizes == 0].max())
+
+
+def _stretches(spark: SparkSession, file: str, length: int, width: int, most: int) -> DataFrame:
+    """(file, length, at, content): a file in stretches of about ``most`` bytes, read as records of one length through Hadoop."""
+    record = _record_bytes(length, width, most)
+
+    def join(records: Iterator[tuple[int, bytes]]) -> Iterator[tuple[str, int, int, bytearray]]:
+        held, start = bytearray(), 0
+        for at, content in records:
+            if held and len(held) + len(content) > most:
+                yield file, length, start, held
+                held = bytearray()
+            start = start if held else at
+            held += content
+        if held:
+            yield file, length, start, held
+
+    hadoop = "org.apache.hadoop"
+    conf = {"fixedlengthinputformat.record.length": str(record)}
+    records = spark.sparkContext.newAPIHadoopFile(file, f"{hadoop}.mapreduce.lib.input.FixedLengthInputFormat", f"{hadoop}.io.LongWritable", f"{hadoop}.io.BytesWritable", conf=conf)
+    return spark.createDataFrame(records.mapPartitions(join), "file string, length long, at long, content binary")
+
+
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, str, int, Callable[[int, int], pa.Buffer]]]:
     """(row, file, length, function that reads so many bytes from a place on) of each row."""
     files, lengths = batch.column("file").to_pylist(), batch.column("length").to_pylist()
@@ -126,7 +178,7 @@ def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, str, int, Callable[[in
             content = batch.column("content")[n].as_buffer()
             yield n, file, length, lambda at, size, content=content: content.slice(at, size)
         else:
-            system, path = pyarrow.fs.FileSystem.from_uri(file)
+            system, path = _system(file)
             with system.open_input_file(path) as opened:
                 yield n, file, length, lambda at, size, opened=opened: opened.read_buffer(size) if opened.seek(at) is not None else None
 
@@ -135,33 +187,48 @@ def scan_flat(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, width:
     """(file, ordinal, n_tokens, last) of all documents in the flat files below ``path``."""
     kind, step = KINDS[width], block * width
     files, ranged = _files(spark, path)
+    files, large = _large(files, ranged)
+    for file, length in large:
+        if length % width:
+            raise ValueError(f"{file} does not end with a separator: it ends within a token")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, file, length, read in _opened(batch):
-                for number in [batch.column("block")[n].as_py()] if ranged else range(-(-length // step)):
-                    size = min(step, length - number * step)
+                for place in [batch.column("at")[n].as_py()] if ranged else range(0, length, step):
+                    size = min(step, length - place)
                     if size % width:
                         raise ValueError(f"{file} does not end with a separator: it ends within a token")
-                    ids = np.frombuffer(read(number * step, size), kind)
-                    at = np.flatnonzero(ids == end)
-                    head, final = (int(at[0]), int(at[-1])) if len(at) else (None, None)
-                    row = (file, number, len(at), len(ids), head, final, (np.diff(at) - 1).tolist())
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+                    yield searched(file, place, read(place, size))
+
+    def searched(file: str, place: int, content: pa.Buffer) -> pa.RecordBatch:
+        ids = np.frombuffer(content, kind)
+        at = np.flatnonzero(ids == end)
+        head, final = (int(at[0]), int(at[-1])) if len(at) else (None, None)
+        row = (file, place // width, len(at), len(ids), head, final, (np.diff(at) - 1).tolist())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
-    names = ["file", "block", "n", "size", "head", "final", "gaps"]
+    def search_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, place, content in zip(*(batch.column(c) for c in ("file", "at", "content")), strict=True):
+                yield searched(file.as_py(), place.as_py(), content.as_buffer())
+
+    names = ["file", "start", "n", "size", "head", "final", "gaps"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     if ranged:
-        numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))
-        files = files.select("file", "length", F.explode(numbers).alias("block")).repartition(partitions(spark), "file", "block")
-    found = files.mapInArrow(search, "file string, block long, n long, size long, head long, final long, gaps array<long>")
+        places = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))
+        files = files.select("file", "length", F.explode(places).alias("at")).repartition(partitions(spark), "file", "at")
+    schema = "file string, start long, n long, size long, head long, final long, gaps array<long>"
+    found = files.mapInArrow(search, schema)
+    for file, length in large:
+        found = found.unionAll(_stretches(spark, file, length, width, step).mapInArrow(search_stretches, schema))
     # The prefix scan needs the blocks' sums only: gaps stay out of it.
     found = Scratch(spark, "scan").write(found, "blocks")
-    start = F.col("block") * block
+    start = F.col("start")
     ends = found.groupBy("file").agg((F.max(start + F.col("size")) - 1).alias("stop"), F.coalesce(F.max(start + F.col("final")), F.lit(-1)).alias("closed"))
     if cut := ends.where("stop <> closed").select("file").first():
         raise ValueError(f"{cut['file']} does not end with a separator")
-    before = W.Window.partitionBy("file").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
+    before = W.Window.partitionBy("file").orderBy("start").rowsBetween(W.Window.unboundedPreceding, -1)
     every = W.Window.partitionBy("file")
     stitched = (
         found.drop("gaps")
@@ -169,10 +236,10 @@ def scan_flat(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, width:
         .withColumn("carried", start - 1 - F.coalesce(F.max(start + F.col("final")).over(before), F.lit(-1)))
         .withColumn("documents", F.sum("n").over(every))
         .where("n > 0")
-        .select("file", "block", "documents_before", "documents", (F.col("head") + F.col("carried")).alias("first"))
+        .select("file", "start", "documents_before", "documents", (F.col("head") + F.col("carried")).alias("first"))
     )
     lengths = F.concat(F.array("first"), F.col("gaps"))
-    whole = stitched.join(found.where("n > 0").select("file", "block", "gaps"), ["file", "block"])
+    whole = stitched.join(found.where("n > 0").select("file", "start", "gaps"), ["file", "start"])
     return whole.select("file", "documents_before", "documents", F.posexplode(lengths).alias("k", "n_tokens")).select(
         "file",
         (F.col("documents_before") + F.col("k")).alias("ordinal"),
@@ -181,25 +248,55 @@ def scan_flat(spark: SparkSession, path: str, end: int = END_OF_DOCUMENT, width:
     )
 
 
+def _listed(file: str, length: int, end: int, width: int, tail: bytes) -> int:
+    """How many ids a roster has, by the digits before the file's last separator."""
+    stop = length - width - DIGITS * width
+    listed = roster_ids(np.frombuffer(tail, KINDS[width]), end)[0] if stop >= 0 else -1
+    if listed is None or not 0 <= listed <= stop // (DIGITS * width):
+        raise ValueError(f"{file}: its roster does not fit")
+    return listed
+
+
+def _large_roster(spark: SparkSession, file: str, length: int, id_col: str, end: int, width: int, block: int) -> DataFrame:
+    """The roster of a file that is read as records: one task joins the stretches that the roster is in."""
+    size = DIGITS * width
+    stop = length - width - size
+    last = F.col("at") + F.octet_length("content")
+
+    stretches = _stretches(spark, file, length, width, block * width)
+    ends = stretches.where(last > stop).orderBy("at").collect()
+    listed = _listed(file, length, end, width, b"".join(bytes(x["content"]) for x in ends)[-width - size :][:size])
+    start = stop - listed * size
+
+    def ids(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at")
+        content = b"".join(map(bytes, frame["content"]))[start - int(frame["at"].iloc[0]) :][: listed * size]
+        found = roster_ids(np.frombuffer(content, KINDS[width]), end)
+        return pd.DataFrame({"file": file, "ordinal": range(listed), id_col: pd.array(found, "Int64"), "listed": listed})
+
+    return stretches.where((last > start) & (F.col("at") < stop)).groupBy("file").applyInPandas(ids, f"file string, ordinal long, `{id_col}` long, listed long")
+
+
 def read_rosters(spark: SparkSession, path: str, id_col: str, end: int = END_OF_DOCUMENT, width: int = 2, block: int = BLOCK) -> DataFrame:
     """(file, ordinal, id, listed) from the rosters, which are found from the files' ends."""
     kind, size = KINDS[width], DIGITS * width
-    files, _ = _files(spark, path)
+    files, large = _large(*_files(spark, path))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, file, length, read in _opened(batch):
                 stop = length - width - size
-                listed = roster_ids(np.frombuffer(read(stop, size), kind), end)[0] if stop >= 0 else -1
-                if not 0 <= listed <= stop // size:
-                    raise ValueError(f"{file}: its roster does not fit")
+                listed = _listed(file, length, end, width, read(stop, size) if stop >= 0 else b"")
                 for at in range(0, listed, block):
                     n = min(block, listed - at)
                     found = roster_ids(np.frombuffer(read(stop - (listed - at) * size, n * size), kind), end)
                     columns = [pa.array([file] * n), pa.array(range(at, at + n), pa.int64()), pa.array(found, pa.int64()), pa.array([listed] * n, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=["file", "ordinal", id_col, "listed"])
 
-    return files.repartition(partitions(spark), "file").mapInArrow(ids, f"file string, ordinal long, `{id_col}` long, listed long")
+    found = files.repartition(partitions(spark), "file").mapInArrow(ids, f"file string, ordinal long, `{id_col}` long, listed long")
+    for file, length in large:
+        found = found.unionAll(_large_roster(spark, file, length, id_col, end, width, block))
+    return found
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -86,6 +86,47 @@ def test_stores_that_only_spark_reads(spark, monkeypatch):
     assert [r["n_tokens"] for r in got] == [100, 0, 300, 3]
 
 
+def test_record_lengths():
+    assert separators._record_bytes(1200, 2, 100) == 100
+    assert separators._record_bytes(2 * 101, 2, 100) == 2
+    assert separators._record_bytes(12, 4, 100) == 12
+
+
+def test_large_files_that_only_spark_reads(spark, encode, monkeypatch):
+    """Files above the bound are read as records through Hadoop, with their rosters, beside smaller ones that are read whole."""
+    rng = random.Random(3)
+    rows = [(None if i == 70 else i, " ".join(rng.choice(["alpha", "beta", "x"]) for _ in range(rng.choice([0, 1, 5, 60])))) for i in range(90)]
+    path = Scratch(spark, "test_separators").path("large")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    separators.write_flat(docs.where("doc_id < 5").coalesce(1), path)
+    more = Scratch(spark, "test_separators").path("more")
+    separators.write_flat(docs.where("doc_id >= 5 or doc_id is null").coalesce(2), more)
+    for file in Path(more.removeprefix("file:")).glob("part-*"):
+        file.rename(Path(path.removeprefix("file:")) / f"part-more-{file.name}")
+    monkeypatch.setattr(separators, "_reachable", lambda file: False)
+    monkeypatch.setattr(separators, "WHOLE", 400)
+    assert len(separators._large(*separators._files(spark, path))[1]) == 2
+    for block in (16, 1 << 20):
+        counts = separators.scan_flat(spark, path, block=block).where("not last")
+        got = counts.join(separators.read_rosters(spark, path, "doc_id", block=block), ["file", "ordinal"])
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in got.collect()) == sorted((-1 if i is None else i, len(encode(t))) for i, t in rows)
+
+
+@pytest.mark.parametrize("content", [b"ab" * 50, b"ab" * 5 + END + b"a", b"ab" * 9 + END + END + b"ab" * 3])
+def test_large_files_that_end_early_are_told(spark, monkeypatch, content):
+    monkeypatch.setattr(separators, "_reachable", lambda file: False)
+    monkeypatch.setattr(separators, "WHOLE", 4)
+    path = files_of(spark, b"ab" * 7 + END, content)
+    with pytest.raises(Exception, match="does not end with a separator"):
+        separators.scan_flat(spark, path, block=4).collect()
+
+
+def test_names_of_stores():
+    assert separators.SCHEMES["s3a"] == "s3"
+    assert separators._reachable("file:/etc/hostname") and not separators._reachable("file:/no/such/file")
+    assert not separators._reachable("unknown-store://a/b")
+
+
 def test_ids_that_do_not_fit(spark, odd_documents, tmp_path):
     wide = tmp_path / "wide.tiktoken"
     wide.write_bytes(b"YQ== 0\nYg== 70000\n")

@@ -10,21 +10,72 @@ from pyspark.sql import window as W
 
 #: Bins of a level are so many times as wide as those of the level below.
 STEP = 64
-#: Levels of bins; a range longer than the widest bin is met by every point, dealt over SALTS parts.
+#: Levels of bins; ranges longer than the widest bin share one that every point is in.
 LEVELS = 9
-SALTS = 64
 #: Bins are numbered up to here in either direction; what lies further out shares the last one.
 LAST_BIN = float(2**62)
-
-
-def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:
+#: Rows of either side in a cell, the piece of a group that one task compares, and most tasks asked for.
+LEFTS, RIGHTS, TASKS = 1 << 14, 1 << 13, 4096
+#: Rows of a class that stand in one array: Spark holds the pairs of two arrays at a time.
+CLASS = 64
+
+
+def _classes(df: DataFrame, by: list[str], keys: list[str], out: str) -> tuple[DataFrame, list[Column]]:
+    """Rows of a cell that are alike in ``keys`` as arrays ``out`` of at most CLASS of them, and the columns to select once these are exploded."""
+    rest = [c for c in df.columns if c not in by and c not in keys]
+    # A column by itself is taken out of its structs only now: collect_list leaves out nulls.
+    held, one = F.struct(*rest or [F.lit(0)]), len(rest) == 1
+    pieces = F.transform(F.sequence(F.lit(1), F.size(out), F.lit(CLASS)), lambda at: F.slice(out, at, CLASS))
+    grouped = df.groupBy(*by, *keys).agg(F.collect_list(held).alias(out)).withColumn(out, F.col(out)[rest[0]] if one else F.col(out))
+    columns = [F.col(c) if c in keys else F.col(out).alias(c) if one else F.col(out)[c].alias(c) for c in df.columns if c not in by]
+    return grouped.withColumn(out, F.explode(pieces)), columns
+
+
+def cell_join(left: DataFrame, right: DataFrame, by: list[str], condition: Column, left_keys: list[str], right_keys: list[str], lefts: int = LEFTS, rights: int = RIGHTS) -> DataFrame:
+    """Pairs with equal ``by`` (numbers, never null) for which a condition on the sides' keys holds, however many rows a group has.
+
+    A group with more than ``lefts`` or ``rights`` rows is cut into parts on both sides, each part of one side meets each of the other
+    in a cell, and cells are dealt to tasks. So no task compares more than its cells, a cell's right rows are what is held in memory, and each row is
+    sent once for each part of the other side. In a cell rows with equal keys are compared once and then paired. The groups cut, at most one
+    for so many rows, are listed when the join is built. Rows are dealt by their hash: those alike in all columns stay together.
+    """
+    n, m = (df.groupBy(*by).agg(F.count(F.lit(1)).alias(c)) for df, c in ((left, "__n"), (right, "__m")))
+    met = n.join(m, by).where((F.col("__n") > lefts) | (F.col("__m") > rights))
+    parts = met.select(*by, F.ceil(F.col("__n") / lefts).cast("int").alias("__parts"), F.ceil(F.col("__m") / rights).cast("int").alias("__across")).collect()
+    if not parts:
+        return left.join(right, by).where(condition).drop(*by)
+    spark = left.sparkSession
+    listed = F.broadcast(spark.createDataFrame(parts, left.select(*by, F.lit(1).alias("__parts"), F.lit(1).alias("__across")).schema))
+    tasks = min(TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["__parts"] * r["__across"] for r in parts)))
+    cell = [*by, "__row", "__column"]
+
+    def dealt(df: DataFrame, own: str, of: str, other: str, others: str) -> DataFrame:
+        hashed = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+        part = F.pmod(F.xxhash64(*hashed), F.coalesce(of, F.lit(1))).cast("int")
+        out = df.join(listed, by, "left").withColumn(own, part).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)))
+        return out.drop("__parts", "__across").repartition(tasks, *cell)
+
+    a, of_left = _classes(dealt(left, "__row", "__parts", "__column", "__across"), cell, left_keys, "__left")
+    b, of_right = _classes(dealt(right, "__column", "__across", "__row", "__parts"), cell, right_keys, "__right")
+    found = a.join(b.hint("shuffle_hash"), cell).where(condition)
+    found = found.withColumn("__left", F.explode("__left")).withColumn("__right", F.explode("__right"))
+    return found.select(*of_left, *of_right)
+
+
+def theta_join(left: DataFrame, right: DataFrame, condition: Column, left_keys: list[str], right_keys: list[str], lefts: int = LEFTS, rights: int = RIGHTS) -> DataFrame:
+    """Pairs for which any condition on the sides' keys holds: all keys are compared, in cells that tasks share out."""
+    whole = lambda df: df.withColumn("__all", F.lit(0))
+    return cell_join(whole(left), whole(right), ["__all"], condition, left_keys, right_keys, lefts, rights)
+
+
+def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: float, lefts: int = LEFTS, rights: int = RIGHTS) -> DataFrame:
     """Rows where ``low <= point <= high`` (numbers), by bins instead of a nested loop.
 
     Bins come in levels, each STEP times as wide as the one below, from ``width`` on. A range is listed at the
     first level whose bins are as long as it, where it touches two or three; a point is listed once at
     each level that some range uses, so each pair meets once and no range of any length, endless ones included, has more than
-    SALTS rows. The levels in use, at most LEVELS + 1 numbers, are asked for when the join is built. ``width`` should be about a usual
-    range's length.
+    three rows. The levels in use, at most LEVELS + 1 numbers, are asked for when the join is built. Bins with very many rows are
+    cut into cells. ``width`` should be about a usual range's length.
     Null points and bounds, and ranges whose bounds are crossed, match nothing; NaN is larger than every number.
     """
     sizes = [float(width) * STEP**n for n in range(LEVELS)]
@@ -36,12 +87,11 @@ def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high:
     used = sorted(r["__level"] for r in b.select("__level").distinct().collect()) or [0]
     size = F.get(F.array(*map(F.lit, sizes)), F.col("__level"))
     touched = F.when(F.col("__level") < LEVELS, F.sequence(place(low, size), place(high, size)))
-    b = b.withColumn("__bin", F.explode(F.coalesce(touched, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))))
-    hashed = [c for c in points.columns if "map<" not in points.schema[c].dataType.simpleString()]
-    spots = [F.struct(F.lit(n).alias("level"), (place(point, F.lit(sizes[n])) if n < LEVELS else F.pmod(F.xxhash64(*hashed), F.lit(SALTS))).alias("bin")) for n in used]
+    b = b.withColumn("__bin", F.explode(F.coalesce(touched, F.array(F.lit(0).cast("long")))))
+    spots = [F.struct(F.lit(n).alias("level"), (place(point, F.lit(sizes[n])) if n < LEVELS else F.lit(0).cast("long")).alias("bin")) for n in used]
     a = points.where(F.col(point).isNotNull()).withColumn("__spot", F.explode(F.array(*spots)))
     a = a.withColumns({"__level": F.col("__spot.level"), "__bin": F.col("__spot.bin")}).drop("__spot")
-    return a.join(b, ["__level", "__bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__level", "__bin")
+    return cell_join(a, b, ["__level", "__bin"], F.col(point).between(F.col(low), F.col(high)), [point], [low, high], lefts, rights)
 
 
 def seconds_of(df: DataFrame, name: str) -> Column:

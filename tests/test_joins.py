@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import asof_join, interval_join, range_join
+from millrace.operators.joins import asof_join, interval_join, range_join, theta_join
 
 
 def test_range_join(spark):
@@ -93,3 +93,24 @@ def test_interval_join(spark):
     want = sorted((i, j) for k, i, t in a for q, j, u in b if k == q and t - 120 <= u <= t)
     assert sorted((r["i"], r["j"]) for r in got.collect()) == want
     assert interval_join(left, right.where("false"), "k", "t", "u", "2 hours").count() == 0
+
+
+def test_range_join_cuts_crowded_bins_into_cells(spark):
+    """Every bin and the endless level are cut on both sides; nulls beside the keys, equal keys, rows repeated."""
+    random.seed(9)
+    points = [(i, None if i % 7 == 0 else f"p{i % 5}", random.choice([None, round(random.uniform(-9, 9), 1), float("inf")])) for i in range(300)] * 2
+    ranges = [(i if i % 6 else None, a, a + random.choice([0, 0.5, 3, 40, float("inf")])) for i, a in enumerate(round(random.uniform(-9, 9)) * 1.0 for _ in range(90))]
+    a, b = spark.createDataFrame(points, "p long, s string, x double"), spark.createDataFrame(ranges, "r long, a double, b double")
+    for lefts, rights in ((10, 7), (1, 1000), (1000, 3)):
+        got = range_join(a, "x", b, "a", "b", 4, lefts, rights)
+        assert got.columns == ["p", "s", "x", "r", "a", "b"]
+        want = sorted(repr((*p, *r)) for p in points for r in ranges if p[2] is not None and r[1] <= p[2] <= r[2])
+        assert sorted(repr(tuple(r)) for r in got.collect()) == want
+
+
+def test_range_join_of_one_crowded_bin_is_shared_out(spark):
+    """The bin's points stand in one file, as a table's single row group does."""
+    a = spark.range(0, 40_000, 1, 1).select(F.col("id").alias("p"), (F.col("id") % 8).alias("x"))
+    got = range_join(a, "x", spark.createDataFrame([(0, 1, 2), (1, 3, 3)], "r long, a long, b long"), "a", "b", 10)
+    assert got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 1
+    assert {r["r"]: r["count"] for r in got.groupBy("r").count().collect()} == {0: 10_000, 1: 5_000}

@@ -40,10 +40,12 @@ def cell_join(left: DataFrame, right: DataFrame, by: list[str], condition: Colum
     for so many rows, are listed when the join is built. Rows are dealt by their hash: those alike in all columns stay together.
     """
     n, m = (df.groupBy(*by).agg(F.count(F.lit(1)).alias(c)) for df, c in ((left, "__n"), (right, "__m")))
-    met = n.join(m, by).where((F.col("__n") > lefts) | (F.col("__m") > rights))
+    # Without a key all rows are one group. A constant in its place would be optimised away, and with it the cells' partitioning.
+    beside = lambda a, b, how="inner": a.join(b, by, how) if by else a.crossJoin(b)
+    met = beside(n, m).where((F.col("__n") > lefts) | (F.col("__m") > rights))
     parts = met.select(*by, F.ceil(F.col("__n") / lefts).cast("int").alias("__parts"), F.ceil(F.col("__m") / rights).cast("int").alias("__across")).collect()
     if not parts:
-        return left.join(right, by).where(condition).drop(*by)
+        return beside(left, right).where(condition).drop(*by)
     spark = left.sparkSession
     listed = F.broadcast(spark.createDataFrame(parts, left.select(*by, F.lit(1).alias("__parts"), F.lit(1).alias("__across")).schema))
     tasks = min(TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["__parts"] * r["__across"] for r in parts)))
@@ -52,7 +54,7 @@ def cell_join(left: DataFrame, right: DataFrame, by: list[str], condition: Colum
     def dealt(df: DataFrame, own: str, of: str, other: str, others: str) -> DataFrame:
         hashed = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
         part = F.pmod(F.xxhash64(*hashed), F.coalesce(of, F.lit(1))).cast("int")
-        out = df.join(listed, by, "left").withColumn(own, part).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)))
+        out = beside(df, listed, "left").withColumn(own, part).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)))
         return out.drop("__parts", "__across").repartition(tasks, *cell)
 
     a, of_left = _classes(dealt(left, "__row", "__parts", "__column", "__across"), cell, left_keys, "__left")
@@ -64,8 +66,7 @@ def cell_join(left: DataFrame, right: DataFrame, by: list[str], condition: Colum
 
 def theta_join(left: DataFrame, right: DataFrame, condition: Column, left_keys: list[str], right_keys: list[str], lefts: int = LEFTS, rights: int = RIGHTS) -> DataFrame:
     """Pairs for which any condition on the sides' keys holds: all keys are compared, in cells that tasks share out."""
-    whole = lambda df: df.withColumn("__all", F.lit(0))
-    return cell_join(whole(left), whole(right), ["__all"], condition, left_keys, right_keys, lefts, rights)
+    return cell_join(left, right, [], condition, left_keys, right_keys, lefts, rights)
 
 
 def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: float, lefts: int = LEFTS, rights: int = RIGHTS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import asof_join, interval_join, range_join
+from millrace.operators.joins import asof_join, interval_join, range_join, theta_join
 from millrace.sql import both
 from millrace.session import table
 
@@ -79,17 +79,21 @@ QUERIES, ORACLES = both({
 ORACLES["filter_conj"] = ORACLES["filter_conj"].replace("TIMESTAMP_NTZ", "TIMESTAMP ")
 
 
-def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts priced within five of a small part, by a plain condition (a nested loop)."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
+def _near_small(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, sf_dir, "part")
     few = part.where("p_size = 1").select(F.col("p_partkey").alias("near"), (F.col("p_retailprice") - 5).alias("low"), (F.col("p_retailprice") + 5).alias("high"))
-    return part.join(few, F.col("p_retailprice").between(F.col("low"), F.col("high"))).select("p_partkey", "near")
+    return part.select("p_partkey", "p_retailprice"), few
+
+
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts priced within five of a small part, by a plain condition: all prices are compared."""
+    part, few = _near_small(spark, sf_dir)
+    return theta_join(part, few, F.col("p_retailprice").between(F.col("low"), F.col("high")), ["p_retailprice"], ["low", "high"]).select("p_partkey", "near")
 
 
 def join_range_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs by bins."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
-    few = part.where("p_size = 1").select(F.col("p_partkey").alias("near"), (F.col("p_retailprice") - 5).alias("low"), (F.col("p_retailprice") + 5).alias("high"))
+    part, few = _near_small(spark, sf_dir)
     return range_join(part, "p_retailprice", few, "low", "high", 10).select("p_partkey", "near")
 
 

@@ -114,3 +114,44 @@ def test_range_join_of_one_crowded_bin_is_shared_out(spark):
     got = range_join(a, "x", spark.createDataFrame([(0, 1, 2), (1, 3, 3)], "r long, a long, b long"), "a", "b", 10)
     assert got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 1
     assert {r["r"]: r["count"] for r in got.groupBy("r").count().collect()} == {0: 10_000, 1: 5_000}
+
+
+def test_theta_join_in_cells(spark):
+    """All pairs are compared, cut into cells or not, whatever the condition; null keys match as the condition says."""
+    random.seed(10)
+    left = [(i, random.choice([None, 1, 2, 5, 9])) for i in range(90)]
+    right = [(i, random.choice([None, 0, 3, 7])) for i in range(50)]
+    a, b = spark.createDataFrame(left, "i long, x long"), spark.createDataFrame(right, "j long, y long")
+    for cut in ((8, 7), (1000, 1000)):
+        got = theta_join(a, b, F.col("x") < F.col("y"), ["x"], ["y"], *cut)
+        assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted((i, j) for i, x in left for j, y in right if None not in (x, y) and x < y)
+        either = theta_join(a, b, F.coalesce(F.col("x") < F.col("y"), F.lit(True)), ["x"], ["y"], *cut)
+        assert sorted((r["i"], r["j"]) for r in either.collect()) == sorted((i, j) for i, x in left for j, y in right if None in (x, y) or x < y)
+
+
+def _many_parts(spark, tmp_path):
+    """The part table forty times over, in one file of one row group."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    one = pq.read_table("/root/testdata/sf0.01/part.parquet")
+    copies = [one.set_column(0, one.schema.field(0), pc.add(one.column(0), i * one.num_rows)) for i in range(40)]
+    pq.write_table(pa.concat_tables(copies), tmp_path / "part.parquet")
+
+
+def _shared_out(spark, tmp_path, name):
+    from millrace.plans import ORACLES, QUERIES
+
+    _many_parts(spark, tmp_path)
+    got, con = QUERIES[name](spark, str(tmp_path)), __import__("duckdb").connect()
+    assert got.rdd.getNumPartitions() > 1
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    sums = lambda a, b: f"count(*), sum({a}), sum({b}), sum(({a} % 1009) * ({b} % 1013))"
+    a, b = got.columns
+    want = con.execute(f"select {sums(a, b)} from ({ORACLES[name]})").fetchone()
+    assert tuple(int(x) for x in got.selectExpr(*sums(a, b).split(", ")).first()) == tuple(int(x) for x in want)
+
+
+def test_join_range_is_shared_out(spark, tmp_path):
+    _shared_out(spark, tmp_path, "join_range")

@@ -52,7 +52,6 @@ QUERIES, ORACLES = both({
         UNION ALL SELECT 'null asked', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM {nation} WHERE nullif(n_nationkey, 24) NOT IN (SELECT s_nationkey FROM {supplier} WHERE s_nationkey < 12)
         UNION ALL SELECT 'empty list', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM {nation} WHERE nullif(n_nationkey, 24) NOT IN (SELECT s_nationkey FROM {supplier} WHERE s_nationkey < 0)""",
     "join_cross": """SELECT r_name, n_name FROM {region} CROSS JOIN {nation}""",
-    "join_theta": """SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT * FROM {part} WHERE p_size > 48) a JOIN (SELECT * FROM {part} WHERE p_size < 3) b ON a.p_retailprice < b.p_retailprice - 3""",
     "join_star": """SELECT r_name, c_mktsegment, count(*) AS n, round(sum(l_extendedprice), 2) AS price
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
         JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name, c_mktsegment""",
@@ -97,6 +96,14 @@ def join_range_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(part, "p_retailprice", few, "low", "high", 10).select("p_partkey", "near")
 
 
+def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large parts cheaper, by more than three, than small ones."""
+    part = table(spark, sf_dir, "part")
+    a = part.where("p_size > 48").select(F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("price"))
+    b = part.where("p_size < 3").select(F.col("p_partkey").alias("b"), (F.col("p_retailprice") - 3).alias("below"))
+    return theta_join(a, b, F.col("price") < F.col("below"), ["price"], ["below"]).select("a", "b")
+
+
 def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each purchase with its user's latest view at or before it."""
     events = table(spark, sf_dir, "events")
@@ -115,8 +122,9 @@ def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RANGE = """SELECT a.p_partkey, b.p_partkey AS near FROM part a JOIN part b
 ON b.p_size = 1 AND a.p_retailprice BETWEEN b.p_retailprice - 5 AND b.p_retailprice + 5"""
-QUERIES |= {"join_range": join_range, "join_range_binned": join_range_binned, "join_asof": join_asof, "join_interval": join_interval}
+QUERIES |= {"join_theta": join_theta, "join_range": join_range, "join_range_binned": join_range_binned, "join_asof": join_asof, "join_interval": join_interval}
 ORACLES |= {
+    "join_theta": """SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT * FROM part WHERE p_size > 48) a JOIN (SELECT * FROM part WHERE p_size < 3) b ON a.p_retailprice < b.p_retailprice - 3""",
     "join_range": _RANGE,
     "join_range_binned": _RANGE,
     "join_asof": """SELECT p.event_id, p.user_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p

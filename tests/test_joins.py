@@ -74,7 +74,7 @@ def test_asof_join_where_a_clock_is_put_forward(spark):
 def test_asof_join(spark):
     random.seed(5)
     left = [(i, random.choice("abc"), random.randint(0, 20)) for i in range(60)]
-    right = [(100 + i, random.choice("ab"), random.randint(0, 20)) for i in range(40)]
+    right = [(100 + i, random.choice("ab"), random.randint(0, 20)) for i in range(times)]
     got = asof_join(spark.createDataFrame(left, "id long, k string, t int"), spark.createDataFrame(right, "rid long, k string, t int"), ["k"], "t", {"found": "rid"}, "rid")
     for row in got.collect():
         known = [(t, r) for r, k, t in right if k == row["k"] and t <= row["t"]]
@@ -129,21 +129,21 @@ def test_theta_join_in_cells(spark):
         assert sorted((r["i"], r["j"]) for r in either.collect()) == sorted((i, j) for i, x in left for j, y in right if None in (x, y) or x < y)
 
 
-def _many_parts(spark, tmp_path):
-    """The part table forty times over, in one file of one row group."""
+def _many_parts(tmp_path, times):
+    """The part table so many times over, in one file of one row group."""
     import pyarrow as pa
     import pyarrow.compute as pc
     import pyarrow.parquet as pq
 
     one = pq.read_table("/root/testdata/sf0.01/part.parquet")
-    copies = [one.set_column(0, one.schema.field(0), pc.add(one.column(0), i * one.num_rows)) for i in range(40)]
+    copies = [one.set_column(0, one.schema.field(0), pc.add(one.column(0), i * one.num_rows)) for i in range(times)]
     pq.write_table(pa.concat_tables(copies), tmp_path / "part.parquet")
 
 
-def _shared_out(spark, tmp_path, name):
+def _shared_out(spark, tmp_path, name, times):
     from millrace.plans import ORACLES, QUERIES
 
-    _many_parts(spark, tmp_path)
+    _many_parts(tmp_path, times)
     got, con = QUERIES[name](spark, str(tmp_path)), __import__("duckdb").connect()
     assert got.rdd.getNumPartitions() > 1
     con.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
@@ -154,4 +154,8 @@ def _shared_out(spark, tmp_path, name):
 
 
 def test_join_range_is_shared_out(spark, tmp_path):
-    _shared_out(spark, tmp_path, "join_range")
+    _shared_out(spark, tmp_path, "join_range", 40)
+
+
+def test_join_theta_is_shared_out(spark, tmp_path):
+    _shared_out(spark, tmp_path, "join_theta", 100)

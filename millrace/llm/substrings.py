@@ -34,6 +34,7 @@ from math import ceil
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -201,11 +202,14 @@ class Places:
         self.chunks = pa.array([c for _, c in numbers], pa.int32())
 
 
-def _marked(rows: DataFrame, recurring: np.ndarray, bits: int, only: np.ndarray | None, schema: str, made, places: Places | None = None) -> DataFrame:
-    """What ``made(ids, rows, hashes, places of the windows, common ones)`` gives for windows whose anchor is in the bitmap."""
+def _marked(rows: DataFrame, recurring: np.ndarray, bits: int, only: np.ndarray | None, schema: str, made, places: Places | None = None, fold=None) -> DataFrame:
+    """What ``made(ids, rows, hashes, places of the windows, common ones)`` gives for windows whose anchor is in the bitmap, put through ``fold`` if there is one."""
     shared = rows.sparkSession.sparkContext.broadcast((recurring, only, places))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fold(each(batches)) if fold else each(batches)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (marks, only, places), shift = shared.value, np.uint64(64 - bits)
         for batch in batches:
             for start, texts in _batches(batch.column("text")):
@@ -221,7 +225,41 @@ def _marked(rows: DataFrame, recurring: np.ndarray, bits: int, only: np.ndarray
 
 
 def _spots(ids: pa.Array, row: np.ndarray, hashes: np.ndarray, at: np.ndarray, places: Places | None) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids.take(pa.array(row)), pa.array(at)], names=["window", "id", "at"])
+    doc = ids.take(pa.array(row))
+    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), doc, pa.array(at), doc, pa.array(np.ones(len(row), np.int64))], names=["window", "id", "at", "last", "n"])
+
+
+def _folded(table: pa.Table) -> pa.Table:
+    """One row a window: its first place, its largest document and the count of its places."""
+    table = table.combine_chunks()
+    known = pa.chunked_array([table.column("id").combine_chunks(), table.column("last").combine_chunks()]).unique().sort()
+    code = lambda c: pc.index_in(table.column(c), known).to_numpy().astype(np.int64)
+    window, at = table.column("window").to_numpy(), table.column("at").to_numpy()
+    first, last = code("id"), code("last")
+    order = np.lexsort((at, first, window))
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(window[order]) != 0)))
+    keep = pa.array(order[starts])
+    most = pa.array(np.maximum.reduceat(last[order], starts))
+    n = pa.array(np.add.reduceat(table.column("n").to_numpy()[order], starts))
+    return pa.table([*(table.column(c).take(keep) for c in ("window", "id", "at")), known.take(most), n], names=table.column_names)
+
+
+def _fold(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Rows of one window are put together as a task meets them, so what many documents hold is handed out once; about ``most`` rows are held."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= most:
+            table = _folded(pa.Table.from_batches(held))
+            if table.num_rows > most // 2:
+                yield from table.to_batches()
+                held, size = [], 0
+            else:
+                held, size = table.to_batches(), table.num_rows
+    if held:
+        yield from _folded(pa.Table.from_batches(held)).to_batches()
 
 
 def _spots_and_routes(ids: pa.Array, row: np.ndarray, hashes: np.ndarray, at: np.ndarray, places: Places) -> Iterator[pa.RecordBatch]:
@@ -246,8 +284,8 @@ def occurrences(rows: DataFrame, recurring: np.ndarray, bits: int, places: Place
 
 def common_windows(rows: DataFrame, recurring: DataFrame, marks: np.ndarray, bits: int, scratch: Scratch) -> pa.Table:
     """(window, id, at): the first places of the windows that are in most places and in two documents."""
-    spots = _marked(rows, marks, bits, common_anchors(recurring), "window long, id {0}, at int", _spots)
-    first = spots.groupBy("window").agg(F.min(F.struct("id", "at")).alias("place"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    spots = _marked(rows, marks, bits, common_anchors(recurring), "window long, id {0}, at int, last {0}, n long", _spots, fold=_fold)
+    first = spots.groupBy("window").agg(F.min(F.struct("id", "at")).alias("place"), F.max("last").alias("last"), F.sum("n").alias("n"))
     counted = scratch.write(first, "counted")
     return counted.where(_is_common(counted) & (F.col("place.id") < F.col("last"))).select("window", "place.id", "place.at").toArrow()
 

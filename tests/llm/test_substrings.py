@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from differential import connect, differences
 from prose import prose
@@ -158,3 +159,28 @@ def test_an_id_with_a_copy_and_another_text(spark):
     a, b, c = (prose(rng, n=60) for _ in range(3))
     rows = [(0, a), (1, b), (2, b), (2, f"{c} {' '.join(a.split()[10:40])}")]
     assert run(spark, spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_a_task_hands_out_a_window_of_many_documents_once(kind):
+    """Places, largest documents and counts are those of all rows, however few are held at a time."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(50), kind(rng.randrange(30)), rng.randrange(9)) for _ in range(3000)]
+
+    def batches():
+        for i in range(0, len(rows), 37):
+            w, d, a = (pa.array(x, t) for x, t in zip(zip(*rows[i : i + 37], strict=True), (pa.int64(), None, pa.int32()), strict=True))
+            yield pa.RecordBatch.from_arrays([w, d, a, d, pa.array([1] * len(w), pa.int64())], names=["window", "id", "at", "last", "n"])
+
+    want: dict = {}
+    for w, d, a in rows:
+        first, last, n = want.get(w, ((d, a), d, 0))
+        want[w] = (min(first, (d, a)), max(last, d), n + 1)
+    for most, handed_out in ((64, len(rows)), (200, 50), (1 << 18, 50)):
+        made = [r for b in substrings._fold(batches(), most) for r in b.to_pylist()]
+        assert len(made) <= handed_out
+        got: dict = {}
+        for r in made:
+            first, last, n = got.get(r["window"], ((r["id"], r["at"]), r["last"], 0))
+            got[r["window"]] = (min(first, (r["id"], r["at"])), max(last, r["last"]), n + r["n"])
+        assert got == want

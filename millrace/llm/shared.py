@@ -53,6 +53,10 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(label))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Delete all tables."""
+        self.drop(".")
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

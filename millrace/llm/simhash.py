@@ -406,9 +406,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bits by any of them does, and at least STAGE_RECALL of the others, whatever the size of the table); each link between them
     is told from both whole shingle sets. Documents that stay are not shuffled, but for those that a bitmap can't tell from others.
     """
-    scratch = Scratch(spark, "simhash-stage")
-    found = near_copies(docs, scratch, STAGE_BITS, STAGE_SIMILARITY)
+    scratch, search = Scratch(spark, "simhash-stage"), Scratch(spark, "simhash-search")
+    found = near_copies(docs, search, STAGE_BITS, STAGE_SIMILARITY)
     gone = scratch.write(found.where("not (id <=> name)").select(F.col("digest").alias("__gone"), F.col("id").alias("__id")), "gone")
+    search.clear()
     key = F.xxhash64(F.col("doc_id"), F.col("__digest"))
     marked = maybe_among(docs.withColumn("__digest", digest_of("text")).withColumn("__key", key), "__key", gone.select(F.xxhash64("__id", "__gone").alias("id")), scratch, "gone_ids")
     checked = marked.where("__maybe").join(gone, (F.col("__digest") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")

@@ -5,7 +5,8 @@ A window is ``WINDOW`` consecutive words. The steps:
 1. Anchors. Each window names the ``ANCHOR``-word phrase of least hash in it, so equal windows name equal
    phrases. Phrases named in two different texts are kept, as a bitmap of bounded size: it may let too many
    through but never too few.
-2. Confirmation. Windows whose anchor is in the bitmap are grouped by hash. A window of two or
+2. Confirmation. Windows whose anchor is in the bitmap are grouped by hash; they travel as one row for each
+   stretch with one anchor. A window of two or
    more documents recurs; its first place (smallest document, then position) is its source. The most common
    windows, found among those of anchors that step 1 counted most, get it before by a combined minimum; they are so few
    that their places are broadcast, and a document is routed once to each place's chunk, so no window fills a task.
@@ -202,29 +203,33 @@ class Places:
         self.chunks = pa.array([c for _, c in numbers], pa.int32())
 
 
-def _marked(rows: DataFrame, recurring: np.ndarray, bits: int, only: np.ndarray | None, schema: str, made, places: Places | None = None, fold=None) -> DataFrame:
-    """What ``made(ids, rows, hashes, places of the windows, common ones)`` gives for windows whose anchor is in the bitmap, put through ``fold`` if there is one."""
-    shared = rows.sparkSession.sparkContext.broadcast((recurring, only, places))
+def _marked(rows: DataFrame, recurring: np.ndarray, bits: int, common: np.ndarray, schema: str, made, places: Places | None = None, fold=None) -> DataFrame:
+    """What ``made`` gives for windows whose anchor is in the bitmap, put through ``fold`` if there is one.
+
+    It gets the batch's ids, the windows' rows, hashes, places, anchors and the anchors' places, the common anchors and the places of common windows.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((recurring, common, places))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fold(each(batches)) if fold else each(batches)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (marks, only, places), shift = shared.value, np.uint64(64 - bits)
+        (marks, common, places), shift = shared.value, np.uint64(64 - bits)
         for batch in batches:
             for start, texts in _batches(batch.column("text")):
                 for found in windows(texts):
                     at = found.anchor >> shift
                     kept = np.flatnonzero((marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
-                    if only is not None:
-                        kept = kept[np.isin(found.anchor[kept], only)]
-                    yield from made(batch.column("id"), start + found.row[kept], found.hash(WINDOW)[found.whole[kept]], found.at[kept].astype(np.int32), places)
+                    spots = (start + found.row[kept], found.hash(WINDOW)[found.whole[kept]], found.at[kept].astype(np.int32), found.anchor[kept], found.anchor_at[kept])
+                    yield from made(batch.column("id"), *spots, common, places)
 
     kept = rows.where("id is not null").select("id", "text")
     return kept.mapInArrow(trimmed(make), schema.format(kept.schema["id"].dataType.simpleString()))
 
 
-def _spots(ids: pa.Array, row: np.ndarray, hashes: np.ndarray, at: np.ndarray, places: Places | None) -> Iterator[pa.RecordBatch]:
+def _spots(ids: pa.Array, row: np.ndarray, hashes: np.ndarray, at: np.ndarray, anchor: np.ndarray, anchor_at: np.ndarray, common: np.ndarray, places: None) -> Iterator[pa.RecordBatch]:
+    kept = np.isin(anchor, common)
+    row, hashes, at = row[kept], hashes[kept], at[kept]
     doc = ids.take(pa.array(row))
     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), doc, pa.array(at), doc, pa.array(np.ones(len(row), np.int64))], names=["window", "id", "at", "last", "n"])
 
@@ -262,29 +267,46 @@ def _fold(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa
         yield from _folded(pa.Table.from_batches(held)).to_batches()
 
 
-def _spots_and_routes(ids: pa.Array, row: np.ndarray, hashes: np.ndarray, at: np.ndarray, places: Places) -> Iterator[pa.RecordBatch]:
-    names, here = ["window", "id", "at", "source", "chunk"], np.zeros(len(hashes), bool)
+def _spots_and_routes(
+    ids: pa.Array, row: np.ndarray, hashes: np.ndarray, at: np.ndarray, anchor: np.ndarray, anchor_at: np.ndarray, common: np.ndarray, places: Places
+) -> Iterator[pa.RecordBatch]:
+    names, here = ["deal", "id", "at", "windows", "source", "chunk"], np.zeros(len(hashes), bool)
     if len(places.hashes):
         found = np.minimum(np.searchsorted(places.hashes, hashes), len(places.hashes) - 1)
         here = places.hashes[found] == hashes
         groups = len(places.sources)
         pairs, part = np.unique(np.stack([row[here] * groups + places.group[found[here]], at[here] // PART]), axis=1)
         doc, group = ids.take(pa.array(pairs // groups)), pa.array(pairs % groups)
-        start = pa.array((part * PART).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), doc, start, places.sources.take(group), places.chunks.take(group)], names=names)
-    row, hashes, at = row[~here], hashes[~here], at[~here]
-    known = [pa.array(hashes.view(np.int64)), ids.take(pa.array(row)), pa.array(at)]
-    yield pa.RecordBatch.from_arrays([*known, pa.nulls(len(row), ids.type), pa.nulls(len(row), pa.int32())], names=names)
-
-
-def occurrences(rows: DataFrame, recurring: np.ndarray, bits: int, places: Places) -> DataFrame:
-    """Windows whose anchor is in the bitmap: (window, id, at) of each, or, of common ones, (id, at, source, chunk) once a part, ``at`` being its start."""
-    return _marked(rows, recurring, bits, None, "window long, id {0}, at int, source {0}, chunk int", _spots_and_routes, places)
+        start, none = pa.array((part * PART).astype(np.int32)), pa.array([[None]] * len(pairs), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int32()), doc, start, none, places.sources.take(group), places.chunks.take(group)], names=names)
+    row, hashes, at, anchor, anchor_at = row[~here], hashes[~here], at[~here], anchor[~here], anchor_at[~here]
+    if not len(row):
+        return
+    alone = np.isin(anchor, common)
+    # The anchor's place is one of the block, so it tells rows apart too.
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(anchor_at) != 0) | (np.diff(at) != 1) | alone[1:])))
+    deal = (np.where(alone, hashes, anchor)[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    held = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(hashes.view(np.int64)))
+    known = [pa.array(deal), ids.take(pa.array(row[first])), pa.array(at[first]), held]
+    yield pa.RecordBatch.from_arrays([*known, pa.nulls(len(first), ids.type), pa.nulls(len(first), pa.int32())], names=names)
+
+
+def occurrences(rows: DataFrame, recurring: np.ndarray, bits: int, common: np.ndarray, places: Places) -> DataFrame:
+    """(deal, window, id, at) of windows whose anchor is in the bitmap, or, of common ones, (id, at, source, chunk) once a part, ``at`` being its start.
+
+    Windows that follow one another and have the same anchor are shuffled as one row, dealt by the anchor, since equal windows
+    have equal anchors. Those of a common anchor go one by one and are dealt by their hash, so no anchor fills a task.
+    """
+    runs = _marked(rows, recurring, bits, common, "deal int, id {0}, at int, windows array<long>, source {0}, chunk int", _spots_and_routes, places)
+    # Common windows are routed already: their rows are dealt by document.
+    dealt = runs.withColumn("deal", F.coalesce("deal", F.hash("id"))).repartition("deal")
+    spots = dealt.select("deal", "id", "at", "source", "chunk", F.posexplode("windows").alias("nth", "window"))
+    return spots.withColumn("at", F.col("at") + F.col("nth")).withColumn("window", F.coalesce("window", F.xxhash64("id"))).drop("nth")
 
 
-def common_windows(rows: DataFrame, recurring: DataFrame, marks: np.ndarray, bits: int, scratch: Scratch) -> pa.Table:
+def common_windows(rows: DataFrame, common: np.ndarray, marks: np.ndarray, bits: int, scratch: Scratch) -> pa.Table:
     """(window, id, at): the first places of the windows that are in most places and in two documents."""
-    spots = _marked(rows, marks, bits, common_anchors(recurring), "window long, id {0}, at int, last {0}, n long", _spots, fold=_fold)
+    spots = _marked(rows, marks, bits, common, "window long, id {0}, at int, last {0}, n long", _spots, fold=_fold)
     first = spots.groupBy("window").agg(F.min(F.struct("id", "at")).alias("place"), F.max("last").alias("last"), F.sum("n").alias("n"))
     counted = scratch.write(first, "counted")
     return counted.where(_is_common(counted) & (F.col("place.id") < F.col("last"))).select("window", "place.id", "place.at").toArrow()
@@ -432,6 +454,7 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
     known = scratch.write(
         found.join(firsts, F.col("digest") == F.col("of"), "left").select("id", "key", "n_words", "digest", F.coalesce(copy, F.lit(False)).alias("copy")), "known"
     )
+    scratch.drop("profiles", "firsts")
 
     spread = anchors(rows).groupBy("phrase").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.count(F.lit(1)).alias("n"))
     recurring = scratch.write(spread.where("a <> b").select("phrase", "n"), "recurring")
@@ -440,11 +463,13 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
     array = np.zeros(1 << max(0, bits - 6), np.uint64)
     array[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
 
-    common = common_windows(rows, recurring, array, bits, scratch)
+    many = common_anchors(recurring)
+    scratch.drop("recurring")
+    common = common_windows(rows, many, array, bits, scratch)
+    scratch.drop("counted")
     table = docs.sparkSession.createDataFrame(common.select(["id", "at"]), T.StructType([rows.schema["id"], T.StructField("at", T.IntegerType())]))
-    # Common windows are routed already: their rows are dealt by document.
-    spots = occurrences(rows, array, bits, Places(common)).withColumn("window", F.coalesce("window", F.xxhash64("id")))
-    by, chunk = W.Window.partitionBy("window"), F.floor(F.col("at") / CHUNK).cast("int")
+    spots = occurrences(rows, array, bits, many, Places(common))
+    by, chunk = W.Window.partitionBy("deal", "window"), F.floor(F.col("at") / CHUNK).cast("int")
     spots = spots.withColumn("place", F.min(F.when(F.col("source").isNull(), F.struct("id", "at"))).over(by)).withColumn("last", F.max("id").over(by))
     routed = F.col("source").isNotNull()
     is_source = (F.col("id") == F.col("place.id")) & (F.col("at") == F.col("place.at"))
@@ -468,6 +493,7 @@ def find_runs(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, win
     # A source goes to all salts of its shard, up to the one named here.
     spread_sources = patterns.join(salts, "shard").select("id", "shard", (F.col("salts") - 1).alias("salt"), "part", "places")
     wanted = scratch.write(aimed.unionAll(spread_sources), "wanted")
+    scratch.drop("shared", "targets")
 
     texts = maybe_among(rows, "id", wanted.select("id").distinct(), scratch, "wanted_ids").where("__maybe").drop("__maybe")
     # A window has one source, so a document has no more of these than windows.
@@ -531,13 +557,14 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts that lose nothing stay as they are and aren't shuffled.
     """
-    scratch = Scratch(docs.sparkSession, "substrings")
-    known, runs = find_runs(docs, scratch, id_col, text_col)
+    scratch, search = Scratch(docs.sparkSession, "substrings"), Scratch(docs.sparkSession, "substrings-search")
+    known, runs = find_runs(docs, search, id_col, text_col)
     copies = known.where("copy").select("id", "key").distinct().withColumn("copy", F.lit(True))
     losses = scratch.write(
         copies.join(runs, ["id", "key"], "full").select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.coalesce("copy", F.lit(False)).alias("__copy"), F.col("runs").alias("__runs")),
         "losses",
     )
+    search.clear()
     flagged = maybe_among(docs, id_col, losses.select(F.col("__id").alias("id")).distinct(), scratch, "loss_ids")
 
     place = docs.columns.index(text_col)

@@ -1,12 +1,16 @@
 import hashlib
 import random
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from differential import connect, differences
 from prose import prose
+from pyspark.sql import functions as F
+from pyspark.sql import window
 
-from millrace.llm import substrings
+from millrace.llm import simhash, substrings
 
 SMALL = "/root/testdata/sf0.001"
 W = substrings.WINDOW
@@ -184,3 +188,43 @@ def test_a_task_hands_out_a_window_of_many_documents_once(kind):
             first, last, n = got.get(r["window"], ((r["id"], r["at"]), r["last"], 0))
             got[r["window"]] = (min(first, (r["id"], r["at"])), max(last, r["last"]), n + r["n"])
         assert got == want
+
+
+def test_windows_of_one_anchor_are_shuffled_as_one_row(spark):
+    """None is lost, and equal windows are dealt alike; those of a common anchor go one by one, each dealt by itself."""
+    rows = shared_passages()
+    docs = substrings._rows(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    blocks = list(substrings.windows([t.encode().split() for _, t in rows]))
+    want = sorted((int(h), rows[r][0], int(a)) for x in blocks for r, a, h in zip(x.row, x.at, x.hash(W)[x.whole].view(np.int64), strict=True))
+    everything, none = np.full(16, (1 << 64) - 1, np.uint64), np.empty(0, np.uint64)
+    places = substrings.Places(pa.table({"window": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "at": pa.array([], pa.int32())}))
+    for common, alone in ((none, False), (np.unique(np.concatenate([x.anchor for x in blocks])), True)):
+        spots = substrings.occurrences(docs, everything, 10, common, places)
+        got = spots.collect()
+        assert sorted((r["window"], r["id"], r["at"]) for r in got) == want
+        dealt = {(r["deal"], r["window"]) for r in got}
+        assert len(dealt) == len({w for _, w in dealt})
+        assert (len({d for d, _ in dealt}) == len(dealt)) == alone
+        sent = substrings._marked(docs, everything, 10, common, "deal int, id {0}, at int, windows array<long>, source {0}, chunk int", substrings._spots_and_routes, places)
+        assert sent.count() == len(want) if alone else sent.count() * 3 < len(want)
+        # Grouping by window takes no shuffle but that one.
+        least = spots.withColumn("least", F.min("id").over(window.Window.partitionBy("deal", "window")))
+        assert least._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_search_tables_are_dropped(spark, odd_documents, monkeypatch):
+    """What a stage hands on needs the tables of its losses only."""
+    made = []
+
+    class Watched(substrings.Scratch):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(Path(self.base.removeprefix("file://")))
+
+    monkeypatch.setattr(substrings, "Scratch", Watched)
+    monkeypatch.setattr(simhash, "Scratch", Watched)
+    for stage, left in ((substrings.stage, {"losses", "loss_ids"}), (simhash.stage, {"gone", "gone_ids"})):
+        made.clear()
+        rows = stage(spark, odd_documents, "").count()
+        assert rows > 0
+        assert {p.name for base in made if base.exists() for p in base.iterdir() if p.is_dir()} == left

@@ -17,7 +17,7 @@ LAST_BIN = float(2**62)
 #: Rows of either side in a cell, the piece of a group that one task compares, and most tasks asked for.
 LEFTS, RIGHTS, TASKS = 1 << 14, 1 << 13, 4096
 #: Rows of a class that stand in one array: Spark holds the pairs of two arrays at a time.
-CLASS = 64
+CLASS = 16
 
 
 def _classes(df: DataFrame, by: list[str], keys: list[str], out: str) -> tuple[DataFrame, list[Column]]:
@@ -35,7 +35,7 @@ def cell_join(left: DataFrame, right: DataFrame, by: list[str], condition: Colum
     """Pairs with equal ``by`` (numbers, never null) for which a condition on the sides' keys holds, however many rows a group has.
 
     A group with more than ``lefts`` or ``rights`` rows is cut into parts on both sides, each part of one side meets each of the other
-    in a cell, and cells are dealt to tasks. So no task compares more than its cells, a cell's right rows are what is held in memory, and each row is
+    in a cell, and cells are numbered and dealt to tasks in turn: a hash would give some tasks several cells and others none. So no task compares more than its cells, a cell's right rows are what is held in memory, and each row is
     sent once for each part of the other side. In a cell rows with equal keys are compared once and then paired. The groups cut, at most one
     for so many rows, are listed when the join is built. Rows are dealt by their hash: those alike in all columns stay together.
     """
@@ -47,15 +47,19 @@ def cell_join(left: DataFrame, right: DataFrame, by: list[str], condition: Colum
     if not parts:
         return beside(left, right).where(condition).drop(*by)
     spark = left.sparkSession
-    listed = F.broadcast(spark.createDataFrame(parts, left.select(*by, F.lit(1).alias("__parts"), F.lit(1).alias("__across")).schema))
-    tasks = min(TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["__parts"] * r["__across"] for r in parts)))
-    cell = [*by, "__row", "__column"]
+    cells = [r["__parts"] * r["__across"] for r in parts]
+    shape = left.select(*by, *(F.lit(1).alias(c) for c in ("__parts", "__across")), F.lit(1).cast("long").alias("__first")).schema
+    listed = F.broadcast(spark.createDataFrame([(*r, sum(cells[:i])) for i, r in enumerate(parts)], shape))
+    tasks = min(TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(cells)))
+    number = F.coalesce(F.col("__first") + F.col("__row") * F.col("__across") + F.col("__column"), F.xxhash64(*by) if by else F.lit(0))
+    cell = ["__task", *by, "__row", "__column"]
 
     def dealt(df: DataFrame, own: str, of: str, other: str, others: str) -> DataFrame:
         hashed = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
         part = F.pmod(F.xxhash64(*hashed), F.coalesce(of, F.lit(1))).cast("int")
         out = beside(df, listed, "left").withColumn(own, part).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1)))
-        return out.drop("__parts", "__across").repartition(tasks, *cell)
+        out = out.withColumn("__task", F.pmod(number, F.lit(tasks)).cast("int"))
+        return out.drop("__parts", "__across", "__first").repartitionById(tasks, "__task")
 
     a, of_left = _classes(dealt(left, "__row", "__parts", "__column", "__across"), cell, left_keys, "__left")
     b, of_right = _classes(dealt(right, "__column", "__across", "__row", "__parts"), cell, right_keys, "__right")

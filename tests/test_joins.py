@@ -116,6 +116,17 @@ def test_range_join_of_one_crowded_bin_is_shared_out(spark):
     assert {r["r"]: r["count"] for r in got.groupBy("r").count().collect()} == {0: 10_000, 1: 5_000}
 
 
+def test_cells_are_dealt_to_tasks_in_turn(spark):
+    """Three bins of 800 points and 80 ranges, each in four by five cells: 60 tasks, and none without a cell; rows of bins that aren't cut come along."""
+    points = spark.range(0, 2400).select(F.col("id").alias("p"), (F.col("id") % 24).alias("x")).union(spark.createDataFrame([(9000, 500)], "p long, x long"))
+    ranges = spark.range(0, 240).select(F.col("id").alias("r"), (F.col("id") % 3 * 8).alias("a"), (F.col("id") % 3 * 8 + 7).alias("b")).union(spark.createDataFrame([(9000, 500, 501)], "r long, a long, b long"))
+    got = range_join(points, "x", ranges, "a", "b", 8, 200, 16)
+    rows = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(rows) == 60 and all(rows)
+    assert sum(rows) == 3 * 800 * 80 + 1
+    assert got.distinct().count() == sum(rows)
+
+
 def test_theta_join_in_cells(spark):
     """All pairs are compared, cut into cells or not, whatever the condition; null keys match as the condition says."""
     random.seed(10)
